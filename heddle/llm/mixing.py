@@ -35,7 +35,8 @@ def fill_siblings(children: DataFrame, parent: Sequence[str], budget: str) -> Da
     ``capacity``; adds ``share`` (whole tokens).
 
     In rising order of capacity / weight a child is full if its fair part of what the
-    children before it left is at least its capacity; the others share the rest by weight."""
+    children before it left is at least its capacity; the others share the rest by weight (later children see a smaller rate, so the
+    common rate is the largest)."""
     by = W.partitionBy(*parent)
     before = by.orderBy("_full_at", "_child").rowsBetween(W.unboundedPreceding, -1)
     out = (
@@ -44,7 +45,7 @@ def fill_siblings(children: DataFrame, parent: Sequence[str], budget: str) -> Da
         .withColumn("_gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("_rate", (F.col(budget) - F.col("_used")) / F.greatest(F.sum("weight").over(by) - F.col("_gone"), F.lit(1e-300)))
         .withColumn("_full", F.col("_full_at") <= F.col("_rate"))
-        .withColumn("_common", F.min(F.when(~F.col("_full"), F.col("_rate"))).over(by))
+        .withColumn("_common", F.max(F.when(~F.col("_full"), F.col("_rate"))).over(by))
     )
     share = F.when(F.col("_full"), F.col("capacity")).otherwise(F.floor(F.col("weight") * F.col("_common") + F.lit(1e-6)))
     return out.withColumn("share", F.greatest(F.lit(0), F.least(F.col("capacity"), share)).cast("long")).drop(
