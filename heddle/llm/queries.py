@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, mixing, secrets, sharding
+from heddle.llm import chat, decontaminate, jaccard, licenses, mixing, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op2_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,10 @@ def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.pack(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_ledger, op6_rendezvous_shards, op7_hierarchical_mix, op8_prefix_tree_chat)}
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_winnowed_decontamination, op5_secret_ledger, op6_rendezvous_shards, op7_hierarchical_mix, op8_prefix_tree_chat, op10_jaccard_components)}
 
 SQL: dict[str, str] = {}
