@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, jaccard, licenses, mixing, secrets, sharding
+from heddle.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(_table(spark, sf_dir, "documents"))
 
@@ -52,10 +60,28 @@ def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.pack(turns.unionByName(extra)))
 
 
+def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_winnowed_decontamination, op5_secret_ledger, op6_rendezvous_shards, op7_hierarchical_mix, op8_prefix_tree_chat, op10_jaccard_components)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_winnowed_decontamination,
+        op3_posting_list_neighbours,
+        op4_warc_round_trip,
+        op5_secret_ledger,
+        op6_rendezvous_shards,
+        op7_hierarchical_mix,
+        op8_prefix_tree_chat,
+        op9_ecoc_language,
+        op10_jaccard_components,
+    )
+}
 
 SQL: dict[str, str] = {}
