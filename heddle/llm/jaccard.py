@@ -256,7 +256,10 @@ def components(docs: DataFrame, *, rounds: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the smallest document of their group; texts that link
-    with nothing stay."""
+    with nothing stay.  Of wholly repeated rows one stays."""
     gone = components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    gone = written(gone, "near-copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(written(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    again = left.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = written(again, "repeated")
+    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
