@@ -34,7 +34,7 @@ from heddle.plans.components import connected_components
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 6
-CHECKS = 2
+CHECKS = 1
 #: Most shingles that the index's order puts last, and the most a task reports of its own.
 COMMON, COMMON_OF_TASK = 1 << 16, 1 << 14
 _HELD = 4 << 20
@@ -144,8 +144,8 @@ def _linked(checks: int):
         if not small or 100 * small < PERCENT * large:
             return False
         for j in range(checks):
-            a, b = (s[np.argsort(salted(s, ORDERS + 1 + j))[: prefix_length(len(s))]] for s in (x, y))
-            if not len(np.intersect1d(a, b, assume_unique=True)):
+            a, b = (np.partition(salted(s, ORDERS + 1 + j), prefix_length(len(s)) - 1)[: prefix_length(len(s))] for s in (x, y))
+            if not np.isin(a, b, assume_unique=True).any():
                 return False
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= PERCENT * (len(x) + len(y) - both)
@@ -168,12 +168,11 @@ def _linked(checks: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, checks: int = CHECKS) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids in ``docs``) that are similar enough, written.
+    """Those of ``pairs`` (a table of a, b: ids in ``docs``) that are similar enough, written.
 
     Only texts of documents in pairs travel; a filter of fixed size leaves out the rest
     at the scan."""
     spark = docs.sparkSession
-    pairs = written(pairs, "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     hashed = members.mapInArrow(_hash_ids, "key long")
     sent = spark.sparkContext.broadcast(bloom.build(hashed, "key"))
@@ -201,7 +200,7 @@ def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
     return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
 
 
-def components(docs: DataFrame, *, rounds: int = 2) -> DataFrame:
+def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     """For each row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.
 
     Null and empty texts and texts without words have no shingles and are linked with
@@ -222,7 +221,8 @@ def components(docs: DataFrame, *, rounds: int = 2) -> DataFrame:
     least = spread.groupBy("order", "shingle").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
     pairs = spread.join(least, ["order", "shingle"]).filter((F.col("doc_id") != F.col("least.doc_id")) & _sizes_fit("n", "least.n"))
     unique = texts.filter(F.col("doc_id").isNotNull())
-    links = verified(pairs.select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), unique, 0)
+    tried = written(pairs.select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = verified(tried, unique, 0)
     # 3. the index
     common = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("held").alias("held"))
     top = common.orderBy(F.desc("held"), "shingle").limit(COMMON).toPandas()  # COMMON rows at most
@@ -246,6 +246,9 @@ def components(docs: DataFrame, *, rounds: int = 2) -> DataFrame:
             pairs = _cross(per.filter("component = lo"), per.filter("component <> lo"))
         else:
             pairs = _cross(placed, placed)
+        # what was compared once needs no second look
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
         links = written(links.unionByName(verified(pairs, unique)), "links")
     versions = member.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # versions of one doc_id, and copies, hang together through the node
