@@ -147,7 +147,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _predict(sent, names: list[str], made: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value) if sent.value else None
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], made: tuple[
     """The columns ``keep`` of ``docs`` and those named in ``made``: the language, a score (0 to
     1) and whether it is ambiguous, from the text alone.  Null texts and texts without a letter are ``und`` with score 0, and so is
     everything if there is no model."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.names, model.codes, model.weights, model.trust) if model else None)
     read = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return read.mapInArrow(_predict(sent, keep, list(made)), f"{kinds}, {made[0]} string, {made[1]} double, {made[2]} boolean")

@@ -80,6 +80,16 @@ class Graph:
             self.links[i, : len(row)] = row
         self.entries = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(np.int64))
 
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.c, self.norm, self.links, self.entries
+
+    @classmethod
+    def of(cls, parts: tuple[np.ndarray, ...]) -> Graph:
+        """A graph from its parts, which unlike the class itself can be broadcast anywhere."""
+        out = cls.__new__(cls)
+        out.c, out.norm, out.links, out.entries = parts
+        return out
+
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest centroids found for each row of ``q`` (-1: none) and their
         distances, nearest first."""
@@ -141,7 +151,7 @@ def _post(sent):
     """(list, and the columns given) for each list a vector enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = sent.value
+        graph = Graph.of(sent.value)
         for batch in batches:
             for part in _parts(batch):
                 ids, dist = graph.search(_matrix(part.column("embedding")), 24)
@@ -161,7 +171,7 @@ def _post(sent):
 
 def _probe(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = sent.value
+        graph = Graph.of(sent.value)
         for batch in batches:
             for part in _parts(batch, 256):
                 ids, dist = graph.search(_matrix(part.column("embedding")), PROBES)
@@ -227,7 +237,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     n = base.count()
     sample = np.array([r[0] for r in base.select("embedding", "key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()], np.float64)
     graph = Graph(k_means(sample, int(min(MOST_LISTS, max(1, n // LIST), max(1, len(sample) // 4)))))
-    sent = spark.sparkContext.broadcast(graph)
+    sent = spark.sparkContext.broadcast(graph.parts())
     dim = "array<double>"
     posted = written(base.mapInArrow(_post(sent), f"list int, key string, embedding {dim}, least long"), "postings")
     asked = keyed.filter("asks").groupBy("key").agg(F.first("embedding").alias("embedding"))
