@@ -445,7 +445,7 @@ def _index(spark, sf):
 _SEARCH = """
 WITH docs AS (SELECT 'title' f, p_partkey id, list_filter(regexp_split_to_array(lower(p_name), '[\\s\\p{P}]+'), lambda x: x <> '') w, 4.0 b FROM part UNION ALL SELECT 'text', p_partkey, list_filter(regexp_split_to_array(lower(p_type), '[\\s\\p{P}]+'), lambda x: x <> ''), 1.0 FROM part),
 p AS (SELECT f, id, b, term, count(*) tf FROM (SELECT f, id, b, unnest(w) term FROM docs) GROUP BY 1, 2, 3, 4), l AS (SELECT f, id, len(w) len FROM docs), n AS (SELECT f, count(*) n, avg(len(w)) a FROM docs GROUP BY 1), d AS (SELECT f, term, count(*) df FROM p GROUP BY 1, 2),
-q AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) q, len(list_distinct(string_split(query, ' '))) k FROM ({queries})),
+q AS (SELECT DISTINCT query_id, unnest(string_split(regexp_replace(query, ' +', ' ', 'g'), ' ')) q, len(list_distinct(string_split(regexp_replace(query, ' +', ' ', 'g'), ' '))) k FROM ({queries})),
 m AS (SELECT query_id, k, q, term, {weight} w FROM q JOIN (SELECT DISTINCT term FROM p) t ON {match})
 SELECT query_id, id, round(sum(b * w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.7 + 0.7 * len / a))), 6) AS score FROM m JOIN p USING (term) JOIN d USING (f, term) JOIN n USING (f) JOIN l USING (f, id) GROUP BY query_id, id, k HAVING count(DISTINCT q) = k
 """
