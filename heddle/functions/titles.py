@@ -67,7 +67,7 @@ def cleanup(title: str, rules: Rules) -> str:
         if m and m[0]:
             out = out[m.end() :]
     if rules.underscores and "_" in out:
-        out = "".join(p if p.isspace() or _NETWORK.search(p) or "/" in p or re.fullmatch(r"[A-Z0-9]+(?:_[A-Z0-9]+)+", p) else p.replace("_", " ") for p in re.split(r"(\s+)", out))
+        out = "".join(p if p.isspace() or _NETWORK.search(p) or "/" in p or any(c.isdigit() for c in p) else p.replace("_", " ") for p in re.split(r"(\s+)", out))
     return out if _visible(out) else title
 
 
