@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from heddle.llm.bytewords import LOWER, slices, utf8
 
 #: Rows of each language that the classifiers are fitted on.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 300
 BUCKETS = 4096
 BITS = 31
 RIDGE = 1e-3
@@ -102,12 +102,12 @@ def fit(x: np.ndarray, label: np.ndarray, names: list[str]) -> Model:
     """Least squares in the dual form: as many unknowns as there are sample rows."""
     codes = codewords(len(names))
     y = codes[label]
-    k = x.astype(np.float64) @ x.T.astype(np.float64) + 1.0
+    k = (x @ x.T).astype(np.float64) + 1.0
     # languages with few rows count as much as the others
     weight = 1.0 / np.bincount(label, minlength=len(names))[label]
     weight *= len(label) / weight.sum()
     alpha = np.linalg.solve(k + RIDGE * len(label) / 100 * np.diag(1 / weight), y)
-    w = np.vstack([x.T.astype(np.float64) @ alpha, alpha.sum(0)])
+    w = np.vstack([x.T @ alpha, alpha.sum(0)])
     right = ((x @ w[:-1] + w[-1]) * y > 0).mean(0)
     trust = np.maximum(right - 0.5, 1e-3)
     return Model(names, codes, w.astype(np.float32), trust / trust.sum())
@@ -119,21 +119,22 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model | N
     teach nothing; without rows there is no model."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count()
-    # a share of the rows by hash, twice what is needed; one row for each language
-    share = counts.select(F.col("lang").alias("_lang"), (F.lit(2.0 * per_language) / F.col("count")).alias("_share"))
+    # a share of the rows by hash, somewhat more than is needed; one row for each language
+    share = counts.select(F.col("lang").alias("_lang"), (F.lit(1.3 * per_language + 20) / F.col("count")).alias("_share"))
     h = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 30))
     some = rows.join(F.broadcast(share), F.col("lang") == F.col("_lang")).withColumn("h", h).filter(F.col("h") < F.col("_share") * F.lit(float(1 << 30)))
     shown = some.select("lang", "h", "text").mapInArrow(_sample, "lang string, h long, x binary")
-    kept = sorted((r["lang"], r["h"], bytes(r["x"])) for r in shown.collect())
-    chosen: dict[str, list[bytes]] = {}
-    for lang, _, x in kept:
+    got = shown.toArrow()
+    kept = sorted(zip(got["lang"].to_pylist(), got["h"].to_pylist(), range(got.num_rows), strict=True))
+    chosen: dict[str, list[int]] = {}
+    for lang, _, i in kept:
         own = chosen.setdefault(lang, [])
         if len(own) < per_language:
-            own.append(x)
+            own.append(i)
     names = sorted(chosen)
     if not names:
         return None
-    x = np.vstack([np.frombuffer(b, np.float32) for n in names for b in chosen[n]])
+    x = np.vstack([np.frombuffer(got["x"][i].as_py(), np.float16) for n in names for i in chosen[n]]).astype(np.float32)
     return fit(x, np.repeat(np.arange(len(names)), [len(chosen[n]) for n in names]), names)
 
 
@@ -142,7 +143,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             part = part.filter(pa.array(has_letter(part.column("text"))))
             x = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
 
 def _predict(sent, names: list[str], made: list[str]):
