@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, warc
+from heddle.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, sql, warc
+from heddle.llm.shared import md5_uint60
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,19 +39,20 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Weights of the tree's levels; names that are not listed weigh 1.
 MIX_WEIGHTS = {"domain": {"web": 3.0, "books": 2.0, "code": 1.0}, "lang": {"en": 4.0}, "source": {"src0": 2.0}}
+MIX = {"budget_share": 0.6, "max_epochs": 3, "seed": 17}
 MIX_LEVELS = ("domain", "lang", "source")
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with domain (dealt by a hash of the source) and tokens."""
-    n = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(3))
+    n = md5_uint60(F.coalesce("source", F.lit(""))) % 3
     domain = F.when(n == 0, "web").when(n == 1, "books").otherwise("code")
     return docs.withColumns({"domain": domain, "tokens": mixing.text_tokens("text")})
 
 
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_rows(_table(spark, sf_dir, "documents")).select("doc_id", *MIX_LEVELS, "tokens")
-    return mixing.mix(rows, "doc_id", MIX_LEVELS, MIX_WEIGHTS, budget_share=0.6, max_epochs=3, seed=17)
+    return mixing.mix(rows, "doc_id", MIX_LEVELS, MIX_WEIGHTS, **MIX)
 
 
 def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +86,13 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_DOMAIN = "CASE ('0x' || md5(coalesce(source, ''))[1:15])::BIGINT % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'code' END"
+
+SQL: dict[str, str] = {
+    "op2_winnowed_decontamination": sql.DECONTAMINATION,
+    "op4_warc_round_trip": sql.WARC,
+    "op6_rendezvous_shards": sql.shards_sql(40),
+    "op7_hierarchical_mix": sql.mix_sql(MIX_LEVELS, MIX_WEIGHTS, _DOMAIN, **MIX),
+    "op8_prefix_tree_chat": sql.CHAT,
+    "op10_jaccard_components": sql.JACCARD,
+}

@@ -69,7 +69,7 @@ def number_slots(df: DataFrame, order: Sequence[str], blocks: int = 256) -> Data
     of their own.
 
     Only counts of shards x blocks meet again; that table has a fixed size."""
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(blocks)).cast("int")
+    block = (md5_uint60(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order]) % blocks).cast("int")
     df = df.withColumn("_block", block)
     sums = df.groupBy("shard", "_block").count()
     before = sums.select(
