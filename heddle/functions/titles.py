@@ -18,19 +18,29 @@ LETTERS = {
     "ey": "ей", "ay": "ай", "yi": "ы", "iy": "ий", "a": "а", "b": "б", "c": "с", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "дж", "k": "к", "l": "л",
     "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "ы", "z": "з", "'": "ь",
 }
-# Endings and groups that speak for transliterated Russian.
-MARKERS = ("aniy", "eniy", "ovan", "irov", "skiy", "skaya", "nyy", "nie", "tsiya", "ost", "shch", "zh", "kh", "yu", "ya", "ogo", "ami", "ykh", "dlya", "kak", "kurs", "nulya", "yih")
+# Letter groups that speak for transliterated Russian, and how much.
+MARKERS = {
+    "onlayn": 4, "shch": 3, "dlya": 4, "nulya": 3, "yih": 3, "yiy": 3, "zh": 3, "kh": 3, "sch": 1, "aya": 1, "iya": 1, "ch": 1, "sh": 1, "ya": 1, "yu": 1, "yo": 1, "ay": 1,
+}
+# Short words that do, and letter groups that speak for English.
+SHORT_WORDS = ("v", "s", "na", "do", "iz", "po", "za", "c")
+ENGLISH = ("th", "tion", "ing", "ment")
+LEAST_SCORE = 4
+
+
+def _longest_first(keys) -> re.Pattern:
+    return re.compile("|".join(re.escape(k) for k in sorted(keys, key=len, reverse=True)))
 
-_GROUP = re.compile("|".join(sorted(map(re.escape, LETTERS), key=len, reverse=True)), re.I)
+
+_GROUP, _MARKER = _longest_first(LETTERS), _longest_first(MARKERS)
 _ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
-_PART = re.compile(r"\[[^\]]*\]|\s+|[^\s\[]+|\[")
-_NETWORK = re.compile(r"(?i)^(?:https?://|magnet:|www\.)|^[^\s/]+@[^\s/]+$|^(?:[\w-]+\.)+[a-z]{2,}(?:[/:?#]\S*)?$")
-_LATIN = re.compile(r"^[A-Za-z'’.,:;!?()\"«»–—-]+$")
+_PIECE = re.compile(r"(?:[^\W_]|[_@:/]|(?<=[A-Za-z])'(?=[A-Za-z]))+|.", re.S)
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Tokens that stay, and titles that convert whatever their score."""
+    """Tokens that stay, titles that convert whatever their score, and which cleanups run."""
 
     protected_exact: frozenset = field(default_factory=frozenset)
     protected_ci: frozenset = field(default_factory=frozenset)
@@ -41,21 +51,28 @@ class Rules:
     drop_format_chars: bool = True
     strip_provider_noise: bool = True
     underscores: bool = True
-    least_score: int = 4
 
 
 def transliterate(word: str) -> str:
-    def one(m: re.Match) -> str:
-        out = LETTERS[m[0].lower()]
-        return out[0].upper() + out[1:] if m[0][0].isupper() else out
-
-    return _GROUP.sub(one, word)
+    out = _GROUP.sub(lambda m: LETTERS[m[0]], word.lower())
+    return out[:1].upper() + out[1:] if "A" <= word[:1] <= "Z" else out
 
 
 def _visible(text: str) -> bool:
     return any(not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc") for c in text)
 
 
+def _network(text: str) -> bool:
+    """An address, or what looks like a domain."""
+    return "://" in text or "@" in text or bool(_DOMAIN.fullmatch(text.strip("\"'()[]{}<>,;:!?")))
+
+
+def _keeps_underscores(text: str, alone: bool) -> bool:
+    if _network(text) or "/" in text or "\\" in text or _network(text.replace("_", "-")):
+        return True
+    return not alone and (any(c in "0123456789" for c in text) or any(re.fullmatch(r"(?=.*[A-Z])[A-Z0-9]{2,}", part) for part in text.split("_")))
+
+
 def cleanup(title: str, rules: Rules) -> str:
     out = title
     if rules.decode_entities and "&" in out:
@@ -63,44 +80,86 @@ def cleanup(title: str, rules: Rules) -> str:
     if rules.drop_format_chars:
         out = "".join(c for c in out if unicodedata.category(c) != "Cf")
     if rules.strip_provider_noise:
-        m = re.match(r"^['\"‘’“”„«»]*(?:\d+\.)?(?=\[[^\]]+\])", out)
-        if m and m[0]:
-            out = out[m.end() :]
+        noise = re.match(r"""^(['"`‘’“”„«»]*)(\d+\.)?(?=\[[^\]]+\])""", out)
+        if noise and noise[1]:
+            out = out[noise.end() :]
     if rules.underscores and "_" in out:
-        out = "".join(p if p.isspace() or _NETWORK.search(p) or "/" in p or any(c.isdigit() for c in p) else p.replace("_", " ") for p in re.split(r"(\s+)", out))
+        alone = len(out.split()) <= 1
+        out = "".join(x if x.isspace() or _keeps_underscores(x, alone) else re.sub("_+", " ", x) for x in re.split(r"(\s+)", out))
     return out if _visible(out) else title
 
 
-def protected(token: str, rules: Rules) -> bool:
-    low = token.lower()
-    bare = low.strip(".,:;!?()\"'«»–—-")
-    return (
-        token in rules.protected_exact
-        or bare in rules.protected_ci
-        or any(s in low for s in rules.protected_substrings)
-        or any(c.isdigit() for c in token)
-        or (len(token) > 1 and token.isupper())
-        or bool(_NETWORK.search(token))
-        or not _LATIN.match(token)
-    )
+@dataclass
+class _Piece:
+    text: str
+    word: bool
+    kept: bool = False  #: stays as it is
+    yields: bool = False  #: but for a forced token
+
+
+def _pieces(title: str, rules: Rules) -> list[_Piece]:
+    out, square, round_ = [], 0, 0
+    for part in re.split(r"(\s+)", title):
+        network = _network(part)
+        for m in _PIECE.finditer(part):
+            piece = _Piece(m[0], len(m[0]) > 1 or m[0].isalnum() or m[0] in "_@:/")
+            square, round_ = square + (m[0] == "["), round_ + (m[0] == "(")
+            if piece.word:
+                own = network or square > 0 or round_ > 0 or _protected(m[0], rules)
+                piece.kept = own or _looks_english(m[0])
+                piece.yields = piece.kept and not own
+            square, round_ = max(0, square - (m[0] == "]")), max(0, round_ - (m[0] == ")"))
+            out.append(piece)
+    return out
+
+
+def _protected(word: str, rules: Rules) -> bool:
+    low = word.lower()
+    return word in rules.protected_exact or low in rules.protected_ci or any(s in low for s in rules.protected_substrings) or any(c in "0123456789_@/:" for c in word)
+
+
+def _looks_english(word: str) -> bool:
+    """A capitalized word with an English letter group, or capitals beyond the first letter (a
+    leading SH counts as one)."""
+    if "A" <= word[:1] <= "Z" and any(e in word.lower() for e in ENGLISH):
+        return True
+    rest = word[2:] if len(word) > 2 and word.startswith("SH") else word[1:]
+    return any("A" <= c <= "Z" for c in rest) or bool(re.fullmatch(r"[^A-Za-z]*[A-Z][^A-Za-z]*", word))
+
+
+def _latin(word: str) -> bool:
+    return all(c == "'" or c.isascii() for c in word if c.isalpha() or c == "'") and any(c.isascii() and c.isalpha() for c in word)
 
 
 def score(words: list[str]) -> int:
-    return sum(1 for w in words for m in MARKERS if m in w.lower())
+    total = 0
+    for w in (x.lower() for x in words):
+        total += sum(MARKERS[m] for m in _MARKER.findall(w)) + 2 * ("'" in w) + (w in SHORT_WORDS) - 3 * any(e in w for e in ENGLISH)
+    return total
+
+
+def _forced(pieces: list[_Piece], rules: Rules) -> bool:
+    open_ = [p.text.lower() if p.word and (not p.kept or p.yields) else None if p.word else " " if p.text.isspace() else None for p in pieces]
+    if any(t in rules.force_tokens for t in open_):
+        return True
+    said = re.sub(r"\s+", " ", "".join(t if t is not None else "\0" for t in open_))
+    return any(re.search(rf"(?<![^\s\0]){re.escape(p)}(?![^\s\0])", said) for p in rules.force_phrases)
 
 
 def normalize(title: str | None, rules: Rules = Rules()) -> str | None:  # noqa: B008
-    """The cleaned title, transliterated if its unprotected words look Russian enough."""
+    """The cleaned title, transliterated if its open words look Russian enough."""
     if title is None:
         return None
     clean = cleanup(title, rules)
-    parts = _PART.findall(clean)
-    words = [p for p in parts if not p.isspace() and not p.startswith("[") and not protected(p, rules)]
-    low = " ".join(w.lower() for w in words)
-    forced = any(w.lower().strip(".,:;!?") in rules.force_tokens for w in words) or any(f" {p} " in f" {low} " for p in rules.force_phrases)
-    if not words or re.search(r"[А-Яа-яЁё]", clean) or not (forced or score(words) >= rules.least_score):
+    pieces = _pieces(clean, rules)
+    if score([p.text for p in pieces if p.word and not p.kept and _latin(p.text)]) < LEAST_SCORE and not _forced(pieces, rules):
         return clean
-    return "".join(p if p.isspace() or p.startswith("[") or protected(p, rules) else transliterate(p) for p in parts)
+
+    def shown(p: _Piece) -> str:
+        kept = p.kept and not (p.yields and p.text.lower() in rules.force_tokens)
+        return p.text if not p.word or kept or not _latin(p.text) else transliterate(p.text)
+
+    return "".join(map(shown, pieces))
 
 
 def normalized(c: Column | str, rules: Rules = Rules()) -> Column:  # noqa: B008

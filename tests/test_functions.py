@@ -54,23 +54,65 @@ def test_titles_and_keys(spark):
     assert row["t"] == "Analytics Course" and tuple(row["m"]) == ("Example Author", "Trading Course") and row["n"] == "é" and len(row["k"]) == 39
 
 
+TITLES = [
+    ("Kulinariya dlya novichkov", "Кулинария для новичков"),
+    ("Programmirovanie s nulya", "Программирование с нуля"),
+    ("Bazovyiy kurs s nulya", "Базовый курс с нуля"),
+    ("7.[Provider] Geometriya dlya novichkov", "7.[Provider] Геометрия для новичков"),
+    ("Onlayn-seminar «Upravlenie proektami»", "Онлайн-семинар «Управление проектами»"),
+    ("Dekorirovanie v dizayne inter'era", "Декорирование в дизайне интерьера"),
+    ("Razrabotka na react.js s nulya", "Разработка на react.js с нуля"),
+    ("site.name", "site.name"),
+    ("Kurs dlya https://example.com/ya-path s nulya", "Курс для https://example.com/ya-path с нуля"),
+    ("Kurs dlya user-name@example.com s nulya", "Курс для user-name@example.com с нуля"),
+    ("Kurs dlya my-site.name s nulya", "Курс для my-site.name с нуля"),
+    ("Kurs dlya fixture_2468135_LANG_bundle s nulya", "Курс для fixture_2468135_LANG_bundle с нуля"),
+    ("Kurs dlya course2024 s nulya", "Курс для course2024 с нуля"),
+    ("Kurs dlya PRO s nulya", "Курс для PRO с нуля"),
+    ("Kurs dlya DataFrame s nulya", "Курс для DataFrame с нуля"),
+    ("Kurs dlya [English Name] s nulya", "Курс для [English Name] с нуля"),
+    ("Kurs dlya (English Name) s nulya", "Курс для (English Name) с нуля"),
+    ("Профессия Архитектор ПО", "Профессия Архитектор ПО"),
+    ("Practical Go", "Practical Go"),
+    ("Tom &amp; Jerry", "Tom & Jerry"),
+    ("Advanced  Go\tGuide\u00a0Notes", "Advanced  Go\tGuide\u00a0Notes"),
+    ("Alpha__Beta  Gamma\tDelta\u00a0Notes", "Alpha Beta  Gamma\tDelta\u00a0Notes"),
+    ("Alpha_Beta_Gamma", "Alpha Beta Gamma"),
+    ("https://example.test/my_course", "https://example.test/my_course"),
+    ("Contact user_name@example.test today", "Contact user_name@example.test today"),
+    ("sub_domain.example", "sub_domain.example"),
+    ("Open fixture_2468135_LANG today", "Open fixture_2468135_LANG today"),
+    ("Fixture_2468135_LANG", "Fixture 2468135 LANG"),
+    ("""`"'9.[Provider]_Kurs&nbsp;dlya\u200b novichkov""", "[Provider] Курс\u00a0для новичков"),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize(("raw", "want"), TITLES)
+def test_transliteration(raw, want):
+    assert titles.normalize(raw) == want
+    assert titles.normalize(want) == want
+
+
+FORCED = titles.Rules(protected_exact=frozenset({"C++", "React"}), protected_ci=frozenset({"1c"}), force_tokens=frozenset({"klyuchmarker", "klyuching"}), force_phrases=("novyiy stil",))
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("Programmirovanie s nulya", "Программирование с нуля"),
-        ("Bazovyiy kurs s nulya", "Базовый курс с нуля"),
-        ("site.name", "site.name"),
-        ("fixture_2468135_LANG_bundle", "fixture_2468135_LANG_bundle"),
-        ("Профессия Архитектор ПО", "Профессия Архитектор ПО"),
-        ("Practical Go", "Practical Go"),
-        ("Tom &amp; Jerry", "Tom & Jerry"),
-        (None, None),
+        ("Neutral klyuchmarker guide", "Неутрал ключмаркер гуиде"),
+        ("Neutral Novyiy stil guide", "Неутрал Новый стил гуиде"),
+        ("English [klyuchmarker] guide", "English [klyuchmarker] guide"),
+        ("English https://example.test/?klyuchmarker guide", "English https://example.test/?klyuchmarker guide"),
+        ("English klyuchmarker.example guide", "English klyuchmarker.example guide"),
+        ("English [novyiy stil] guide", "English [novyiy stil] guide"),
+        ("English Klyuching guide", "Енглиш Ключинг гуиде"),
+        ("English KlyuchMarker guide", "Енглиш Ключмаркер гуиде"),
+        ("English Klyuching.example guide", "English Klyuching.example guide"),
     ],
 )
-def test_transliteration(raw, want):
-    forced = titles.Rules(force_tokens=frozenset({"nulya"}))
-    assert titles.normalize(raw, forced) == want
-    assert titles.normalize(want, forced) == want
+def test_forced_titles(raw, want):
+    assert titles.normalize(raw, FORCED) == want
 
 
 def test_title_job(spark):
