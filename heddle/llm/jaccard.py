@@ -5,14 +5,18 @@ If two sets are that similar, then under *any* order each one's prefix (its firs
 ``n - ceil(0.75 n) + 1`` shingles) holds a shingle of the other's prefix.
 
 1. Equal sets are one node from the start.
-2. The first shingle under each of ``ORDERS`` hash orders groups the nodes; each node is
-   verified against the smallest node of its groups.  That links most near copies with
-   a few pairs a node, and never all pairs of a group.
-3. Under one more order, with shingles that many documents hold last, all prefixes are
-   indexed.  What is left are pairs in different components so far that share a prefix
-   shingle; they must also share one under each of ``CHECKS`` other orders before the sets
-   are compared.  Rounds against the smallest component of each shingle come first, so
-   that large groups have become one component before pairs are listed.
+2. Under one order, with shingles that many documents hold last, all prefixes are indexed.
+   Prefixes of two similar sets share not just one shingle but a number that follows from
+   their sizes (``_needed``), so pairs are counted, not only found.
+3. The first shingle under each of ``ORDERS`` hash orders groups the nodes; each node is held
+   against the smallest node of its groups.  That links most near copies with a few pairs
+   a node, and never all pairs of a group.
+4. What is left are pairs in different components so far that share enough of their indexed
+   prefixes.  A round against the smallest component of each shingle comes first, so that
+   large groups have become one component before pairs are listed.
+
+Pairs that pass must also share a prefix shingle under ``CHECKS`` other orders before the
+sets are compared.
 """
 
 from __future__ import annotations
@@ -192,12 +196,28 @@ def _sizes_fit(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _needed(n: str, m: str) -> F.Column:
+    """How many shingles the prefixes of two similar enough sets have in common at least.
+
+    The sets share ``o = ceil(3 (n + m) / 7)`` shingles or more.  The k-th of those, in the
+    index's order, stands at place ``k + n - o`` of a set of n at the latest, so both
+    prefixes hold the first k for every k up to ``o - (n - prefix)``."""
+    return F.expr(f"(3 * ({n} + {m}) + 6) div 7 - (3 * greatest({n}, {m}) + 3) div 4 + 1")
+
+
+def _prefixes_meet(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose prefixes share enough; ``heads``: doc_id, n, head."""
+    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}")) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b")
+    return met.filter(_sizes_fit("na", "nb") & (F.size(F.array_intersect("ha", "hb")) >= _needed("na", "nb"))).select("a", "b")
+
+
 def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes in different components that share a shingle."""
+    """Pairs of nodes in different components, with the number of shingles they share here."""
     x = rows.select("shingle", F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"))
     y = others.select("shingle", F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    met = x.join(y, "shingle").filter((F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb"))
-    return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
+    met = x.join(y, "shingle").filter((F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb"))
+    return met.groupBy(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
 def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
@@ -216,14 +236,8 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts"), "members")
     copies = member.filter("doc_id <> node").select("doc_id", "node")
     first = member.filter("doc_id = node").drop("node")
-    # 2. first shingles under several orders
-    spread = first.select("doc_id", "n", F.posexplode("firsts").alias("order", "shingle"))
-    least = spread.groupBy("order", "shingle").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("count")).filter("count > 1")
-    pairs = spread.join(least, ["order", "shingle"]).filter((F.col("doc_id") != F.col("least.doc_id")) & _sizes_fit("n", "least.n"))
     unique = texts.filter(F.col("doc_id").isNotNull())
-    tried = written(pairs.select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = verified(tried, unique, 0)
-    # 3. the index
+    # 2. the index
     common = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("held").alias("held"))
     top = common.orderBy(F.desc("held"), "shingle").limit(COMMON).toPandas()  # COMMON rows at most
     keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
@@ -234,7 +248,14 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     index = unique.join(copied, "doc_id", "left_anti").mapInArrow(_prefixes(sent), "shingle long, doc_id long")
     shared = index.withColumn("docs", F.count("*").over(W.partitionBy("shingle"))).filter("docs > 1").drop("docs")
     shared = written(shared, "index")
-    sizes = first.select(F.col("doc_id"), "n")
+    sizes = first.select("doc_id", "n").distinct()
+    heads = written(shared.groupBy("doc_id").agg(F.collect_set("shingle").alias("head")).join(sizes, "doc_id"), "heads")
+    # 3. first shingles under several orders
+    spread = first.select("doc_id", F.posexplode("firsts").alias("order", "shingle"))
+    least = spread.groupBy("order", "shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("count")).filter("count > 1")
+    pairs = spread.join(least, ["order", "shingle"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = verified(written(_prefixes_meet(pairs, heads), "pairs"), unique)
+    # 4. what is left between components
     for left in range(rounds, -1, -1):
         found = connected_components(links)
         placed = shared.join(sizes, "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
@@ -243,13 +264,10 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
         if left:
             # one node of each component, against one of the shingle's smallest component
             per = placed.groupBy("shingle", "lo", "component").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("shingle", "lo", "component", "x.*")
-            pairs = _cross(per.filter("component = lo"), per.filter("component <> lo"))
+            pairs = _prefixes_meet(_cross(per.filter("component = lo"), per.filter("component <> lo")).select("a", "b"), heads)
         else:
-            pairs = _cross(placed, placed)
-        # what was compared once needs no second look
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = written(links.unionByName(verified(pairs, unique)), "links")
+            pairs = _cross(placed, placed).filter(F.col("shared") >= _needed("na", "nb")).select("a", "b")
+        links = written(links.unionByName(verified(written(pairs, "pairs"), unique)), "links")
     versions = member.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # versions of one doc_id, and copies, hang together through the node
     found = connected_components(links.unionByName(versions))
