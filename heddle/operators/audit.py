@@ -146,6 +146,12 @@ def redirect_verdict(hops: DataFrame, allowed: DataFrame) -> DataFrame:
     )
 
 
+def unsafe_ip6(ip: Column) -> Column:
+    """Whether an IPv6 literal is outside the global unicast block 2000::/3."""
+    first = F.try_to_number(F.conv(F.regexp_extract(F.lower(ip), r"^([0-9a-f]{1,4}):", 1), 16, 10), F.lit("99999")).cast("int")
+    return ip.contains(":") & ~F.coalesce(first.between(0x2000, 0x3FFF), F.lit(False))
+
+
 def unsafe_addresses(addresses: DataFrame, blocks: DataFrame, host: str = "host", ip: str = "ip") -> DataFrame:
     """Per host whether any of its addresses (as numbers) is in one of ``blocks`` (lo, hi).
 

@@ -114,3 +114,14 @@ def facet_counts(rows: DataFrame, categories: str, taxonomy: DataFrame) -> DataF
     """(id, label, ord, count) for every definition, those without rows too."""
     n = rows.select(F.explode(categories).alias("id")).groupBy("id").count()
     return taxonomy.join(n, "id", "left").select("id", "label", "ord", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def catalog_stats(rows: DataFrame, links: str = "links", passwords: str = "passwords", categories: str = "categories", author: str = "author") -> DataFrame:
+    """One row of counters over a catalog, in one pass."""
+    return rows.agg(
+        F.count("*").alias("entry_count"),
+        F.coalesce(F.sum(F.size(F.coalesce(links, F.array()))), F.lit(0)).alias("link_count"),
+        F.count_if(F.size(F.coalesce(passwords, F.array())) > 0).alias("with_password"),
+        F.count_if(F.array_contains(categories, OTHER)).alias("unclassified"),
+        F.count_if(F.coalesce(F.trim(author), F.lit("")) == "").alias("without_author"),
+    )

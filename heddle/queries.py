@@ -275,6 +275,14 @@ def facet_counts(spark, sf):
     return classify.facet_counts(rows, "categories", _taxonomy(spark))
 
 
+@query("SELECT count(*) AS entry_count, CAST(sum(p_size % 4) AS BIGINT) AS link_count, count(*) FILTER (p_size % 3 > 0) AS with_password, count(*) FILTER (p_size % 4 = 2) AS unclassified, count(*) FILTER (p_size % 5 = 0) AS without_author FROM part")
+def catalog_stats(spark, sf):
+    k = F.col("p_size")
+    many = lambda n: F.array_repeat(F.lit("x"), (k % n).cast("int"))
+    rows = table(spark, sf, "part").select(many(4).alias("links"), many(3).alias("passwords"), F.array(F.when(k % 4 == 2, "other").otherwise("metal")).alias("categories"), F.when(k % 5 == 0, " ").otherwise("x").alias("author"))
+    return classify.catalog_stats(rows)
+
+
 @query("""
 SELECT 'brand' AS facet, p_brand AS value, count(*) AS count FROM part GROUP BY 2 UNION ALL SELECT 'type', w, count(*) FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) w FROM part) GROUP BY 2
 UNION ALL SELECT 'year', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_size > 10 GROUP BY 2 UNION ALL SELECT 'has_password', CAST(p_retailprice > 1000 AS VARCHAR), count(*) FROM part GROUP BY 2

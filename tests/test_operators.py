@@ -153,3 +153,22 @@ def test_sidecars_may_be_missing(spark, tmp_path):
     stores.write_sidecar(df, str(tmp_path / "t"), "tombstones")
     back = stores.read_sidecar(spark, str(tmp_path / "t"), "tombstones")
     assert back.count() == 2 and stores.version_of(df) == stores.version_of(back.repartition(2))
+
+
+def test_addresses_and_redirects(spark):
+    ips = spark.createDataFrame([("2001:db8::1", False), ("fe80::1", True), ("::1", True), ("8.8.8.8", False)], "ip string, want boolean")
+    assert ips.filter(audit.unsafe_ip6(F.col("ip")) != F.col("want")).count() == 0
+    hops = [(c, n, "a.test", h, None) for c, hs in {1: ["a.test", "x.b.test"], 2: ["b.test.evil"], 3: ["a.test"] * 6}.items() for n, h in enumerate(hs, 1)]
+    df = spark.createDataFrame([*hops, (4, 1, "a.test", "a.test", "local_target")], "chain int, hop int, origin_host string, host string, rejection string")
+    allowed = spark.createDataFrame([("a.test", "b.test")], "origin_host string, host_suffix string")
+    assert {r["chain"]: r["verdict"] for r in audit.redirect_verdict(df, allowed).collect()} == {1: "follow", 2: "foreign_host", 3: "too_many_hops", 4: "unsafe_target"}
+
+
+def test_header_rules(spark):
+    heads = spark.createDataFrame([(0, 1, "A", "u"), (1, 0, " ", "v"), (2, 1, None, None)], "o int, channel_id long, title string, web_url string")
+    assert merge.same_source(heads).count() == 0
+    assert merge.same_source(heads.withColumn("channel_id", F.lit(0))).count() == 1
+    assert merge.fold_header(heads, ["o"]).first()["title"] == "A"
+    declared = spark.createDataFrame([(2, 5)], "catalog_entry_count int, parsed_link_count int")
+    actual = spark.createDataFrame([(2, 4, 9)], "catalog_entry_count long, parsed_link_count long, password_value_count long")
+    assert [tuple(r) for r in quality.reconcile(declared, actual, "export").collect()] == [("export", "parsed_link_count", "count_mismatch", "5<>4")]
