@@ -27,24 +27,15 @@ def _score(key: Column, shard: int, weight: float) -> Column:
     return F.lit(-float(weight)) / F.ln(u)
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """Shard (from 0) of a key; weights of zero take nothing; ties go to the smaller shard.
-    A null key is hashed as the text ``null``."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
-    scored = [F.struct(_score(text, i, w).alias("s"), F.lit(-i).alias("i")) for i, w in enumerate(weights) if w > 0]
-    if not scored:
-        raise ValueError("no shard has a weight")
-    best = scored[0] if len(scored) == 1 else F.greatest(*scored)
-    return (-best["i"]).cast("int")
-
-
 def place(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
-    """``df`` with ``shard`` (and ``grown_shard`` under the weights ``grown``, which must
+    """``df`` with ``shard``, from 0 (and ``grown_shard`` under the weights ``grown``, which must
     extend ``weights``).  Both come from one pass over the scores: beyond the first shards
     only the added ones are scored, and win only if they beat the old winner.
 
-    Nulls in other columns do not matter; repeated keys go to one shard; an empty table
-    stays empty."""
+    Shards of weight zero take nothing; ties go to the smaller shard.  A null key is hashed as
+    the text ``null``; repeated keys go to one shard; an empty table stays empty."""
+    if not any(w > 0 for w in weights):
+        raise ValueError("no shard has a weight")
     text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     scores = F.transform(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights) if w > 0]),
