@@ -33,8 +33,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights, each once at most."""
-    rows = mix_rows(docs)
-    return mixing.mix(rows, "doc_id", MIX_LEVELS, MIX_WEIGHTS, budget_share=BUDGET_SHARE, max_epochs=1, seed=17).select(*docs.columns)
+    # the whole row goes along as one value, whatever its columns are called
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = mix_rows(docs.select("doc_id", "text", "lang", "source", whole)).drop("text")
+    return mixing.mix(rows, "doc_id", MIX_LEVELS, MIX_WEIGHTS, budget_share=BUDGET_SHARE, max_epochs=1, seed=17).select("_row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

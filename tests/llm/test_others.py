@@ -287,3 +287,12 @@ def test_pipeline(spark):
     got = c.run(spark, SF)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "shard", "grown_shard"]
     assert sorted(r["doc_id"] for r in got.collect()) == [d for d, _ in want]
+
+
+def test_mix_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7, "own"), (2, None, None, None, None, None)], "doc_id long, text string, lang string, source string, tokens int, domain string")
+    got = c.mix_sources(spark, docs.unionByName(docs), SF)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(docs.first())}
+    assert c.shards(spark, docs, SF).count() == 2 and c.mix_sources(spark, docs.limit(0), SF).count() == 0
