@@ -104,15 +104,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sent):
-    """(shingle, doc_id) for the prefix of each text: rare shingles in hash order first,
-    then the common ones, the commonest last."""
+    """(shingle, doc_id, place) for the prefix of each text: rare shingles in hash order
+    first, then the common ones, the commonest last; place counts from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = np.asarray(part.column("doc_id"), np.int64)
-                tokens, docs = [], []
+                tokens, docs, places = [], [], []
                 for d, s in zip(ids, shingle_sets(words(part.column("text"), SOLID), SHINGLE), strict=True):
                     if not len(s):
                         continue
@@ -122,11 +122,12 @@ def _prefixes(sent):
                         late = keys[near] == s
                         at[late] = rank[near[late]]
                     p = prefix_length(len(s))
-                    head = s[np.argpartition(at, p - 1)[:p]] if p < len(s) else s
-                    tokens.append(head)
-                    docs.append(np.full(len(head), d, np.int64))
+                    head = np.argpartition(at, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                    tokens.append(s[head[np.argsort(at[head])]])
+                    docs.append(np.full(p, d, np.int64))
+                    places.append(np.arange(1, p + 1, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["shingle", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], ["shingle", "doc_id", "place"])
 
     return run
 
@@ -213,11 +214,14 @@ def _prefixes_meet(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components, with the number of shingles they share here."""
-    x = rows.select("shingle", F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = others.select("shingle", F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    met = x.join(y, "shingle").filter((F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb"))
-    return met.groupBy(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    """Distinct pairs of nodes in different components that share a shingle early enough: of
+    sets that share ``o`` shingles or more, the first one stands at place ``n - o + 1`` at the
+    latest in a set of n."""
+    x = rows.select("shingle", F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    y = others.select("shingle", F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    early = F.greatest(F.col("pa") - F.col("na"), F.col("pb") - F.col("nb")) <= F.expr("1 - (3 * (na + nb) + 6) div 7")
+    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb") & early)
+    return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
 
 
 def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
@@ -245,7 +249,7 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     at = np.argsort(keys)
     sent = docs.sparkSession.sparkContext.broadcast((keys[at], rank[at]))
     copied = written(copies.select("doc_id").distinct(), "copies")
-    index = unique.join(copied, "doc_id", "left_anti").mapInArrow(_prefixes(sent), "shingle long, doc_id long")
+    index = unique.join(copied, "doc_id", "left_anti").mapInArrow(_prefixes(sent), "shingle long, doc_id long, place int")
     shared = index.withColumn("docs", F.count("*").over(W.partitionBy("shingle"))).filter("docs > 1").drop("docs")
     shared = written(shared, "index")
     sizes = first.select("doc_id", "n").distinct()
@@ -258,15 +262,16 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     # 4. what is left between components
     for left in range(rounds, -1, -1):
         found = connected_components(links)
-        placed = shared.join(sizes, "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        placed = shared.join(sizes, "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
         open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "lo")
         placed = written(placed.join(open_, "shingle"), "open")
         if left:
             # one node of each component, against one of the shingle's smallest component
-            per = placed.groupBy("shingle", "lo", "component").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("shingle", "lo", "component", "x.*")
-            pairs = _prefixes_meet(_cross(per.filter("component = lo"), per.filter("component <> lo")).select("a", "b"), heads)
+            per = placed.groupBy("shingle", "lo", "component").agg(F.min(F.struct("doc_id", "n", "place")).alias("x")).select("shingle", "lo", "component", "x.*")
+            pairs = _cross(per.filter("component = lo"), per.filter("component <> lo"))
         else:
-            pairs = _cross(placed, placed).filter(F.col("shared") >= _needed("na", "nb")).select("a", "b")
+            pairs = _cross(placed, placed)
+        pairs = _prefixes_meet(pairs, heads)
         links = written(links.unionByName(verified(written(pairs, "pairs"), unique)), "links")
     versions = member.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # versions of one doc_id, and copies, hang together through the node
