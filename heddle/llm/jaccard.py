@@ -236,7 +236,8 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     rows = seen.filter(F.col("shingle").isNull()).select("doc_id", "n_shingles", "set_key", "firsts")
     # 1. equal sets
     nodes = rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    held = nodes.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    # written first, so that the join deals out a set with very many copies anew
+    held = written(nodes.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
     member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts"), "members")
     copies = member.filter("doc_id <> node").select("doc_id", "node")
     first = member.filter("doc_id = node").drop("node")
