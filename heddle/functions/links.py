@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.text import col, strip
@@ -78,24 +78,35 @@ def magnet_ok(raw: Column) -> Column:
     return F.exists(values, lambda v: v.rlike(r"(?i)^urn:btih:([0-9a-f]{40}|[a-z2-7]{32})$"))
 
 
-def inspect(raw: Column | str) -> Column:
-    """struct(scheme, host, canonical, rejection) of a link.
-
-    Canonical: scheme and host in lower case, no default port, no fragment; path case and
-    query order as they are.  ``rejection`` is null for a link that is kept."""
+def parts(raw: Column | str) -> Column:
+    """A link cut in pieces: t (trimmed), scheme, user (whether there is one), hostport, host,
+    tail (after the host), path, query."""
     t = strip(raw)
-    scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(t, _AUTHORITY, 1)
-    has_user = authority.contains("@")
     hostport = F.regexp_replace(authority, r"^.*@", "")
     v6 = hostport.startswith("[")
-    host = F.lower(F.when(v6, F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(hostport, r"^([^:]*)", 1)))
-    tail = F.when(v6, F.regexp_extract(hostport, r"^\[[^\]]*\](.*)$", 1)).otherwise(F.regexp_extract(hostport, r"^[^:]*(.*)$", 1))
+    rest = F.regexp_replace(F.regexp_replace(t, r"(?s)^[^/?#]*//[^/?#]*", ""), r"(?s)#.*$", "")
+    return F.struct(
+        t.alias("t"),
+        F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"),
+        authority.contains("@").alias("user"),
+        hostport.alias("hostport"),
+        F.lower(F.when(v6, F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(hostport, r"^([^:]*)", 1))).alias("host"),
+        F.when(v6, F.regexp_extract(hostport, r"^\[[^\]]*\](.*)$", 1)).otherwise(F.regexp_extract(hostport, r"^[^:]*(.*)$", 1)).alias("tail"),
+        F.regexp_extract(rest, r"(?s)^([^?]*)", 1).alias("path"),
+        F.regexp_extract(rest, r"(?s)(\?.*)$", 1).alias("query"),
+    )
+
+
+def judge(p: Column) -> Column:
+    """struct(scheme, host, canonical, rejection) of a link's parts.
+
+    Canonical: scheme and host in lower case, no default port, no fragment; path case and
+    query order as they are.  ``rejection`` is null for a link that is kept."""
+    t, scheme, hostport, host, tail, path = (p[c] for c in ("t", "scheme", "hostport", "host", "tail", "path"))
     digits = F.regexp_replace(F.regexp_extract(tail, r"^:(\d+)$", 1), r"^0+", "")
     port = F.when(digits.rlike(r"^\d{1,5}$"), digits.cast("int"))
     bad_port = (tail != "") & (~tail.rlike(r"^:\d+$") | port.isNull() | (port < 1) | (port > 65535))
-    rest = F.regexp_replace(F.regexp_replace(t, r"(?s)^[^/?#]*//[^/?#]*", ""), r"(?s)#.*$", "")
-    path, query = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)(\?.*)$", 1)
     shown = F.when(path.rlike(_SAFE_PATH), path).otherwise(F.pandas_udf(_escaped, "string")(path))
     broken = F.regexp_replace(path, r"%[0-9A-Fa-f]{2}", "").contains("%") | hostport.rlike(r"[\s<>\"{}|\\^`]") | host.contains("%")
     name = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
@@ -110,11 +121,22 @@ def inspect(raw: Column | str) -> Column:
         .when(scheme == "magnet", F.when(~magnet_ok(t), "invalid_magnet"))
         .when(~http, "unsupported_scheme")
         .when(host == "", "missing_host")
-        .when(has_user, "credentials")
+        .when(p["user"], "credentials")
         .when(is_local(host), "local_target")
     )
-    canonical = F.when(rejection.isNull(), F.when(scheme == "magnet", t).otherwise(F.concat(scheme, F.lit("://"), named, shown, query)))
-    return F.struct(scheme.alias("scheme"), host.alias("host"), canonical.alias("canonical"), rejection.alias("rejection"))
+    canonical = F.when(scheme == "magnet", t).otherwise(F.concat(scheme, F.lit("://"), named, shown, p["query"]))
+    return F.struct(scheme.alias("scheme"), host.alias("host"), canonical.alias("whole"), rejection.alias("rejection"))
+
+
+def with_link(df: DataFrame, raw: Column | str, name: str = "link") -> DataFrame:
+    """``df`` with ``name``: struct(scheme, host, canonical, rejection) of a link.
+
+    In three steps, so that pieces that are used often are computed once."""
+    out = df.withColumn("_parts", parts(raw)).withColumn("_judged", judge(F.col("_parts")))
+    j = F.col("_judged")
+    canonical = F.when(j["rejection"].isNull(), j["whole"])
+    link = F.struct(j["scheme"].alias("scheme"), j["host"].alias("host"), canonical.alias("canonical"), j["rejection"].alias("rejection"))
+    return out.withColumn(name, link).drop("_parts", "_judged")
 
 
 def link_hash(canonical: Column | str) -> Column:

@@ -25,7 +25,7 @@ UNSAFE_BLOCKS = (
 
 
 def candidates(entries: DataFrame, inspected: str = "link") -> DataFrame:
-    """Distinct HTTP links of a catalog: ``inspected`` is the struct of ``links.inspect``."""
+    """Distinct HTTP links of a catalog: ``inspected`` is the struct of ``links.with_link``."""
     link = F.col(inspected)
     return entries.filter(link["rejection"].isNull() & link["scheme"].isin("http", "https")).select(F.sha2(link["canonical"], 256).alias("sha256"), link["host"].alias("host"), link["canonical"].alias("url")).dropDuplicates(["sha256"])
 

@@ -60,7 +60,7 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
 
     # links: one row each, from text and from matched attachments
     linked = entries.select("entry_id", "title", "raw_block", "author", F.transform("links", lambda x: x["label"]).alias("labels"), F.posexplode("links").alias("pos", "x"))
-    linked = linked.withColumns({"link": L.inspect("x.url"), "useful": L.actionable(F.col("title"), F.col("raw_block"), F.col("author"), F.col("x"), F.col("labels"))})
+    linked = L.with_link(linked, F.col("x.url")).withColumns({"useful": L.actionable(F.col("title"), F.col("raw_block"), F.col("author"), F.col("x"), F.col("labels"))})
     flat = linked.select("entry_id", "pos", "useful", "x.url", "x.host", "x.provider", "x.kind", "x.role", "x.primary", "x.label", "link.canonical", "link.rejection")
     if files is not None:
         found = attachments.magnet_links(attachments.match(attachments.hashes(files), messages.select("message_id", "file_name")))

@@ -79,7 +79,7 @@ def _links(spark, sf):
         .when(k == 5, F.concat(F.upper(F.regexp_extract(u, "^([a-z]+://[^/]+)", 1)), F.lit(":443"), F.regexp_extract(u, "^[a-z]+://[^/]+(.*)$", 1)))
         .otherwise(u)
     )
-    return table(spark, sf, "pages").select("page_id", raw.alias("raw"), L.inspect(raw).alias("link"))
+    return L.with_link(table(spark, sf, "pages").select("page_id", raw.alias("raw")), "raw")
 
 
 @query(f"SELECT page_id, canonical, sha256(canonical) AS sha256 FROM ({_INSPECTED}) WHERE rejection IS NULL")

@@ -26,7 +26,7 @@ REJECTED = [
 
 def test_links(spark):
     rows = CANONICAL + REJECTED
-    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, raw string").select("i", L.inspect("raw").alias("x"))
+    df = L.with_link(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, raw string"), "raw", "x").select("i", "x")
     got = {r["i"]: r["x"] for r in df.collect()}
     for i, (raw, want) in enumerate(rows):
         assert (got[i]["canonical"] if i < len(CANONICAL) else got[i]["rejection"]) == want, raw
@@ -35,7 +35,7 @@ def test_links(spark):
 
 def test_canonical_is_stable(spark):
     df = spark.createDataFrame([(c,) for _, c in CANONICAL], "raw string")
-    assert df.filter(~L.inspect("raw")["canonical"].eqNullSafe(F.col("raw"))).count() == 0
+    assert L.with_link(df, "raw").filter(~F.col("link.canonical").eqNullSafe(F.col("raw"))).count() == 0
 
 
 def one(spark, value, *f):
