@@ -5,7 +5,9 @@ the list of its nearest centroid; a vector near the boundary (other centroids wi
 ``1 + CLOSE`` of the nearest distance, none of them hidden behind one already taken) also
 enters up to ``REPLICAS - 1`` more lists.  Lists are cut into pages of about ``PAGE``
 vectors, so a full list is many small groups.  Centroids are searched by a neighbour graph
-in memory; a query reads the lists whose centroids are within ``1 + REACH`` of its nearest.
+in memory; a query reads all lists whose centroids are within ``1 + REACH`` of its nearest.
+The graph gives the first ``PROBES`` of them; where the last of those is still within reach,
+the query is held against all centroids, so that their number is never cut.
 
 Equal vectors are indexed once, with their smallest ids, and equal queries search once.
 Distances of what is found are exact, in double precision on the original vectors.
@@ -137,6 +139,22 @@ class Graph:
         return ids, np.sqrt(np.maximum(dist, 0))
 
 
+def within_reach(graph: Graph, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``q``, list) for each list that a query reads: those within ``1 + REACH`` of its
+    nearest, however many, and eight at least, to hold an answer at all."""
+    ids, dist = graph.search(q, PROBES)
+    near = (ids >= 0) & (dist <= dist[:, :1] * (1 + REACH) + 1e-12)
+    more = np.flatnonzero(near[:, -1]) if ids.shape[1] < len(graph.c) else np.zeros(0, np.int64)
+    near[:, :8] = ids[:, :8] >= 0
+    near[more] = False
+    row, at = np.nonzero(near)
+    # MOST_LISTS distances a row at most
+    d = (q[more] * q[more]).sum(1)[:, None] + graph.norm - 2 * q[more] @ graph.c.T
+    d = np.sqrt(np.maximum(d, 0))
+    far, to = np.nonzero(d <= d.min(1, keepdims=True) * (1 + REACH) + 1e-12) if len(more) else (more, more)
+    return np.concatenate([row, more[far]]), np.concatenate([ids[row, at], to])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
@@ -174,13 +192,9 @@ def _probe(sent):
         graph = Graph.of(sent.value)
         for batch in batches:
             for part in _parts(batch, 256):
-                ids, dist = graph.search(_matrix(part.column("embedding")), PROBES)
-                near = (ids >= 0) & (dist <= dist[:, :1] * (1 + REACH) + 1e-12)
-                # and enough lists to hold an answer at all
-                near[:, :8] = ids[:, :8] >= 0
-                row, at = np.nonzero(near)
+                row, to = within_reach(graph, _matrix(part.column("embedding")))
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), *out.columns], ["list", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *out.columns], ["list", *out.schema.names])
 
     return run
 

@@ -67,6 +67,19 @@ def test_recall_and_scores(spark):
     assert found >= 0.9 * len(got)
 
 
+def test_ratio_alone_decides_which_lists_are_read():
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(500, 64))
+    q = np.concatenate([rng.normal(size=(20, 64)) * 0.1, c[:5] + 1e-3])
+    row, to = neighbours.within_reach(neighbours.Graph(c), q)
+    d = np.sqrt(((q[:, None] - c) ** 2).sum(2))
+    want = d <= d.min(1, keepdims=True) * (1 + neighbours.REACH)
+    assert (want.sum(1) > neighbours.PROBES).sum() >= 20
+    got = list(zip(row.tolist(), to.tolist(), strict=True))
+    assert len(got) == len(set(got)) and set(map(tuple, np.argwhere(want).tolist())) <= set(got)
+    assert np.bincount(row, minlength=len(q)).min() >= 8
+
+
 def test_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
