@@ -57,12 +57,13 @@ def _suspects(texts: pa.Array) -> np.ndarray:
     inside = np.concatenate(([False], _IS_HEX[raw], [False])).astype(np.int8)
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # runs may cross from one text into the next; then both are scanned
-    for where in (starts[ends - starts >= 32], ends[ends - starts >= 32] - 1):
-        out[np.searchsorted(at, where, "right") - 1] = True
+    # a run may cross from one text into the next ones; then all of them are scanned
+    for first, last in zip(starts[ends - starts >= 32], ends[ends - starts >= 32] - 1, strict=True):
+        a, b = np.searchsorted(at, (first, last), "right") - 1
+        out[a : b + 1] = True
     for m in _HINT.finditer(LOWER[raw].tobytes()):
-        for where in (m.start(), m.end() - 1):
-            out[np.searchsorted(at, where, "right") - 1] = True
+        a, b = np.searchsorted(at, (m.start(), m.end() - 1), "right") - 1
+        out[a : b + 1] = True
     # a hint cut by the edge of a text is none, so nothing is lost by scanning too much
     return out
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,19 @@ def test_spans(spark):
     assert {s for d, _, s in got if d == -3} == {"assign:2:21,assign:24:41"} and {s for d, _, s in got if d == -6} == {"pem:0:31"}
 
 
+def test_runs_over_several_texts(spark):
+    # one batch, so that the texts are neighbours
+    digests = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(6)]
+    docs = spark.createDataFrame([*enumerate(digests), (6, "x"), (7, "eyJa"), (8, "bc-eyJabcd-eyJab.eyJcd.ef"), (9, "eyJz")], DOC).coalesce(1)
+    located, _ = secrets.scan(docs, "doc_id", "text")
+    assert {r["path"] for r in located.filter(F.size("found") > 0).collect()} == {*range(6), 8}
+    texts = [*digests[:4], "x", "token" , " ", "=abcdefgh", "eyja", "a.b" * 3, "eyJ", "eyJx.eyJy.z", "a"]
+    assert secrets._suspects(pa.array(digests[:4])).all()
+    for n in range(len(texts)):
+        marked = secrets._suspects(pa.array(texts[n:]))
+        assert all(marked[i] for i, t in enumerate(texts[n:]) if secrets.scan_text(t))
+
+
 def test_ledger_scans_only_unseen(spark):
     docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "x")], DOC)
     _, first = secrets.scan(docs, "doc_id", "text")
