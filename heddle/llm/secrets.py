@@ -84,10 +84,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LEDGER = "blob binary, rule_version int, found array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan_unseen(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan the versions in ``paths`` (``path`` names a version, ``text`` is its content).
 
-    Returns ``(located, added)``: ``added`` are the ledger rows of the pairs scanned now,
+    Returns ``(located, added)``: ``added`` are the ledger rows of all pairs scanned now, also
+    of blobs without findings, so that the next run does not scan those again;
     ``located`` has ``path``, ``blob`` and ``found`` for every row of ``paths``.  A null text is
     the empty blob; repeated rows are all located; an empty table gives empty results.
 
@@ -105,18 +106,25 @@ def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None
     read = source.join(unseen.hint("shuffle_hash"), source["path"].eqNullSafe(unseen["_path"]) & (source["blob"] == unseen["_blob"]), "left_semi")
     scanned = read.select("blob", "text").mapInArrow(_scan, "blob binary, found array<struct<kind:string,start:bigint,end:bigint>>")
     # repeated rows of one path are scanned once each but enter the ledger once
-    added = scanned.filter(F.size("found") > 0).dropDuplicates(["blob"])
-    added = written(added.select("blob", F.lit(rule_version).alias("rule_version"), "found"), "ledger")
-    known = added if ledger is None else added.unionByName(ledger.filter((F.col("rule_version") == rule_version) & (F.size("found") > 0)))
-    located = named.join(known.select("blob", "found"), "blob", "left")
+    once = scanned.dropDuplicates(["blob"])
+    added = written(once.select("blob", F.lit(rule_version).alias("rule_version"), "found"), "ledger")
+    known = added if ledger is None else added.unionByName(ledger.filter(F.col("rule_version") == rule_version))
+    located = named.join(known.filter(F.size("found") > 0).select("blob", "found"), "blob", "left")
     return located.withColumn("found", F.coalesce("found", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))), added
 
 
+def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """``scan_unseen``, with those rows of ``added`` only that have findings.  They are no whole
+    ledger: a run that is given no more than them scans clean blobs again."""
+    located, added = scan_unseen(paths, path, text, ledger, rule_version)
+    return located, added.filter(F.size("found") > 0)
+
+
 def document_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A null or empty text has no spans and the digest of no bytes."""
-    located, _ = scan(docs, "doc_id", "text", ledger)
+    located, _ = scan_unseen(docs, "doc_id", "text", ledger)
     of = lambda k: F.filter("found", lambda f: f["kind"] == k)
     listed = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     return located.select(

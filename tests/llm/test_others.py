@@ -166,6 +166,19 @@ def test_ledger_scans_only_unseen(spark):
     assert again.count() == 1
 
 
+def test_ledger_remembers_clean_blobs(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "x"), (3, "x"), (4, None), (5, "")], DOC)
+    _, first = secrets.scan_unseen(docs, "doc_id", "text")
+    blob = lambda t: hashlib.sha256(t.encode()).digest()
+    assert sorted((bytes(r["blob"]), r["rule_version"], len(r["found"])) for r in first.collect()) == sorted((blob(t), 1, n) for t, n in [("token=abcdefgh", 1), ("x", 0), ("", 0)])
+    more = docs.unionByName(spark.createDataFrame([(6, "token=zzzzzzzz"), (7, "y")], DOC))
+    located, added = secrets.scan_unseen(more, "doc_id", "text", first)
+    assert {bytes(r["blob"]) for r in added.collect()} == {blob("token=zzzzzzzz"), blob("y")}
+    assert sorted(r["path"] for r in located.filter(F.size("found") > 0).collect()) == [1, 2, 6] and located.count() == 8
+    assert secrets.scan_unseen(more, "doc_id", "text", first.unionByName(added))[1].count() == 0
+    assert secrets.scan_unseen(docs, "doc_id", "text", first, rule_version=2)[1].count() == 3
+
+
 # --- shards ---
 
 
