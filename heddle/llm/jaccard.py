@@ -80,6 +80,10 @@ class _Counter:
         return self.keys[top], self.counts[top]
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 _SEEN = "doc_id long, n_shingles long, set_key binary, firsts array<long>, shingle long, held long"
 
 
@@ -93,7 +97,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, key, firsts = [], [], []
             for s in shingle_sets(words(part.column("text"), SOLID), SHINGLE):
                 size.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                key.append(_digest(s) if len(s) else None)
                 firsts.append([int(x) for x in np.array([s[np.argmin(salted(s, j))] for j in range(ORDERS)], np.uint64).view(np.int64)] if len(s) else [])
                 common.add(s)
             none = pa.nulls(part.num_rows, pa.int64())
@@ -103,16 +107,17 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
-def _prefixes(sent):
+def _prefixes(sent, keyed: bool = False):
     """(shingle, doc_id, place) for the prefix of each text: rare shingles in hash order
-    first, then the common ones, the commonest last; place counts from 1."""
+    first, then the common ones, the commonest last; place counts from 1.  With ``keyed``
+    the digest of the set as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = np.asarray(part.column("doc_id"), np.int64)
-                tokens, docs, places = [], [], []
+                tokens, docs, places, digests = [], [], [], []
                 for d, s in zip(ids, shingle_sets(words(part.column("text"), SOLID), SHINGLE), strict=True):
                     if not len(s):
                         continue
@@ -126,8 +131,11 @@ def _prefixes(sent):
                     tokens.append(s[head[np.argsort(at[head])]])
                     docs.append(np.full(p, d, np.int64))
                     places.append(np.arange(1, p + 1, dtype=np.int32))
+                    if keyed:
+                        digests += [_digest(s)] * p
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], ["shingle", "doc_id", "place"])
+                    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(digests, pa.binary())] * keyed], ["shingle", "doc_id", "place", *["set_key"] * keyed])
 
     return run
 
@@ -238,7 +246,7 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     nodes = rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # written first, so that the join deals out a set with very many copies anew
     held = written(nodes.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
-    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts"), "members")
+    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts", "set_key"), "members")
     copies = member.filter("doc_id <> node").select("doc_id", "node")
     first = member.filter("doc_id = node").drop("node")
     unique = texts.filter(F.col("doc_id").isNotNull())
@@ -250,7 +258,12 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     at = np.argsort(keys)
     sent = docs.sparkSession.sparkContext.broadcast((keys[at], rank[at]))
     copied = written(copies.select("doc_id").distinct(), "copies")
-    index = unique.join(copied, "doc_id", "left_anti").mapInArrow(_prefixes(sent), "shingle long, doc_id long, place int")
+    columns = "shingle long, doc_id long, place int"
+    index = unique.join(copied, "doc_id", "left_anti").mapInArrow(_prefixes(sent), columns)
+    # documents that are a copy in one version and the node of another: only the latter
+    owned = written(first.join(copied, "doc_id", "left_semi").select("doc_id", "set_key").distinct(), "owned")
+    mixed = unique.join(owned.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_prefixes(sent, True), f"{columns}, set_key binary")
+    index = index.unionByName(mixed.join(owned, ["doc_id", "set_key"], "left_semi").drop("set_key"))
     shared = index.withColumn("docs", F.count("*").over(W.partitionBy("shingle"))).filter("docs > 1").drop("docs")
     shared = written(shared, "index")
     sizes = first.select("doc_id", "n").distinct()

@@ -57,6 +57,25 @@ def test_drifting_copies_and_common_passages(spark):
     assert mine(spark, docs) == brute(docs)
 
 
+def test_versions_of_one_document(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    a, b = text(40), text(60)
+    near = [*b[:-1], "other"]
+    docs = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join(near))]
+    assert [c for _, _, c in mine(spark, docs)] == [3] * 4 and mine(spark, docs) == brute(docs)
+    pool = [text(rng.choice((8, 30, 60))) for _ in range(40)]
+    for _ in range(150):
+        t = list(rng.choice(pool))
+        if rng.random() < 0.6:
+            t[rng.randrange(len(t))] = f"x{rng.randrange(3)}"
+        docs.append((rng.randrange(100, 300), " ".join(t)))
+        if rng.random() < 0.2:
+            docs.append((docs[-1][0], docs[rng.randrange(len(docs))][1]))
+    rng.shuffle(docs)
+    assert mine(spark, docs) == brute(docs)
+
+
 def test_edges(spark):
     assert mine(spark, []) == []
     got = jaccard.components(spark.createDataFrame([(1, None, 5), (2, "", 5), (3, " \n", 5), (None, "a b", 5), (4, "a b", 5), (4, "a b", 5)], "doc_id long, text string, component int"))
