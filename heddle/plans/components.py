@@ -3,17 +3,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from heddle.plans.stored import written
+from heddle.plans.stored import drop_table, written
 
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _watched(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, with their number and a checksum taken in the same pass."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -22,9 +24,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 
     Only a row count and a checksum of the edges reach the driver."""
     a, b = F.col(left), F.col(right)
-    e = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = written(e, "edges")
-    before = _state(e)
+    e, before = _watched(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
@@ -35,8 +35,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         # small star: smaller neighbours and the node itself move to the smallest neighbour
         near = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         moved = large.join(near, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(moved.unionByName(near.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        after = _state(e)
+        old = e
+        e, after = _watched(moved.unionByName(near.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        drop_table(old)
         if after == before:
             break
         before = after

@@ -7,36 +7,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: the table takes the place of its shuffles, so their files
+#: go as soon as it is there; and Arrow batches are small, whatever one row holds.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset, one of our own, but only
+    in local mode: executors elsewhere would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-heddle-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def session_root(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_root(spark)}/heddle/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/heddle/{tag}-{uuid.uuid4().hex}"
+    return f"{session_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors, and lets several branches share one pass."""
+    lineage, survives lost executors, and lets several branches share one pass.
+
+    The table stays until ``clean``, as results that are still to be computed read it."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    # the table takes the place of its shuffles, so their files go as soon as it is there
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,3 +57,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote in the shared folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``written`` gave and that nothing reads any more."""
+    root = session_root(df.sparkSession).split("://")[-1]
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root in folder:
+            drop_path(df.sparkSession, folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application; call it once its results are stored."""
+    drop_path(spark, session_root(spark))
