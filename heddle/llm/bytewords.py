@@ -1,7 +1,8 @@
 """Words of whole texts, found on the UTF-8 bytes of Arrow batches with numpy.
 
 Every delimiter set used here is ASCII, so words can be cut on bytes.  Texts are
-taken in slices of bounded size; one text is never cut.
+taken in slices of bounded size; a text beyond that is a slice of its own, which takes
+about 12 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of words that are hashed at once.
+_AT_ONCE = 1 << 19
 
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -82,16 +85,37 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _powers(n: int, cache: list[np.ndarray] = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
-    if len(cache[0]) < n:
-        p = np.full(max(n, 1024), _BASE, np.uint64)
-        p[0] = 1
-        cache[0] = np.multiply.accumulate(p)
-    return cache[0]
+def _placed(place: np.ndarray, byte: np.ndarray, seed: int) -> np.ndarray:
+    """A random value for each byte at each place of a word."""
+    return mix(mix((place.astype(np.uint64) << np.uint64(8)) + byte) + np.uint64(seed))
 
 
-def words(texts: pa.Array, keep: np.ndarray) -> Words:
-    """``keep``: which lower-cased bytes belong to words."""
+_NEAR = 48
+#: Two independent hashes; the values of the first places stand ready.
+_SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
+_TABLES = [_placed(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256, dtype=np.uint64), _NEAR), s) for s in _SEEDS]
+
+
+def _hashes(body: np.ndarray, long: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of words of ``long`` bytes each that lie on end in ``body``: the sum of a random
+    value for each (place, byte), so that no pattern in the letters cancels out."""
+    out = np.zeros(len(long), np.uint64)
+    cut = np.cumsum(long) - long
+    for p in range(0, len(body), _AT_ONCE):
+        q = min(p + _AT_ONCE, len(body))
+        a, b = int(np.searchsorted(cut, p, "right")) - 1, int(np.searchsorted(cut, q, "left"))
+        begin = np.maximum(cut[a:b] - p, 0)
+        place = np.arange(p, q, dtype=np.int64) - np.repeat(cut[a:b], np.diff(np.append(begin, q - p)))
+        byte = body[p:q]
+        value = _TABLES[which][(np.minimum(place, _NEAR - 1) << 8) + byte]
+        far = np.flatnonzero(place >= _NEAR)
+        value[far] = _placed(place[far], byte[far].astype(np.uint64), _SEEDS[which])
+        out[a:b] += np.add.reduceat(value, begin)
+    return mix(out + long.astype(np.uint64))
+
+
+def words(texts: pa.Array, keep: np.ndarray, which: int = 0) -> Words:
+    """``keep``: which lower-cased bytes belong to words; ``which`` of two hashes to take."""
     raw, at = utf8(texts)
     data = LOWER[raw]
     n = len(data)
@@ -109,11 +133,7 @@ def words(texts: pa.Array, keep: np.ndarray) -> Words:
     first = np.searchsorted(starts, at)
     if not len(starts):
         return Words(data, starts, ends, first, np.zeros(0, np.uint64))
-    long = ends - starts
-    cut = np.cumsum(long) - long
-    body = data[inside].astype(np.uint64) + np.uint64(1)
-    body *= _powers(int(long.max()))[np.arange(len(body)) - np.repeat(cut, long)]
-    return Words(data, starts, ends, first, mix(np.add.reduceat(body, cut) + long.astype(np.uint64)))
+    return Words(data, starts, ends, first, _hashes(data[inside], ends - starts, which))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -15,8 +15,9 @@ If two sets are that similar, then under *any* order each one's prefix (its firs
    prefixes.  A round against the smallest component of each shingle comes first, so that
    large groups have become one component before pairs are listed.
 
-Pairs that pass must also share a prefix shingle under ``CHECKS`` other orders before the
-sets are compared.
+A pair must pass the filter of the index's order and that of a second, independent order
+(the prefixes under it travel as arrays of hashes) before any text is joined; what passes
+both is compared exactly, shingles told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,17 +32,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.llm import bloom
-from heddle.llm.bytewords import SLICE_BYTES, SOLID, mix, salted, shingle_sets, slices, words
-from heddle.llm.shared import written
+from heddle.llm.bytewords import SOLID, grams, mix, salted, shingle_sets, slices, words
+from heddle.llm.shared import drop_table, written
 from heddle.plans.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 6
-CHECKS = 1
 #: Most shingles that the index's order puts last, and the most a task reports of its own.
 COMMON, COMMON_OF_TASK = 1 << 16, 1 << 14
-_HELD = 4 << 20
+_HELD = 1 << 18
 
 
 def prefix_length(n: int) -> int:
@@ -49,7 +49,8 @@ def prefix_length(n: int) -> int:
 
 
 class _Counter:
-    """Shingles that many of a task's documents hold, in bounded memory (lossy counting)."""
+    """Shingles that many of a task's documents hold, at most ``_HELD`` at a time (mergeable
+    Misra-Gries counters: counts are too low by the same amount for all at most)."""
 
     def __init__(self) -> None:
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -57,21 +58,23 @@ class _Counter:
         self.held = 0
 
     def add(self, s: np.ndarray) -> None:
-        self.fresh.append(s)
-        self.held += len(s)
-        if self.held > _HELD:
-            self.merge()
+        for a in range(0, len(s), _HELD):
+            self.fresh.append(s[a : a + _HELD].copy())
+            self.held += len(self.fresh[-1])
+            if self.held > _HELD:
+                self.merge()
 
     def merge(self) -> None:
         if not self.fresh:
             return
-        keys, counts = np.unique(np.concatenate(self.fresh), return_counts=True)
-        keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+        keys = np.concatenate([self.keys, *self.fresh])
+        counts = np.concatenate([self.counts, np.ones(self.held, np.int64)])
         self.fresh, self.held = [], 0
         keys, at = np.unique(keys, return_inverse=True)
         counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-        least = 2 if len(keys) > _HELD // 4 else 1
-        self.keys, self.counts = keys[counts >= least], counts[counts >= least]
+        if len(keys) > _HELD:
+            counts -= np.partition(counts, len(keys) - _HELD - 1)[len(keys) - _HELD - 1]
+        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
 
     def most(self) -> tuple[np.ndarray, np.ndarray]:
         self.merge()
@@ -84,27 +87,37 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-_SEEN = "doc_id long, n_shingles long, set_key binary, firsts array<long>, shingle long, held long"
+_SEEN = "doc_id long, n_shingles long, set_key binary, firsts array<long>, second array<long>, shingle long, held long"
+
+
+def _longs(x: np.ndarray) -> list[int]:
+    return x.view(np.int64).tolist()
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (size, digest of the set, first shingles under the hash
-    orders); at the end a row for each common shingle of this task."""
-    names = ["doc_id", "n_shingles", "set_key", "firsts", "shingle", "held"]
+    orders, its prefix under the second order); at the end a row for each common shingle of
+    this task."""
+    names = ["doc_id", "n_shingles", "set_key", "firsts", "second", "shingle", "held"]
+    arrays = pa.list_(pa.int64())
     common = _Counter()
     for batch in batches:
         for part in slices(batch, "text"):
-            size, key, firsts = [], [], []
+            size, key, firsts, second = [], [], [], []
             for s in shingle_sets(words(part.column("text"), SOLID), SHINGLE):
                 size.append(len(s))
                 key.append(_digest(s) if len(s) else None)
-                firsts.append([int(x) for x in np.array([s[np.argmin(salted(s, j))] for j in range(ORDERS)], np.uint64).view(np.int64)] if len(s) else [])
+                firsts.append(_longs(np.array([s[np.argmin(salted(s, j))] for j in range(ORDERS)], np.uint64)) if len(s) else [])
+                head = prefix_length(len(s))
+                second.append(_longs(s[np.argpartition(salted(s, ORDERS + 1), head - 1)[:head]]) if len(s) else [])
                 common.add(s)
             none = pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), none, none], names)
+            columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(firsts, arrays), pa.array(second, arrays), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names)
     keys, counts = common.most()
     n = len(keys)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(keys.view(np.int64)), pa.array(counts)], names)
+    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), arrays, arrays)]
+    yield pa.RecordBatch.from_arrays([*nothing, pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
 def _prefixes(sent, keyed: bool = False):
@@ -151,36 +164,45 @@ def _listed(sent):
     return run
 
 
-def _linked(checks: int):
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        small, large = sorted((len(x), len(y)))
-        if not small or 100 * small < PERCENT * large:
-            return False
-        for j in range(checks):
-            a, b = (np.partition(salted(s, ORDERS + 1 + j), prefix_length(len(s)) - 1)[: prefix_length(len(s))] for s in (x, y))
-            if not np.isin(a, b, assume_unique=True).any():
-                return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for whole in slices(batch, "text_a", SLICE_BYTES):
-                for part in slices(whole, "text_b", SLICE_BYTES):
-                    # the smaller node's text comes again and again
-                    texts, where = {}, []
-                    for t in part.column("text_a").to_pylist():
-                        where.append(texts.setdefault(t, len(texts)))
-                    left = list(shingle_sets(words(pa.array(list(texts), pa.large_string()), SOLID), SHINGLE))
-                    right = shingle_sets(words(part.column("text_b"), SOLID), SHINGLE)
-                    keep = [similar(left[i], y) for i, y in zip(where, right, strict=True)]
-                    yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < PERCENT * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
-    return run
 
+def _wide_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text its distinct shingles by two hashes, as one array of 16-byte items."""
+    column = pa.array(texts, pa.large_string())
+    one, two = (words(column, SOLID, which) for which in (0, 1))
+    out = []
+    for a, b in zip(one.first[:-1].tolist(), one.first[1:].tolist(), strict=True):
+        k = min(SHINGLE, b - a)
+        both = np.stack([grams(x.hashes[a:b], k) for x in (one, two)], 1) if k else np.zeros((0, 2), np.uint64)
+        out.append(np.unique(np.ascontiguousarray(both).view("V16").ravel()))
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, checks: int = CHECKS) -> DataFrame:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose texts are similar enough.  Pairs of one text a follow each other, so
+    its set is made once."""
+    for batch in batches:
+        for whole in slices(batch, "text_a"):
+            for part in slices(whole, "text_b"):
+                texts, where = {}, []
+                for t in part.column("text_a").to_pylist():
+                    where.append(texts.setdefault(t, len(texts)))
+                left = list(shingle_sets(words(pa.array(list(texts), pa.large_string()), SOLID), SHINGLE))
+                right = shingle_sets(words(part.column("text_b"), SOLID), SHINGLE)
+                keep = np.array([_similar(left[i], y) for i, y in zip(where, right, strict=True)], bool)
+                out = part.filter(pa.array(keep, pa.bool_()))
+                # what 64 bits call similar is looked at with 128
+                sure = [_similar(*_wide_sets([x, y])) for x, y in zip(out.column("text_a").to_pylist(), out.column("text_b").to_pylist(), strict=True)]
+                yield out.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a table of a, b: ids in ``docs``) that are similar enough, written.
 
     Only texts of documents in pairs travel; a filter of fixed size leaves out the rest
@@ -193,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, checks: int = CHECKS) -> DataFra
     a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     with_b = pairs.join(b, F.col("b") == F.col("doc_b")).select("a", "b", "text_b")
     with_both = with_b.join(a, F.col("a") == F.col("doc_a")).select("a", "b", "text_a", "text_b")
-    return written(with_both.mapInArrow(_linked(checks), "a long, b long"), "links")
+    return written(with_both.mapInArrow(_linked, "a long, b long"), "links")
 
 
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,21 +237,48 @@ def _needed(n: str, m: str) -> F.Column:
 
 
 def _prefixes_meet(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose prefixes share enough; ``heads``: doc_id, n, head."""
-    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}")) for x in "ab")
+    """Those of ``pairs`` whose prefixes share enough under both orders; ``heads``: doc_id, n,
+    head (prefix under the index's order), second (under another)."""
+    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"), F.col("second").alias(f"s{x}")) for x in "ab")
     met = pairs.join(a, "a").join(b, "b")
-    return met.filter(_sizes_fit("na", "nb") & (F.size(F.array_intersect("ha", "hb")) >= _needed("na", "nb"))).select("a", "b")
+    share = lambda x: F.size(F.array_intersect(f"{x}a", f"{x}b")) >= _needed("na", "nb")
+    return met.filter(_sizes_fit("na", "nb") & share("h") & share("s")).select("a", "b")
 
 
 def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes in different components that share a shingle early enough: of
-    sets that share ``o`` shingles or more, the first one stands at place ``n - o + 1`` at the
-    latest in a set of n."""
-    x = rows.select("shingle", F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    y = others.select("shingle", F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    """Distinct pairs of a node of ``rows`` and one of ``others``, in different components, that
+    share a shingle early enough: of sets that share ``o`` shingles or more, the first one
+    stands at place ``n - o + 1`` at the latest in a set of n.
+
+    The smaller set of a pair comes from its first seventh, and sizes are cut in steps of
+    somewhat more than a third, so that a common shingle is joined only within two steps."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT + 0.01))).cast("int")
     early = F.greatest(F.col("pa") - F.col("na"), F.col("pb") - F.col("nb")) <= F.expr("1 - (3 * (na + nb) + 6) div 7")
-    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("ca") < F.col("cb")) & _sizes_fit("na", "nb") & early)
-    return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
+
+    def half(small: DataFrame, large: DataFrame) -> DataFrame:
+        x = small.filter(F.expr("place <= n - (6 * n + 6) div 7 + 1")).select("shingle", step.alias("step"), F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+        y = large.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        met = x.join(y, ["shingle", "step"]).filter((F.col("ca") != F.col("cb")) & F.expr("struct(na, da) < struct(nb, db)") & _sizes_fit("na", "nb") & early)
+        return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+
+    pairs = half(rows, others) if rows is others else half(rows, others).unionByName(half(others, rows))
+    return pairs.distinct()
+
+
+def _commonest(held: DataFrame) -> np.ndarray:
+    """Of ``held`` (shingle, held) the shingles of the largest counts, ``COMMON`` at most, the
+    commonest first.  Counts are cut in steps, so that no more than that reach the driver."""
+    step = F.floor(F.log2("held") * 8).cast("int")
+    steps = sorted(((r[0], r[1]) for r in held.groupBy(step.alias("s")).count().collect()), reverse=True)  # 64 * 8 rows at most
+    least, room = None, COMMON
+    for s, n in steps:
+        if n > room:
+            break
+        least, room = s, room - n
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = held.filter(step >= least).toPandas().sort_values(["held", "shingle"], ascending=[False, True])
+    return top["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
 def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
@@ -241,19 +290,18 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     empty result."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = written(texts.mapInArrow(_profile, _SEEN), "profile")
-    rows = seen.filter(F.col("shingle").isNull()).select("doc_id", "n_shingles", "set_key", "firsts")
+    rows = seen.filter(F.col("shingle").isNull()).select("doc_id", "n_shingles", "set_key", "firsts", "second")
     # 1. equal sets
     nodes = rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # written first, so that the join deals out a set with very many copies anew
     held = written(nodes.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
-    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts", "set_key"), "members")
+    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts", "second", "set_key"), "members")
     copies = member.filter("doc_id <> node").select("doc_id", "node")
     first = member.filter("doc_id = node").drop("node")
     unique = texts.filter(F.col("doc_id").isNotNull())
     # 2. the index
     common = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("held").alias("held"))
-    top = common.orderBy(F.desc("held"), "shingle").limit(COMMON).toPandas()  # COMMON rows at most
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    keys = _commonest(written(common, "common"))
     rank = np.uint64((1 << 64) - 1) - np.arange(len(keys), dtype=np.uint64)
     at = np.argsort(keys)
     sent = docs.sparkSession.sparkContext.broadcast((keys[at], rank[at]))
@@ -264,10 +312,15 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     owned = written(first.join(copied, "doc_id", "left_semi").select("doc_id", "set_key").distinct(), "owned")
     mixed = unique.join(owned.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_prefixes(sent, True), f"{columns}, set_key binary")
     index = index.unionByName(mixed.join(owned, ["doc_id", "set_key"], "left_semi").drop("set_key"))
-    shared = index.withColumn("docs", F.count("*").over(W.partitionBy("shingle"))).filter("docs > 1").drop("docs")
-    shared = written(shared, "index")
+    index = written(index, "index")
+    # counts combine before the shuffle, so a shingle of very many documents is a row a task
+    several = written(index.groupBy("shingle").count().filter("count > 1").select("shingle"), "several")
+    shared = written(index.join(several, "shingle", "left_semi"), "shared")
+    drop_table(index)
+    # a document may be the node of several of its versions
+    own = first.select("doc_id", "n", "second").distinct()
+    heads = written(shared.groupBy("doc_id").agg(F.collect_set("shingle").alias("head")).join(own, "doc_id"), "heads")
     sizes = first.select("doc_id", "n").distinct()
-    heads = written(shared.groupBy("doc_id").agg(F.collect_set("shingle").alias("head")).join(sizes, "doc_id"), "heads")
     # 3. first shingles under several orders
     spread = first.select("doc_id", F.posexplode("firsts").alias("order", "shingle"))
     least = spread.groupBy("order", "shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("count")).filter("count > 1")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from heddle.llm import jaccard
 
 from .conftest import SF
@@ -85,3 +87,29 @@ def test_edges(spark):
 def test_keep_one(spark):
     kept = jaccard.keep_one(spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, None, "z")], "doc_id long, text string, source string"))
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c", "x"), (3, None, "z")]
+
+
+def test_unlike_words_with_equal_polynomials(spark):
+    # Thue-Morse words cancel out in any polynomial with an odd base modulo 2^64
+    a = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{a} one two"), (2, f"{b} one two"), (3, f"{a} one two")]
+    assert mine(spark, docs) == brute(docs)
+
+
+def test_counter_is_bounded(monkeypatch):
+    monkeypatch.setattr(jaccard, "_HELD", 64)
+    rng = np.random.default_rng(2)
+    seen = jaccard._Counter()
+    for i in range(200):
+        seen.add(np.unique(np.append(rng.integers(0, 1 << 40, 50), 7)).astype(np.uint64))
+        assert len(seen.keys) <= 64 and seen.held <= 128
+    keys, counts = seen.most()
+    assert keys[0] == 7 and 1 < counts[0] <= 200
+
+
+def test_commonest_stay_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 10)
+    held = spark.createDataFrame([(i, 2 + i // 4) for i in range(40)], "shingle long, held long")
+    keys = jaccard._commonest(held)
+    assert 0 < len(keys) <= 10 and keys.tolist() == sorted(keys.tolist(), key=lambda k: (-(k // 4), k))
