@@ -15,13 +15,15 @@ If two sets are that similar, then under *any* order each one's prefix (its firs
    prefixes.  A round against the smallest component of each shingle comes first, so that
    large groups have become one component before pairs are listed.
 
-A pair must pass the filter of the index's order and that of a second, independent order
-(the prefixes under it travel as arrays of hashes) before any text is joined; what passes
-both is compared exactly, shingles told apart by 128 bits.
+A pair must also share a prefix shingle under a second, independent order: the prefix under
+it travels as a map of ``BITS`` bits with each document, and pairs whose maps have no bit in
+common are dropped in the join itself.  What passes is compared exactly, shingles told
+apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +43,10 @@ PERCENT = 75
 ORDERS = 6
 #: Most shingles that the index's order puts last, and the most a task reports of its own.
 COMMON, COMMON_OF_TASK = 1 << 16, 1 << 14
-_HELD = 1 << 18
+_HELD = 1 << 20
+#: Of the map of a prefix under the second order.
+BITS = 256
+_MAPS = tuple(f"m{i}" for i in range(BITS // 64))
 
 
 def prefix_length(n: int) -> int:
@@ -87,36 +92,44 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-_SEEN = "doc_id long, n_shingles long, set_key binary, firsts array<long>, second array<long>, shingle long, held long"
+_SEEN = "doc_id long, n_shingles long, set_key binary, firsts array<long>, " + "".join(f"{m} long, " for m in _MAPS) + "shingle long, held long"
 
 
 def _longs(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
+def _map(s: np.ndarray) -> list[int]:
+    """The prefix of a set under the second order, as a map of bits."""
+    order, head = salted(s, ORDERS + 1), prefix_length(len(s))
+    low = np.partition(order, head - 1)[:head] if len(s) else order
+    bits = np.zeros(BITS, bool)
+    bits[(mix(low) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (size, digest of the set, first shingles under the hash
-    orders, its prefix under the second order); at the end a row for each common shingle of
+    orders, map of the second order's prefix); at the end a row for each common shingle of
     this task."""
-    names = ["doc_id", "n_shingles", "set_key", "firsts", "second", "shingle", "held"]
+    names = ["doc_id", "n_shingles", "set_key", "firsts", *_MAPS, "shingle", "held"]
     arrays = pa.list_(pa.int64())
     common = _Counter()
     for batch in batches:
         for part in slices(batch, "text"):
-            size, key, firsts, second = [], [], [], []
+            size, key, firsts, maps = [], [], [], []
             for s in shingle_sets(words(part.column("text"), SOLID), SHINGLE):
                 size.append(len(s))
                 key.append(_digest(s) if len(s) else None)
                 firsts.append(_longs(np.array([s[np.argmin(salted(s, j))] for j in range(ORDERS)], np.uint64)) if len(s) else [])
-                head = prefix_length(len(s))
-                second.append(_longs(s[np.argpartition(salted(s, ORDERS + 1), head - 1)[:head]]) if len(s) else [])
+                maps.append(_map(s))
                 common.add(s)
             none = pa.nulls(part.num_rows, pa.int64())
-            columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(firsts, arrays), pa.array(second, arrays), none, none]
+            columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(firsts, arrays), *[pa.array([m[i] for m in maps], pa.int64()) for i in range(len(_MAPS))], none, none]
             yield pa.RecordBatch.from_arrays(columns, names)
     keys, counts = common.most()
     n = len(keys)
-    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), arrays, arrays)]
+    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), arrays, *[pa.int64()] * len(_MAPS))]
     yield pa.RecordBatch.from_arrays([*nothing, pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
@@ -236,13 +249,18 @@ def _needed(n: str, m: str) -> F.Column:
     return F.expr(f"(3 * ({n} + {m}) + 6) div 7 - (3 * greatest({n}, {m}) + 3) div 4 + 1")
 
 
+def _maps_meet(a: str, b: str) -> F.Column:
+    """Whether two maps, with columns named by ``a`` and ``b``, have a bit in common."""
+    both = [F.col(f"{a}{m}").bitwiseAND(F.col(f"{b}{m}")) for m in _MAPS]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), both) != 0
+
+
 def _prefixes_meet(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose prefixes share enough under both orders; ``heads``: doc_id, n,
-    head (prefix under the index's order), second (under another)."""
-    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"), F.col("second").alias(f"s{x}")) for x in "ab")
+    """Those of ``pairs`` whose prefixes share enough under the index's order, and whose maps
+    meet; ``heads``: doc_id, n, maps, head."""
+    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"), *[F.col(m).alias(f"{x}{m}") for m in _MAPS]) for x in "ab")
     met = pairs.join(a, "a").join(b, "b")
-    share = lambda x: F.size(F.array_intersect(f"{x}a", f"{x}b")) >= _needed("na", "nb")
-    return met.filter(_sizes_fit("na", "nb") & share("h") & share("s")).select("a", "b")
+    return met.filter(_sizes_fit("na", "nb") & _maps_meet("a", "b") & (F.size(F.array_intersect("ha", "hb")) >= _needed("na", "nb"))).select("a", "b")
 
 
 def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -256,9 +274,9 @@ def _cross(rows: DataFrame, others: DataFrame) -> DataFrame:
     early = F.greatest(F.col("pa") - F.col("na"), F.col("pb") - F.col("nb")) <= F.expr("1 - (3 * (na + nb) + 6) div 7")
 
     def half(small: DataFrame, large: DataFrame) -> DataFrame:
-        x = small.filter(F.expr("place <= n - (6 * n + 6) div 7 + 1")).select("shingle", step.alias("step"), F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
-        y = large.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-        met = x.join(y, ["shingle", "step"]).filter((F.col("ca") != F.col("cb")) & F.expr("struct(na, da) < struct(nb, db)") & _sizes_fit("na", "nb") & early)
+        x = small.filter(F.expr("place <= n - (6 * n + 6) div 7 + 1")).select("shingle", step.alias("step"), F.col("doc_id").alias("da"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(m).alias(f"a{m}") for m in _MAPS])
+        y = large.select("shingle", F.explode(F.array(step, step - 1)).alias("step"), F.col("doc_id").alias("db"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(m).alias(f"b{m}") for m in _MAPS])
+        met = x.join(y, ["shingle", "step"]).filter((F.col("ca") != F.col("cb")) & F.expr("struct(na, da) < struct(nb, db)") & _sizes_fit("na", "nb") & early & _maps_meet("a", "b"))
         return met.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
 
     pairs = half(rows, others) if rows is others else half(rows, others).unionByName(half(others, rows))
@@ -290,18 +308,20 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     empty result."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = written(texts.mapInArrow(_profile, _SEEN), "profile")
-    rows = seen.filter(F.col("shingle").isNull()).select("doc_id", "n_shingles", "set_key", "firsts", "second")
+    seen_rows = seen.filter(F.col("shingle").isNull())
+    rows = written(seen_rows.select("doc_id", "n_shingles"), "sizes")
     # 1. equal sets
-    nodes = rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
+    nodes = seen_rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     # written first, so that the join deals out a set with very many copies anew
     held = written(nodes.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
-    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts", "second", "set_key"), "members")
+    member = written(nodes.join(held, "set_key").select("doc_id", "node", F.col("n_shingles").alias("n"), "firsts", *_MAPS, "set_key"), "members")
     copies = member.filter("doc_id <> node").select("doc_id", "node")
     first = member.filter("doc_id = node").drop("node")
     unique = texts.filter(F.col("doc_id").isNotNull())
     # 2. the index
     common = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("held").alias("held"))
     keys = _commonest(written(common, "common"))
+    drop_table(seen)
     rank = np.uint64((1 << 64) - 1) - np.arange(len(keys), dtype=np.uint64)
     at = np.argsort(keys)
     sent = docs.sparkSession.sparkContext.broadcast((keys[at], rank[at]))
@@ -318,9 +338,8 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     shared = written(index.join(several, "shingle", "left_semi"), "shared")
     drop_table(index)
     # a document may be the node of several of its versions
-    own = first.select("doc_id", "n", "second").distinct()
-    heads = written(shared.groupBy("doc_id").agg(F.collect_set("shingle").alias("head")).join(own, "doc_id"), "heads")
-    sizes = first.select("doc_id", "n").distinct()
+    sizes = first.select("doc_id", "n", *_MAPS).distinct()
+    heads = written(shared.groupBy("doc_id").agg(F.collect_set("shingle").alias("head")).join(sizes, "doc_id"), "heads")
     # 3. first shingles under several orders
     spread = first.select("doc_id", F.posexplode("firsts").alias("order", "shingle"))
     least = spread.groupBy("order", "shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("count")).filter("count > 1")
@@ -329,12 +348,12 @@ def components(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     # 4. what is left between components
     for left in range(rounds, -1, -1):
         found = connected_components(links)
-        placed = shared.join(sizes, "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
+        placed = shared.join(sizes, "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", "place", *_MAPS, F.coalesce("component", "doc_id").alias("component"))
         open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "lo")
         placed = written(placed.join(open_, "shingle"), "open")
         if left:
             # one node of each component, against one of the shingle's smallest component
-            per = placed.groupBy("shingle", "lo", "component").agg(F.min(F.struct("doc_id", "n", "place")).alias("x")).select("shingle", "lo", "component", "x.*")
+            per = placed.groupBy("shingle", "lo", "component").agg(F.min(F.struct("doc_id", "n", "place", *_MAPS)).alias("x")).select("shingle", "lo", "component", "x.*")
             pairs = _cross(per.filter("component = lo"), per.filter("component <> lo"))
         else:
             pairs = _cross(placed, placed)
