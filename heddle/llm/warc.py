@@ -1,6 +1,7 @@
 """WARC files as a Spark data source (``format("warc")``), for reading and writing.
 
-Reading plans partitions over files by size, parses each record's header first, and holds
+Reading plans partitions over pieces of files by size (files of this writer are cut at the
+member offsets that its manifest lists, others are read whole), parses each record's header first, and holds
 the pushed predicates against it; the content of other records is not decoded: in plain
 files it is skipped by its length, in compressed ones by the ``sl`` (skip-lengths) field
 of the gzip header, where the writer of the file put one.
@@ -32,6 +33,8 @@ SCHEMA = (
     "content_length long, headers map<string,string>, payload binary"
 )
 ROLL_BYTES, SPLIT_BYTES = 64 << 20, 128 << 20
+#: How far apart the offsets are that a manifest lists, and the least that a partition reads.
+MARK_BYTES, LEAST_SPLIT = 4 << 20, 1 << 20
 _PUSHED = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To"}
 
 
@@ -167,6 +170,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() == "true"
+        self.tasks = int(options.get("tasks", 1))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -196,29 +200,36 @@ class WarcReader(DataSourceReader):
 
         files, root = _files(self.path)
         found = [x for x in files.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file]
-        listed: set[str] | None = None
+        listed: dict[str, list[int]] | None = None
         for x in found:
             if x.base_name.startswith("_manifest-"):
                 with files.open_input_stream(x.path) as s:
-                    listed = (listed or set()) | set(json.loads(s.read()))
+                    listed = (listed or {}) | json.loads(s.read())
         mine = sorted((x for x in found if x.base_name.endswith((".warc", ".warc.gz")) and (listed is None or x.base_name in listed)), key=lambda x: x.path)
-        out, size = [[]], 0
+        pieces = []
         for x in mine:
-            if out[-1] and size + x.size > SPLIT_BYTES:
+            marks = sorted({0, *(listed or {}).get(x.base_name, [])})
+            pieces += [(x.path, x.size, a, b) for a, b in zip(marks, [*marks[1:], x.size], strict=True)]
+        # about ``tasks`` partitions, but neither tiny nor huge ones
+        most = min(SPLIT_BYTES, max(LEAST_SPLIT, sum(x.size for x in mine) // self.tasks))
+        out, size = [[]], 0
+        for piece in pieces:
+            long = piece[3] - piece[2]
+            if out[-1] and size + long > most:
                 out.append([])
                 size = 0
-            out[-1].append((x.path, x.size))
-            size += x.size
+            out[-1].append(piece)
+            size += long
         return [Files(p) for p in out]
 
     def read(self, partition):
         files, _ = _files(self.path)
         rows, size = [], 0
-        for path, total in partition.paths:
+        for path, total, begin, end in partition.paths:
             with files.open_input_file(path) as stream:
-                source, offset = _Source(stream, total), 0
-                step = _compressed if source.at(0, 2) == b"\x1f\x8b" else _plain
-                while offset < total:
+                source, offset = _Source(stream, total), begin
+                step = _compressed if source.at(begin, 2) == b"\x1f\x8b" else _plain
+                while offset < end:
                     after, fields, block = step(source, offset, self.wanted)
                     if fields is not None:
                         payload = None if block is None else payload_of(fields, block)
@@ -249,7 +260,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list
+    marks: dict  #: by file name, offsets of members that a reader may begin at
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -263,21 +274,26 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]):
         files, root = _files(self.path)
         files.create_dir(root, recursive=True)
-        names, out, size = [], None, 0
+        marks: dict[str, list[int]] = {}
+        out, size, name = None, 0, ""
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None or size > ROLL_BYTES:
                     if out is not None:
                         out.close()
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = files.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
-                    out.write(member(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out = files.open_output_stream(f"{root}/{name}", compression=None)
+                    info = member(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    out.write(info)
+                    size, marks[name] = len(info), [0]
+                if size - marks[name][-1] > MARK_BYTES:
+                    marks[name].append(size)
                 data = member(self.one(row))
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
-        return Written(names)
+        return Written(marks)
 
     def one(self, row: dict) -> bytes:
         sha1 = row.get("payload_sha1")
@@ -298,11 +314,11 @@ class WarcWriter(DataSourceArrowWriter):
         files, root = _files(self.path)
         files.create_dir(root, recursive=True)
         with files.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json", compression=None) as s:
-            s.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+            s.write(json.dumps({n: at for m in messages if m for n, at in sorted(m.marks.items())}).encode())
 
     def abort(self, messages):
         files, root = _files(self.path)
-        for name in (n for m in messages if m for n in m.names):
+        for name in (n for m in messages if m for n in m.marks):
             files.delete_file(f"{root}/{name}")
 
 
@@ -329,7 +345,7 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives in ``path``.  With ``payload`` off no content is decoded."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
 # --- pages -------------------------------------------------------------------------------
@@ -382,8 +398,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page = F.col("headers")["X-Page-Id"].cast(kind)
     full = read(spark, path).filter(F.col("record_type") == "response")
     responses = full.select(page.alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
-    # a relation remembers the predicates pushed into it, so each branch reads one of its own
-    names = read(spark, path, payload=False).filter(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to"), page.alias("to")).distinct()
-    revisits = read(spark, path, payload=False).filter(F.col("record_type") == "revisit").select("refers_to", page.alias("page_id"), F.col("headers")["X-Payload-Length"].cast("long").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"), "record_type")
+    # headers of all records in one pass, without content; a relation remembers the predicates
+    # pushed into it, so it is not the one above
+    heads = read(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
+    heads = written(heads.select("record_type", "record_id", "refers_to", page.alias("page_id"), F.col("headers")["X-Payload-Length"].cast("long").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest")), "warc-heads")
+    names = heads.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to")).distinct()
+    revisits = heads.filter("record_type = 'revisit'").drop("record_id")
     found = revisits.join(names, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("to").alias("refers_to"))
     return responses.unionByName(found)
