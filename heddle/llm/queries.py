@@ -91,6 +91,7 @@ _DOMAIN = "CASE ('0x' || md5(coalesce(source, ''))[1:15])::BIGINT % 3 WHEN 0 THE
 SQL: dict[str, str] = {
     "op2_winnowed_decontamination": sql.DECONTAMINATION,
     "op4_warc_round_trip": sql.WARC,
+    "op5_secret_ledger": sql.SECRETS,
     "op6_rendezvous_shards": sql.shards_sql(40),
     "op7_hierarchical_mix": sql.mix_sql(MIX_LEVELS, MIX_WEIGHTS, _DOMAIN, **MIX),
     "op8_prefix_tree_chat": sql.CHAT,

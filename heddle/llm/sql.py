@@ -76,7 +76,7 @@ def mix_sql(levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], d
     return f"""
 WITH {", ".join(steps)},
 leaf AS (SELECT r.*, budget // supply AS whole, budget % supply AS rest FROM rows r JOIN {last} USING ({", ".join(levels)}) WHERE tokens > 0),
-run AS (SELECT *, sum(tokens) OVER (PARTITION BY {", ".join(levels)} ORDER BY md5('{seed}:' || whole || ':' || doc_id)[1:15], tokens ROWS UNBOUNDED PRECEDING) AS upto FROM leaf)
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY {", ".join(levels)} ORDER BY md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:15], tokens ROWS UNBOUNDED PRECEDING) AS upto FROM leaf)
 SELECT doc_id, {", ".join(levels)}, tokens, CAST(whole AS INTEGER) AS epoch FROM run WHERE upto <= rest UNION ALL SELECT doc_id, {", ".join(levels)}, tokens, CAST(e AS INTEGER) FROM leaf, unnest(range(whole)) t(e)
 """
 
@@ -93,3 +93,35 @@ c AS (SELECT doc_id, k, length(h) // 2 + 16 AS size, xor(4294967295, list_reduce
 s AS (SELECT *, CAST(-({best(n)})[2] AS INTEGER) AS shard, CAST(-({best(n + 1)})[2] AS INTEGER) AS grown, ('0x' || md5(concat(k, ':', crc, ':', size))[1:15])::BIGINT % {blocks} AS block FROM c)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, crc, size) - 1 AS slot, grown AS grown_shard FROM s
 """
+
+
+def secrets_sql() -> str:
+    """Spans of each kind: matches and the pieces between them give positions; a further pattern
+    picks those that count."""
+    letters = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    head = "(?:" + "|".join(letters(w) for w in ("password", "passwd", "secret", "token")) + f"|{letters('api')}_?{letters('key')})"
+    gap = r"""["'']?\x20*[:=]\x20*["'']?"""
+    value = "[A-Za-z0-9+/_.=-]"
+    kinds = [
+        ("assign", f"{head}{gap}{value}+", f"{head}{gap}{value}{{8,}}"),
+        ("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{12,}"),
+        ("hex", "[0-9a-f]+", "[0-9a-f]{32,}"),
+        ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ""),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", ""),
+    ]
+    cut = ", ".join(f"regexp_extract_all(t, '{p}') AS m{i}, regexp_split_to_array(t, '{p}') AS s{i}" for i, (_, p, _) in enumerate(kinds))
+    spans = " UNION ALL ".join(
+        f"""SELECT r, {i} AS k, '{name}' AS kind, list_sum(list_transform(s{i}[1:p], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:p - 1], lambda x: length(x))), 0) AS b, length(m{i}[p]) AS n
+        FROM d, unnest(range(1, len(m{i}) + 1)) t(p) WHERE {f"regexp_full_match(m{i}[p], '{fine}')" if fine else "true"}"""
+        for i, (name, _, fine) in enumerate(kinds)
+    )
+    listed = lambda w: f"coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT), ',' ORDER BY b, k) FILTER ({w}), '')"
+    return f"""
+WITH d AS (SELECT r, doc_id, {cut} FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)),
+x AS ({spans}),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {listed("k < 3")} AS base, {listed("true")} AS spans FROM x GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SECRETS = secrets_sql()
