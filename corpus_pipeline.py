@@ -17,7 +17,9 @@ BUDGET_SHARE, SHARDS = 0.9, 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language; without a letter or a text they go."""
+    """Documents whose text is in a language, with the predicted one as ``lang``; those without a
+    text or a letter go, and those whose language is ambiguous and has less than half of the
+    score (``language.LEAST_SCORE``)."""
     return language.keep_known(docs)
 
 
@@ -40,9 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, size (bytes of the text plus 16), shard, and the shard with one more."""
+    """All columns, size (bytes of the text plus 16), shard, and the shard with one more;
+    columns of the documents that are called like these become ``input_<name>``."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    return sharding.place(docs.withColumn("size", size), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return sharding.place(sharding.aside(docs, ["size"]).withColumn("size", size), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
 STAGES = [
