@@ -7,9 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Held while a table is written: the table takes the place of its shuffles, so their files
-#: go as soon as it is there; and Arrow batches are small, whatever one row holds.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Held while a table is written: it takes the place of its shuffles, so their files go as soon
+#: as it is there.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB instead of 64 where the session has Spark's default: batches
+    of texts are held several times over, by each task and its Python worker."""
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, "4m")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,14 +50,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
     The table stays until ``clean``, as results that are still to be computed read it."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
+    small_batches(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
