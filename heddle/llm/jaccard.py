@@ -43,7 +43,7 @@ PERCENT = 75
 ORDERS = 6
 #: Most shingles that the index's order puts last, and the most a task reports of its own.
 COMMON, COMMON_OF_TASK = 1 << 16, 1 << 14
-_HELD = 1 << 20
+_SLOTS, _FRESH = 1 << 20, 1 << 17
 #: Of the map of a prefix under the second order.
 BITS = 256
 _MAPS = tuple(f"m{i}" for i in range(BITS // 64))
@@ -54,38 +54,48 @@ def prefix_length(n: int) -> int:
 
 
 class _Counter:
-    """Shingles that many of a task's documents hold, at most ``_HELD`` at a time (mergeable
-    Misra-Gries counters: counts are too low by the same amount for all at most)."""
+    """Shingles that many of a task's documents hold, in a table of ``_SLOTS`` places.
+
+    A place holds one shingle and a count; the same shingle adds to it, others of that place
+    take from it, and who brings it below zero takes it over.  So a shingle stays that comes
+    more often than all others of its place."""
 
     def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.counts = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
         self.fresh: list[np.ndarray] = []
         self.held = 0
 
     def add(self, s: np.ndarray) -> None:
-        for a in range(0, len(s), _HELD):
-            self.fresh.append(s[a : a + _HELD].copy())
+        for a in range(0, len(s), _FRESH):
+            self.fresh.append(s[a : a + _FRESH].copy())
             self.held += len(self.fresh[-1])
-            if self.held > _HELD:
+            if self.held >= _FRESH:
                 self.merge()
 
     def merge(self) -> None:
         if not self.fresh:
             return
-        keys = np.concatenate([self.keys, *self.fresh])
-        counts = np.concatenate([self.counts, np.ones(self.held, np.int64)])
+        keys, counts = np.unique(np.concatenate(self.fresh), return_counts=True)
         self.fresh, self.held = [], 0
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-        if len(keys) > _HELD:
-            counts -= np.partition(counts, len(keys) - _HELD - 1)[len(keys) - _HELD - 1]
-        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
+        counts = counts.astype(np.int32)
+        slot = (mix(keys) % np.uint64(_SLOTS)).astype(np.int32)
+        # shingles of one place take turns
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            k, c, at = keys[first], counts[first], slot[first]
+            left = self.counts[at] + np.where(self.keys[at] == k, c, -c)
+            taken = left < 0
+            self.keys[at[taken]] = k[taken]
+            self.counts[at] = np.abs(left)
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, counts, slot = keys[rest], counts[rest], slot[rest]
 
     def most(self) -> tuple[np.ndarray, np.ndarray]:
         self.merge()
         often = np.flatnonzero(self.counts > 1)
         top = often[np.argsort(-self.counts[often], kind="stable")][:COMMON_OF_TASK]
-        return self.keys[top], self.counts[top]
+        return self.keys[top], self.counts[top].astype(np.int64)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -224,11 +234,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     hashed = members.mapInArrow(_hash_ids, "key long")
     sent = spark.sparkContext.broadcast(bloom.build(hashed, "key"))
-    texts = docs.mapInArrow(_listed(sent), docs.schema)
+    # written, so that no task runs Python for both sides and for the comparison at once
+    texts = written(docs.mapInArrow(_listed(sent), docs.schema), "pair-texts")
     a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     with_b = pairs.join(b, F.col("b") == F.col("doc_b")).select("a", "b", "text_b")
     with_both = with_b.join(a, F.col("a") == F.col("doc_a")).select("a", "b", "text_a", "text_b")
-    return written(with_both.mapInArrow(_linked, "a long, b long"), "links")
+    links = written(with_both.mapInArrow(_linked, "a long, b long"), "links")
+    drop_table(texts)
+    return links
 
 
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

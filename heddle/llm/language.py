@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.bytewords import LOWER, slices, utf8
+from heddle.llm.shared import small_batches
 
 BUCKETS = 4096
 BITS = 31
@@ -139,6 +140,7 @@ def train(labelled: DataFrame) -> Model | None:
     """Fit on all of ``labelled`` (text, lang), whole texts, each of equal weight in its language.
     Null languages, null texts and texts without letters teach nothing; without rows there is
     no model.  The driver gets one number for each language and bucket."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     parts = rows.mapInArrow(_sums, "lang string, bucket int, held double, texts long")
     got = parts.groupBy("lang", "bucket").agg(F.sum("held").alias("held"), F.sum("texts").alias("texts")).toPandas()
@@ -206,6 +208,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], made: tuple[
     1) and whether it is ambiguous, from the text alone; ``letter`` names a further column: whether
     the text has a letter.  Null texts and texts without a letter are ``und`` with score 0, and
     so is everything if there is no model.  Very long texts are read in pieces."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.names, model.codes, model.weights, model.trust) if model else None)
     read = docs.select(*keep, *([] if "text" in keep else ["text"]))
     names = [*made, *([letter] if letter else [])]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heddle.plans.stored import drop_path, drop_table, fresh_path, shared_root, written
+from heddle.plans.stored import drop_path, drop_table, fresh_path, shared_root, small_batches, written
 
-__all__ = ["drop_path", "drop_table", "fresh_path", "md5_uint60", "shared_root", "written"]
+__all__ = ["drop_path", "drop_table", "fresh_path", "md5_uint60", "shared_root", "small_batches", "written"]
 
 
 def md5_uint60(*parts: Column | str) -> Column:

@@ -98,14 +98,18 @@ def test_unlike_words_with_equal_polynomials(spark):
 
 
 def test_counter_is_bounded(monkeypatch):
-    monkeypatch.setattr(jaccard, "_HELD", 64)
+    monkeypatch.setattr(jaccard, "_SLOTS", 64)
+    monkeypatch.setattr(jaccard, "_FRESH", 100)
     rng = np.random.default_rng(2)
     seen = jaccard._Counter()
-    for i in range(200):
-        seen.add(np.unique(np.append(rng.integers(0, 1 << 40, 50), 7)).astype(np.uint64))
-        assert len(seen.keys) <= 64 and seen.held <= 128
+    for _ in range(200):
+        seen.add(np.unique(np.append(rng.integers(100, 1 << 40, 20), [7, 8])).astype(np.uint64))
+        assert len(seen.keys) == 64 and seen.held <= 200
     keys, counts = seen.most()
-    assert keys[0] == 7 and 1 < counts[0] <= 200
+    assert set(keys[:2].tolist()) == {7, 8} and all(50 < c <= 200 for c in counts[:2])
+    again = jaccard._Counter()
+    again.add(np.array([3, 3, 5], np.uint64))
+    assert dict(zip(*again.most(), strict=True)) == {3: 2}
 
 
 def test_commonest_stay_within_the_bound(spark, monkeypatch):
