@@ -58,43 +58,84 @@ def nfc(c: Column | str) -> Column:
 
 
 def clean_title(c: Column | str) -> Column:
-    """Drop a quote before a leading bracket and repeated bullets or dashes."""
+    """Drop apostrophes right before a leading bracket, and repeated bullets or dashes that a
+    blank follows."""
     t = strip(c)
-    t = F.when(t.rlike(r"^[\"'«“„]\s*\["), F.regexp_replace(t, r"^[\"'«“„]\s*", "")).otherwise(t)
-    return strip(F.regexp_replace(t, r"^(?:[-—–•] \s*)+", ""))
+    t = F.when(t.rlike(r"^['’]+\["), F.regexp_replace(t, r"^['’]+", "")).otherwise(t)
+    return strip(F.regexp_replace(t, r"(?U)^(?:[-—–•] \s*)+", ""))
 
 
 def identity_title(title: Column | str, year: Column | str) -> Column:
     """A title without a dangling ``(YYYY`` that repeats its year."""
     t = col(title)
-    dangling = F.regexp_extract(t, r"\s+\((\d{4})$", 1)
-    return F.when((dangling != "") & (dangling == col(year).cast("string")), F.regexp_replace(t, r"\s+\(\d{4}$", "")).otherwise(t)
+    dangling = F.regexp_extract(t, r"\s+\((\d{4})\z", 1)
+    return F.when((dangling != "") & (dangling == col(year).cast("string")), strip(F.regexp_replace(t, r"\s+\(\d{4}\z", ""))).otherwise(t)
 
 
 def malformed_author(title: Column | str) -> Column:
-    """``Author] Title`` and ``[Author| Title`` as struct(author, title); null if neither."""
+    """``Author] Title`` and ``[Author| Title`` (also ``[Author|] Title``) as struct(author,
+    title); null if neither, or if one of them is blank."""
     t = col(title)
-    a, b = r"^([^\[\]|]+)\]\s*(\S.*)$", r"^\[([^\[\]|]+)\|\s*(\S.*)$"
+    a, b = r"(?s)^([^\[\]]*)\](.*)$", r"(?s)^\[([^|]*)\|\]?(.*)$"
     part = lambda p: F.struct(strip(F.regexp_extract(t, p, 1)).alias("author"), strip(F.regexp_extract(t, p, 2)).alias("title"))
-    return F.when(t.rlike(a), part(a)).when(t.rlike(b), part(b))
+    found = F.when(t.startswith("["), part(b)).otherwise(part(a))
+    return F.when((found["author"] != "") & (found["title"] != ""), found)
 
 
-def date_range_heading(title: Column | str, raw: Column | str) -> Column:
-    """A heading that is only a date, or the end of a range of dates, takes the first
-    heading of the raw block that says more."""
-    t, short = strip(title), r"^\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?$"
-    lines = F.filter(F.transform(F.split(col(raw), "\n"), strip), lambda x: (x != "") & ~x.rlike(short) & x.contains(t))
-    return F.when(t.rlike(short), F.coalesce(F.try_element_at(lines, F.lit(1)), t)).otherwise(t)
+SHORT_DATE = r"^\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?\z"
+RANGE_DASH = "―"
 
 
-def without_urls(title: Column | str, urls: Column | str) -> Column:
-    """A title without those of its words that are in ``urls``; never empty.  The white space
-    on both sides of a cut becomes one space."""
+def date_range_heading(title: Column | str, author: Column | str, raw: Column | str, year: Column | str) -> Column:
+    """Repair of a heading ``[Provider] Event 01.02 ― 03.04`` that was read as author ``Event
+    01.02`` and title ``03.04``: struct(author, title) with the provider as author and both
+    halves as title; null where the first line of the raw block does not say just that."""
+    t, who = squeeze(title), squeeze(author)
+    line = squeeze(F.element_at(F.split(col(raw), "\n", 2), 1))
+    line = F.when(line.startswith("[["), F.substring(line, 2, 1 << 30)).otherwise(line)
+    labels = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(line, r"^((?:\[[^\]]+\]\s*)+)", 1), F.lit(r"\[([^\]]+)\]"), F.lit(1)), squeeze), lambda x: x != "")
+    rest = F.regexp_replace(line, r"^(?:\[[^\]]+\]\s*)+", "")
+    body = squeeze(F.regexp_replace(rest, r"^\]", ""))
+    tail = F.concat(F.lit(" ("), col(year).cast("string"), F.lit(")"))
+    body = F.when(col(year).isNotNull() & body.endswith(tail), squeeze(F.substring(body, F.lit(1), F.char_length(body) - F.char_length(tail)))).otherwise(body)
+    at = F.instr(body, RANGE_DASH)
+    left, right = squeeze(F.substring(body, F.lit(1), at - 1)), squeeze(F.substring(body, at + 1, F.lit(1 << 30)))
+    said = t.rlike(SHORT_DATE) & F.element_at(F.split(who, " "), -1).rlike(SHORT_DATE)
+    fits = said & ~rest.startswith("[") & (F.size(labels) > 0) & (at > 0) & (left == who) & (right == t)
+    return F.when(fits, F.struct(F.try_element_at(labels, F.lit(1)).alias("author"), F.concat(left, F.lit(f" {RANGE_DASH} "), right).alias("title")))
+
+
+URL_WORD = r"(?i)^https?://\S+$"
+
+
+def url_words(title: Column | str) -> Column:
+    """The words of a title that are HTTP addresses."""
+    return F.filter(F.split(col(title), r"(?U)\s+"), lambda w: w.rlike(URL_WORD))
+
+
+def without_words(title: Column | str, words: Column) -> Column:
+    """A title without those of its words that are in ``words``, from the left, as long as
+    something is left; the white space on both sides of a cut becomes one space."""
     t = col(title)
-    kept = F.filter(F.split(t, r"(?U)\s+"), lambda w: ~F.array_contains(col(urls), w))
-    cut = F.trim(F.array_join(kept, " "))
-    touched = F.arrays_overlap(F.split(t, r"(?U)\s+"), F.coalesce(col(urls), F.array().cast("array<string>")))
-    return F.when(touched & (cut != ""), cut).otherwise(t)
+    pieces = F.regexp_extract_all(t, F.lit(r"(?U)(\s+|\S+)"), F.lit(1))
+    gone = lambda p: F.array_contains(words, p)
+    start = F.struct(F.lit("").alias("kept"), F.lit(False).alias("cut"))
+
+    def step(a: Column, p: Column) -> Column:
+        blank = p.rlike(r"(?U)^\s")
+        # white space next to a cut waits, as one space at most
+        joined = F.when(a["cut"], F.when(blank, a["kept"]).when(a["kept"] == "", p).otherwise(F.concat(a["kept"], F.lit(" "), p))).otherwise(F.concat(a["kept"], p))
+        return F.struct(F.when(gone(p), strip_right(a["kept"])).otherwise(joined).alias("kept"), (gone(p) | (a["cut"] & blank)).alias("cut"))
+
+    cut = strip(F.aggregate(pieces, start, step, lambda a: a["kept"]))
+    # a title of nothing but such words keeps its last one
+    last = F.element_at(F.filter(pieces, lambda p: ~p.rlike(r"(?U)^\s")), -1)
+    touched = F.arrays_overlap(pieces, words)
+    return F.when(~F.coalesce(touched, F.lit(False)), t).when(cut == "", last).otherwise(cut)
+
+
+def strip_right(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
 def tokens(c: Column | str) -> Column:

@@ -73,6 +73,19 @@ def _keeps_underscores(text: str, alone: bool) -> bool:
     return not alone and (any(c in "0123456789" for c in text) or any(re.fullmatch(r"(?=.*[A-Z])[A-Z0-9]{2,}", part) for part in text.split("_")))
 
 
+# Quotes that may stand before a provider's label, and pairs around a whole title.
+QUOTES = "'\"‘’“”„«»"
+PAIRS = ("''", '""', "‘’", "“”", "„“", "„”", "«»")
+_NOISE = re.compile(rf"([{QUOTES}]*)([0-9]+\.)?(?=\[[^\]]+\])")
+
+
+def _without_noise(title: str) -> str:
+    """A title without quotes and an ordinal before ``[provider]``, unless a pair of quotes
+    holds the whole title."""
+    paired = len(title) > 2 and title[0] + title[-1] in PAIRS
+    return title if paired else title[_NOISE.match(title).end() if _NOISE.match(title) else 0 :]
+
+
 def cleanup(title: str, rules: Rules) -> str:
     out = title
     if rules.decode_entities and "&" in out:
@@ -80,9 +93,7 @@ def cleanup(title: str, rules: Rules) -> str:
     if rules.drop_format_chars:
         out = "".join(c for c in out if unicodedata.category(c) != "Cf")
     if rules.strip_provider_noise:
-        noise = re.match(r"""^(['"`‘’“”„«»]*)(\d+\.)?(?=\[[^\]]+\])""", out)
-        if noise and noise[1]:
-            out = out[noise.end() :]
+        out = _without_noise(out)
     if rules.underscores and "_" in out:
         alone = len(out.split()) <= 1
         out = "".join(x if x.isspace() or _keeps_underscores(x, alone) else re.sub("_+", " ", x) for x in re.split(r"(\s+)", out))
@@ -173,10 +184,25 @@ def normalized(c: Column | str, rules: Rules = Rules()) -> Column:  # noqa: B008
 def normalize_titles(df: DataFrame, title: str, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """``df`` with ``title`` normalized, ``title_original`` and ``title_changed``.  Python sees each
     distinct title once; titles without a Latin letter, entity or underscore stay in the JVM."""
-    suspect = F.col(title).rlike(r"[A-Za-z&_]|\p{Cf}|^['\"‘’“”„«»]")
+    suspect = F.col(title).rlike(r"[A-Za-z&_]|\p{Cf}|^(?:['\"‘’“”„«»]|\d+\.\[)")
     distinct = df.filter(suspect).select(F.col(title).alias("_t")).distinct()
     found = distinct.select("_t", normalized("_t", rules).alias("_n"))
     out = df.join(found, df[title] == F.col("_t"), "left")
     rest = [df[c] for c in df.columns if c != title]
     new = F.coalesce("_n", F.col(title))
     return out.select(*rest, new.alias(title), F.col(title).alias("title_original"), (~new.eqNullSafe(F.col(title))).alias("title_changed"))
+
+
+#: Kinds of a rule table and the fields that they fill.
+_KINDS = {"protected_exact": "protected_exact", "protected_ci": "protected_ci", "protected_substring": "protected_substrings", "force_token": "force_tokens", "force_phrase": "force_phrases"}
+
+
+def rules_of(table: DataFrame, **cleanups: bool) -> Rules:
+    """Rules from a control table (kind, value), see ``quality.title_rule_rules``; it is small and
+    is read by the driver."""
+    held: dict[str, list[str]] = {f: [] for f in _KINDS.values()}
+    for row in table.select("kind", "value").collect():
+        value = row["value"] if row["kind"] == "protected_exact" else " ".join(row["value"].lower().split())
+        held[_KINDS[row["kind"]]].append(value)
+    plain = ("protected_substrings", "force_phrases")
+    return Rules(**{f: tuple(sorted(v)) if f in plain else frozenset(v) for f, v in held.items()}, **cleanups)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,17 @@ MAX_HOPS = 5
 TRANSPORT_REASONS = {"timeout": "timeout", "canceled": "canceled", "dns": "dns_failure", "tls": "tls_failure", "connection": "connection_failure", "redirect": "redirect_failure", "body": "body_read_failure"}
 OTHER_TRANSPORT = "transport_failure"
 
-# IPv4 blocks that may not be fetched (first address, last address).
-UNSAFE_BLOCKS = (
-    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.88.99.0", "192.88.99.255"), ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "239.255.255.255"), ("240.0.0.0", "255.255.255.255"),
+# Address blocks that may not be fetched.
+UNSAFE_IPV4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16",
+    "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
+# The IPv6 block of public unicast addresses, and blocks inside it that may not be fetched.
+PUBLIC_IPV6 = "2000::/3"
+UNSAFE_IPV6 = ("2001::/23", "2001:db8::/32", "2002::/16", "2620:4f:8000::/48", "3fff::/20")
+
+#: IPv6 addresses stand for their first 64 bits, of which 63 are enough to be numbers above those of IPv4.
+_V6 = 1 << 62
 
 
 def candidates(entries: DataFrame, inspected: str = "link") -> DataFrame:
@@ -116,20 +123,24 @@ def state_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("state").count()
 
 
-def probe_plan(heads: DataFrame, rules: DataFrame) -> DataFrame:
+def probe_plan(heads: DataFrame, rules: DataFrame, body_limit: int = 1 << 20) -> DataFrame:
     """What to fetch after a first HEAD: ``heads`` (sha256, http_status, transport_error,
-    rule_ord), ``rules`` (rule_ord, needs_body, body_limit).
+    rule_ord), ``rules`` (rule_ord, dead_statuses, needs_body, body_limit).
 
-    A GET is needed if HEAD is refused or failed, or if the rule has body checks and the
-    status can carry a body that matters; without them one byte is enough."""
+    A HEAD that failed in transport ends the probe.  One that the server does not support (405,
+    501) and one that says gone (404, 410, or a dead status of the rule) is asked again by
+    GET; so is success where the rule has body checks.  Without body checks one byte is
+    enough; ``then`` says that a GET refused with 416 is repeated without a range."""
     out = heads.join(rules, "rule_ord", "left")
-    refused = F.col("http_status").isin(400, 405, 406, 416, 501) | (F.coalesce("transport_error", F.lit("")) != "")
-    body = F.coalesce("needs_body", F.lit(False)) & ~F.col("http_status").isin(404, 410)
+    status = F.col("http_status")
+    arrived = (F.coalesce("transport_error", F.lit("")) == "") & status.isNotNull()
+    again = status.isin(405, 501) | status.isin(404, 410) | F.coalesce(F.array_contains("dead_statuses", status), F.lit(False))
+    body = F.coalesce("needs_body", F.lit(False)) & (again | status.between(200, 299))
     return out.select(
         "sha256",
-        (refused | body).alias("needs_get"),
-        F.when(body | refused & F.coalesce("needs_body", F.lit(False)), F.coalesce("body_limit", F.lit(1 << 20))).when(refused, 1).otherwise(0).cast("long").alias("byte_limit"),
-        (F.col("http_status") == 416).alias("without_range"),
+        F.coalesce(arrived & (again | body), F.lit(False)).alias("needs_get"),
+        F.when(arrived & body, F.coalesce("body_limit", F.lit(body_limit))).when(arrived & again, 1).otherwise(0).cast("long").alias("byte_limit"),
+        F.when(arrived & (again | body), "repeat_without_range_on_416").alias("then"),
     )
 
 
@@ -146,21 +157,64 @@ def redirect_verdict(hops: DataFrame, allowed: DataFrame) -> DataFrame:
     )
 
 
-def unsafe_ip6(ip: Column) -> Column:
-    """Whether an IPv6 literal is outside the global unicast block 2000::/3."""
-    first = F.try_to_number(F.conv(F.regexp_extract(F.lower(ip), r"^([0-9a-f]{1,4}):", 1), 16, 10), F.lit("99999")).cast("int")
-    return ip.contains(":") & ~F.coalesce(first.between(0x2000, 0x3FFF), F.lit(False))
+def _numbers(ips: pd.Series) -> pd.Series:
+    """An address text as a number: IPv4 (also mapped into IPv6) as it is, of IPv6 the first 63
+    bits above ``_V6``; null for what is no address."""
 
+    def one(text):
+        try:
+            ip = ipaddress.ip_address(text.split("%")[0].strip())
+        except (ValueError, AttributeError):
+            return None
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return int(ip) if ip.version == 4 else _V6 | int(ip) >> 66
+
+    return ips.map(one).astype("Int64")
 
-def unsafe_addresses(addresses: DataFrame, blocks: DataFrame, host: str = "host", ip: str = "ip") -> DataFrame:
-    """Per host whether any of its addresses (as numbers) is in one of ``blocks`` (lo, hi).
 
-    A range join by keys: a block is cut at multiples of 2**24, and an address meets only
-    the pieces under its own first byte."""
-    step = 1 << 24
-    cut = blocks.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))).alias("part"))
-    distinct = addresses.select(ip).distinct().withColumn("part", F.floor(F.col(ip) / step))
-    bad = distinct.join(cut, "part").filter(F.col(ip).between(F.col("lo"), F.col("hi"))).select(F.col(ip).alias("_bad")).distinct()
-    return addresses.join(bad, addresses[ip] == F.col("_bad"), "left").groupBy(host).agg(F.max(F.col("_bad").isNotNull()).alias("unsafe"))
+def address_number(ip: Column | str) -> Column:
+    """``_numbers`` of a column of address texts."""
+    return F.pandas_udf(_numbers, "long")(F.col(ip) if isinstance(ip, str) else ip)
 
 
+def unsafe_blocks() -> list[tuple[int, int]]:
+    """The ranges of ``address_number`` that may not be fetched."""
+    out = [(int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, UNSAFE_IPV4)]
+    span = lambda text: (lambda n: (int(n[0]) >> 66, int(n[-1]) >> 66))(ipaddress.ip_network(text))
+    lo, hi = span(PUBLIC_IPV6)
+    top = (1 << 62) - 1
+    return out + [(_V6 | a, _V6 | b) for a, b in [(0, lo - 1), (hi + 1, top), *map(span, UNSAFE_IPV6)]]
+
+
+def unsafe_addresses(addresses: DataFrame, blocks: DataFrame, host: str = "host", ip: str = "ip") -> DataFrame:
+    """Per host whether any of its addresses (as numbers, see ``address_number``; null is
+    unsafe) is in one of ``blocks`` (lo, hi).
+
+    A range join by keys: a block is cut into aligned pieces whose sizes are powers of two,
+    and an address meets the pieces that begin where it would begin at each size that
+    occurs."""
+    cut = blocks.select("lo", "hi", F.explode(_aligned("lo", "hi")).alias("bits")).select("lo", "hi", "bits.*")
+    sizes = [r[0] for r in cut.select("bit").distinct().collect()]  # 63 at most
+    distinct = addresses.select(ip).filter(F.col(ip).isNotNull()).distinct()
+    each = distinct.select(ip, F.explode(F.array(*[F.struct(F.lit(b).alias("bit"), F.expr(f"shiftright({ip}, {b})").alias("part")) for b in sizes]))).select(ip, "col.*") if sizes else None
+    bad = each.join(cut.select("bit", "part").distinct(), ["bit", "part"]).select(F.col(ip).alias("_bad")).distinct() if sizes else distinct.limit(0).select(F.col(ip).alias("_bad"))
+    found = F.col("_bad").isNotNull() | F.col(ip).isNull()
+    return addresses.join(bad, addresses[ip] == F.col("_bad"), "left").groupBy(host).agg(F.max(found).alias("unsafe"))
+
+
+def _aligned(lo: str, hi: str) -> Column:
+    """The aligned pieces of a range as array of struct(bit, part)."""
+
+    @F.pandas_udf("array<struct<bit:int,part:bigint>>")
+    def cut(los: pd.Series, his: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(los, his, strict=True):
+            pieces, at = [], int(a)
+            while at <= b:
+                bit = min((at & -at).bit_length() - 1 if at else 62, (int(b) - at + 1).bit_length() - 1)
+                pieces.append({"bit": bit, "part": at >> bit})
+                at += 1 << bit
+            out.append(pieces)
+        return pd.Series(out)
+
+    return cut(F.col(lo), F.col(hi))
