@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.text import normalize, tokens
+from heddle.plans.stored import written
 
 OTHER, SERVICE = "other", "service"
 
@@ -27,22 +28,37 @@ def keyword_kinds(keywords: DataFrame) -> DataFrame:
     return keywords.select("id", k.alias("keyword"), kind.alias("kind")).filter(F.col("keyword") != "").distinct()
 
 
+def _lengths(kinds: DataFrame, kind: str, of: Column) -> list[int]:
+    """The lengths that occur among keywords of a kind; a few rows."""
+    return sorted(r[0] for r in kinds.filter(F.col("kind") == kind).select(of.alias("n")).distinct().collect())
+
+
+def _said(kind: str, values: Column) -> Column:
+    return F.transform(F.array_distinct(values), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("keyword")))
+
+
+def _beginnings(n: int) -> Column:
+    """The first ``n`` characters of the words that have as many."""
+    return F.transform(F.filter("w", lambda x: F.char_length(x) >= n), lambda x: F.substring(x, 1, n))
+
+
+def _runs(n: int) -> Column:
+    """All runs of ``n`` words."""
+    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+
 def matches(docs: DataFrame, key: str, text: Column, keywords: DataFrame) -> DataFrame:
     """Distinct (key, id) of taxonomy ids that match a normalized text.
 
-    Words and their beginnings meet keywords by equality; a phrase by its words from each
-    place.  So the join is by key, however long the keyword list is."""
-    kinds = keyword_kinds(keywords)
-    base = docs.select(F.col(key), tokens(text).alias("w"))
-    word = base.select(key, F.explode(F.array_distinct("w")).alias("word"))
-    exact = kinds.filter("kind = 'exact'").select("id", F.col("keyword").alias("word"))
-    prefix = kinds.filter("kind = 'prefix'").select("id", F.col("keyword").alias("begin"))
-    begins = word.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), 1, i))).alias("begin"))
-    phrase = kinds.filter("kind = 'phrase'").select("id", F.col("keyword").alias("phrase"), F.split("keyword", " ")[0].alias("first"))
-    placed = base.select(key, F.posexplode("w").alias("at", "first"), F.array_join("w", " ").alias("whole"), "w")
-    runs = placed.join(phrase, "first").filter(F.concat(F.array_join(F.slice("w", F.col("at") + 1, 64), " "), F.lit(" ")).startswith(F.concat("phrase", F.lit(" "))))
-    found = word.join(exact, "word").select(key, "id").unionByName(begins.join(prefix, "begin").select(key, "id")).unionByName(runs.select(key, "id"))
-    return found.distinct()
+    Words, their beginnings and runs of words meet keywords by equality, at the lengths that
+    occur among the keywords.  So the join is by key, however long the keyword list is, and a
+    text costs a row for each distinct word and run."""
+    kinds = written(keyword_kinds(keywords), "keywords")
+    begins, runs = _lengths(kinds, "prefix", F.char_length("keyword")), _lengths(kinds, "phrase", F.size(F.split("keyword", " ")))
+    said = [_said("exact", F.array_distinct("w"))] + [_said("prefix", _beginnings(n)) for n in begins] + [_said("phrase", _runs(n)) for n in runs]
+    each = docs.select(F.col(key), tokens(text).alias("w")).select(key, F.explode(F.concat(*said)).alias("x")).select(key, "x.*")
+    return each.join(kinds, ["kind", "keyword"]).select(key, "id").distinct()
 
 
 def blocked(docs: DataFrame, key: str, text: Column, blocks: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
@@ -89,11 +105,6 @@ def format_labels(words: Column, rules: Sequence[tuple[str, Sequence[str], Seque
     return F.when(F.size(found) == 0, F.array(F.lit("unspecified"))).otherwise(found), source
 
 
-def word_forms(stem: str, endings: str) -> list[str]:
-    """A word's forms: the stem with each of the endings (``-`` is none)."""
-    return [stem + ("" if e == "-" else e) for e in endings.split()]
-
-
 def propagate_majority(rows: DataFrame, author: str, categories: str, taxonomy: DataFrame, *, least: int = 2, percent: int = 70) -> DataFrame:
     """``rows`` with ``categories`` of rows that are exactly ``[other]`` replaced by their
     author's main topic: that of at least ``percent`` of the author's classified rows (by their

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.links import with_link
+
 
 def says_something(c: Column, kind: str) -> Column:
     """Not null, and not blank if it is text."""
@@ -23,10 +25,29 @@ def latest(df: DataFrame, name: str, order: Column) -> Column:
     return F.max_by(F.when(says_something(F.col(name), _kind(df, name)), F.col(name)), F.when(says_something(F.col(name), _kind(df, name)), order)).alias(name)
 
 
-def united(name: str, order: Column) -> Column:
-    """All values of an array column in order of first sight, each once."""
-    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.coalesce(F.col(name), F.array()).alias("v"))))
-    return F.array_distinct(F.flatten(F.transform(listed, lambda x: x["v"]))).alias(name)
+def distinct_in_order(rows: DataFrame, keys: Sequence[str], arrays: Sequence[str], order: Column) -> DataFrame:
+    """For each key the values of the array columns in order of first sight, each once.
+
+    Values combine before they are collected, so a key with very many rows costs a row for
+    each distinct value and task."""
+    types = {a: rows.schema[a].dataType.elementType for a in arrays}
+
+    def values(a: str) -> Column:
+        own = lambda v, b: v if b == a else F.lit(None).cast(types[b])
+        return F.transform(F.coalesce(F.col(a), F.array().cast(rows.schema[a].dataType)), lambda v, i: F.struct(F.lit(a).alias("which"), F.struct(order.alias("o"), i.alias("i")).alias("at"), F.struct(*[own(v, b).alias(b) for b in arrays]).alias("v")))
+
+    each = rows.select(*keys, F.explode(F.concat(*[values(a) for a in arrays])).alias("x")).select(*keys, "x.*")
+    first = each.groupBy(*keys, "which", "v").agg(F.min("at").alias("at"))
+    listed = lambda a: F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == a, F.struct("at", F.col(f"v.{a}").alias("v"))))), lambda x: x["v"]).alias(a)
+    return first.groupBy(*keys).agg(*[listed(a) for a in arrays])
+
+
+def with_arrays(folded: DataFrame, listed: DataFrame, keys: Sequence[str], arrays: Sequence[str], types: dict) -> DataFrame:
+    """``folded`` with the array columns of ``listed``; keys without values get empty arrays."""
+    named = listed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_a{i}") for i, a in enumerate(arrays)])
+    same = [folded[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
+    filled = [F.coalesce(F.col(f"_a{i}"), F.array().cast(types[a])).alias(a) for i, a in enumerate(arrays)]
+    return folded.join(named, same, "left").select(*folded.columns, *filled)
 
 
 def upsert(versions: DataFrame, key: str | Sequence[str], order: Sequence[str], *, arrays: Sequence[str] = (), scalars: Sequence[str] | None = None) -> DataFrame:
@@ -34,12 +55,37 @@ def upsert(versions: DataFrame, key: str | Sequence[str], order: Sequence[str],
     smallest order, which keeps the input's sequence.  Idempotent: a version seen twice
     changes nothing.
 
-    One shuffle on the key; all scalar columns combine before it."""
+    Everything combines before its shuffle, so no task holds all versions of a key."""
     keys = [key] if isinstance(key, str) else list(key)
     at = F.struct(*[F.col(c) for c in order])
     if scalars is None:
         scalars = [c for c in versions.columns if c not in {*keys, *order, *arrays}]
-    return versions.groupBy(*keys).agg(*[latest(versions, c, at) for c in scalars], *[united(c, at) for c in arrays], F.min(at).alias("first_seen"))
+    out = versions.groupBy(*keys).agg(*[latest(versions, c, at) for c in scalars], F.min(at).alias("first_seen"))
+    if arrays:
+        types = {a: versions.schema[a].dataType for a in arrays}
+        out = with_arrays(out, distinct_in_order(versions, keys, arrays, at), keys, arrays, types)
+    return out
+
+
+def merge_source_links(versions: DataFrame, owner: str, order: Sequence[str], links: str = "links") -> DataFrame:
+    """(owner, links): the links of all versions of an entry, one for each canonical form (or
+    trimmed address, if it has none): the first one's fields, primary if any is, the first
+    label and origin that say something, all sources."""
+    each = versions.select(owner, *order, F.posexplode(links).alias("_lpos", "_x"))
+    each = with_link(each, F.col("_x.url"), "_link").withColumn("_key", F.coalesce("_link.canonical", F.trim("_x.url")))
+    at = F.struct(*[F.col(c) for c in order], F.col("_lpos"))
+    told = F.nullif(F.trim("_x.normalized_from"), F.lit(""))
+    heads = each.groupBy(owner, "_key").agg(
+        F.min_by("_x", at).alias("_x"), F.max(F.coalesce("_x.primary", F.lit(False))).alias("primary"), F.min_by("_x.label", F.when(F.col("_x.label").isNotNull(), at)).alias("label"),
+        F.min_by("_x.normalized_from", F.when(told.isNotNull(), at)).alias("normalized_from"), F.min(at).alias("at"),
+    )
+    sources = distinct_in_order(each.select(owner, "_key", F.col("_x.sources").alias("sources"), at.alias("at")), [owner, "_key"], ["sources"], F.col("at"))
+    whole = with_arrays(heads, sources, [owner, "_key"], ["sources"], {"sources": "array<string>"})
+    fields = versions.schema[links].dataType.elementType.names
+    merged = {"primary", "label", "normalized_from", "sources"}
+    link = F.struct(*[(F.col(f) if f in merged else F.col(f"_x.{f}")).alias(f) for f in fields])
+    listed = whole.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("at", "_key", link.alias("link")))).alias("l"))
+    return listed.select(owner, F.transform("l", lambda x: x["link"]).alias(links))
 
 
 def merge_links(links: DataFrame, owner: Sequence[str], key: Column, order: Sequence[str]) -> DataFrame:

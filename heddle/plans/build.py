@@ -36,58 +36,115 @@ class Catalog:
     facets: DataFrame
     stats: DataFrame
     violations: DataFrame
+    source: DataFrame
 
 
-def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | None = None) -> Catalog:
+def source_violations(snapshots: DataFrame) -> DataFrame:
+    """What speaks against the snapshots before they are merged: counters that differ from the
+    rows, no entries, more than one channel."""
+    links = F.coalesce(F.aggregate("catalog_entries", F.lit(0), lambda n, e: n + F.greatest(F.size(F.coalesce(e["links"], F.array())), F.lit(0))), F.lit(0))
+    secrets = F.coalesce(F.aggregate("catalog_entries", F.lit(0), lambda n, e: n + F.greatest(F.size(F.coalesce(e["passwords"], F.array())), F.lit(0))), F.lit(0))
+    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0))
+    actual = {"retrieval.exported_message_count": size("messages"), "parsing.catalog_entry_count": size("catalog_entries"), "parsing.parsed_link_count": links, "parsing.password_value_count": secrets}
+    declared = lambda n: F.coalesce(F.col(f"stats.{n}"), F.lit(0))
+    rules = {n.split(".")[1]: (declared(n) == a, F.concat_ws("<>", declared(n).cast("string"), a.cast("string"))) for n, a in actual.items()}
+    rules["no_entries"] = (size("catalog_entries") > 0, F.col("snapshot_ord"))
+    channels = merge.same_source(exports.headers(snapshots)).select(F.lit("snapshots").alias("table"), F.lit("source").alias("key"), F.lit("conflicting_source").alias("rule"), F.concat_ws("/", F.col("ids").cast("string"), F.col("urls").cast("string")).alias("value"))
+    return quality.check(snapshots, "snapshots", "snapshot_ord", rules).unionByName(channels)
+
+
+def control_violations(controls: Controls) -> DataFrame:
+    """Rows of the control tables that no build may use."""
+    found = [quality.definition_rules(controls.taxonomy, "taxonomy")]
+    for table, rules in ((controls.tombstones, quality.tombstone_rules), (controls.suppressions, quality.suppression_rules), (controls.cache, quality.content_rules)):
+        if table is not None:
+            found.append(rules(table))
+    return quality.all_of(*found)
+
+
+def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | None = None, *, strict: bool = True) -> Catalog:
     """Snapshots (``exports.read_exports``) to a catalog: upsert, link hygiene, clusters, titles,
-    categories, facets.  Rows that break a source rule are in ``violations`` and left out."""
+    categories, facets.
+
+    Snapshots whose counters are wrong, of several channels, or without entries stop the
+    build (``quality.Broken``) before anything is written, and so do broken control tables.
+    Entries without an id, title, readable time or message stop it as well; if it is not
+    ``strict``, they are left out and listed in ``violations``."""
     spark = snapshots.sparkSession
+    quality.require(source_violations(snapshots), "snapshots")
+    quality.require(control_violations(controls), "control tables")
     tombstones = controls.tombstones if controls.tombstones is not None else stores.read_sidecar(spark, None, "tombstones")
     suppressions = controls.suppressions if controls.suppressions is not None else stores.read_sidecar(spark, None, "suppressions")
     cache = controls.cache if controls.cache is not None else stores.read_sidecar(spark, None, "cache")
     order = ["snapshot_ord", "pos"]
 
-    messages = written(merge.upsert(exports.messages(snapshots).withColumn("file_name", F.col("media.document.file_name")), "message_id", order), "messages")
-    raw = exports.entries(snapshots).withColumns({"author": T.optional("credit.author"), "note_list": F.filter(F.array(T.optional("notes")), lambda x: x.isNotNull())})
+    source = written(merge.fold_header(exports.headers(snapshots), ["snapshot_ord"]), "source")
+    said_messages = exports.messages(snapshots).withColumns({"file_name": F.col("media.document.file_name"), "mime_type": F.col("media.document.mime_type")}).drop("media")
+    messages = written(merge.upsert(said_messages, "message_id", order), "messages")
+    raw = exports.entries(snapshots).withColumn("author", T.optional("credit.author"))
     raw = raw.withColumns({"passwords": F.coalesce("passwords", F.array().cast("array<string>")), "links": F.coalesce("links", F.array().cast(f"array<{exports.LINK}>"))})
-    versions = raw.drop("credit", "notes")
-    entries = written(merge.upsert(versions, "entry_id", order, arrays=["passwords", "source_message_ids", "links", "note_list"]), "entries")
-
-    checks = {"blank_entry": (F.trim("entry_id") != "", F.col("entry_id")), "blank_title": (T.strip("title") != "", F.col("title")), "added_at": (F.try_to_timestamp("added_at").isNotNull(), F.col("added_at"))}
-    broken = quality.all_of(quality.check(entries, "entries", "entry_id", checks), quality.references(entries, messages, "entries", "entry_id", "message_id", "message_id"))
+    versions = written(raw.drop("credit"), "versions")
+    folded = merge.upsert(versions.drop("links"), "entry_id", order, arrays=["passwords", "source_message_ids"])
+    own = merge.merge_source_links(versions.select("entry_id", *order, "links"), "entry_id", order).select(F.col("entry_id").alias("_e"), "links")
+    entries = folded.join(own, folded["entry_id"].eqNullSafe(own["_e"]), "left").drop("_e")
+    entries = written(entries.withColumns({"links": F.coalesce("links", F.array().cast(f"array<{exports.LINK}>")), "note_list": F.array_compact(F.array(T.optional("notes")))}).drop("notes"), "entries")
+
+    said = lambda c: T.strip(F.coalesce(c, F.lit(""))) != ""
+    checks = {"blank_entry": (said(F.col("entry_id")), F.col("entry_id")), "blank_title": (said(F.col("title")), F.col("title")), "added_at": (F.try_to_timestamp("added_at").isNotNull(), F.col("added_at"))}
+    broken = quality.all_of(quality.check(entries, "entries", "entry_id", checks), quality.references(entries, messages, "entries", "entry_id", "message_id", "message_id"), quality.check(messages, "messages", "message_id", {"blank_message": (said(F.col("message_id")), F.col("message_id"))}))
     broken = written(broken, "violations")
-    entries = entries.join(broken.select(F.col("key").alias("entry_id")).distinct(), "entry_id", "left_anti")
+    if strict:
+        quality.require(broken, "entries")
+    entries = entries.join(broken.filter("table = 'entries'").select(F.col("key").alias("entry_id")).distinct(), "entry_id", "left_anti").filter(F.col("entry_id").isNotNull())
 
-    # links: one row each, from text and from matched attachments
+    # links: one row each
     linked = entries.select("entry_id", "title", "raw_block", "author", F.transform("links", lambda x: x["label"]).alias("labels"), F.posexplode("links").alias("pos", "x"))
-    linked = L.with_link(linked, F.col("x.url")).withColumns({"useful": L.actionable(F.col("title"), F.col("raw_block"), F.col("author"), F.col("x"), F.col("labels"))})
-    flat = linked.select("entry_id", "pos", "useful", "x.url", "x.host", "x.provider", "x.kind", "x.role", "x.primary", "x.label", "link.canonical", "link.rejection")
+    linked = L.with_link(linked, F.col("x.url")).withColumn("useful", L.actionable(F.col("title"), F.col("raw_block"), F.col("author"), F.col("x"), F.col("labels")))
+    flat = linked.select("entry_id", "pos", "useful", F.trim("x.url").alias("url"), "x.host", "x.provider", "x.kind", "x.role", "x.primary", "x.label", "link.canonical", "link.rejection")
+    marked = lambda rows: sidecars.dispositions(rows.withColumn("sha256", L.link_hash("canonical")), tombstones, suppressions)
+    flat = written(marked(flat), "links")
+    stated = flat.filter("disposition = 'kept'")
     if files is not None:
+        # links of attachments belong to entries, but say nothing about which are the same
         found = attachments.magnet_links(attachments.match(attachments.hashes(files), messages.select("message_id", "file_name")))
         extra = entries.select("entry_id", "message_id").join(found, "message_id")
         null = F.lit(None).cast("string")
-        flat = flat.unionByName(extra.select("entry_id", F.lit(1 << 20).alias("pos"), F.lit(True).alias("useful"), "url", null.alias("host"), F.lit("magnet").alias("provider"), F.lit("magnet").alias("kind"), F.lit("attachment").alias("role"), F.lit(False).alias("primary"), null.alias("label"), F.col("url").alias("canonical"), null.alias("rejection")))
-    flat = sidecars.dispositions(flat.withColumn("sha256", L.link_hash("canonical")), tombstones, suppressions)
-    flat = written(flat, "links")
+        extra = extra.select("entry_id", F.lit(1 << 20).alias("pos"), F.lit(True).alias("useful"), "url", null.alias("host"), F.lit("magnet").alias("provider"), F.lit("magnet").alias("kind"), F.lit("attachment").alias("role"), F.lit(False).alias("primary"), null.alias("label"), F.col("url").alias("canonical"), null.alias("rejection"))
+        flat = flat.unionByName(written(marked(extra), "attached-links"))
     kept = flat.filter("disposition = 'kept'")
 
-    # titles and clusters
-    named = entries.withColumn("title", T.without_urls(T.clean_title(T.date_range_heading("title", "raw_block")), F.transform("links", lambda x: x["url"])))
-    named = titles.normalize_titles(named, "title", controls.title_rules)
-    identity = T.normalize(T.identity_title(F.col("title_original"), "year"))
-    said = T.normalize(F.coalesce("author", F.lit("")))
-    span = F.concat_ws("-", F.col("year_range.from").cast("string"), F.col("year_range.to").cast("string"))
-    key = T.identity_key(identity, said, "year", span)
-    fixed = T.malformed_author("title_original")
-    repaired = F.when(fixed.isNotNull() & F.col("author").isNull(), T.identity_key(T.normalize(T.identity_title(fixed["title"], "year")), T.normalize(fixed["author"]), "year", span))
-    rows = written(named.withColumns({"identity": identity, "key": key, "repaired": repaired, "after": T.identity_key(T.normalize("title"), said, "year", span), "at": T.instant("added_at"), "ord": F.struct("first_seen.snapshot_ord", "first_seen.pos")}), "rows")
-    by_link = rows.select("entry_id", "identity", "year").join(kept.select("entry_id", "sha256").distinct(), "entry_id")
+    # titles
+    shown = entries.withColumn("_range", T.date_range_heading("title", "author", "raw_block", "year"))
+    shown = shown.withColumns({"_given": T.clean_title("title"), "_title": T.clean_title(F.coalesce("_range.title", "title")), "_author": F.coalesce("_range.author", "author")})
+    addresses = shown.select("entry_id", F.explode(F.array_distinct(T.url_words("_title"))).alias("word"))
+    addresses = L.with_link(addresses, F.col("word"), "said").select("entry_id", "word", F.col("said.canonical").alias("canonical"))
+    own_links = linked.filter(F.col("link.scheme").isin("http", "https")).select("entry_id", F.col("link.canonical").alias("canonical")).distinct()
+    cut = addresses.join(own_links, ["entry_id", "canonical"], "left_semi").groupBy("entry_id").agg(F.collect_set("word").alias("_cut"))
+    shown = shown.join(cut, "entry_id", "left").withColumn("_source", T.without_words("_title", F.coalesce("_cut", F.array().cast("array<string>"))))
+    shown = titles.normalize_titles(shown.drop("title").withColumnRenamed("_source", "title"), "title", controls.title_rules)
+    moved = F.col("_range").isNotNull() | (F.col("title_original") != F.col("_title"))
+    first = F.when(moved, F.col("_given")).when(F.col("title_changed"), F.col("title_original"))
+
+    # clusters
+    year, span = F.concat(F.lit("year:"), F.col("year").cast("string")), F.concat(F.lit("range:"), F.col("year_range.from").cast("string"), F.lit("-"), F.col("year_range.to").cast("string"))
+    channel = F.concat(F.lit("channel:"), F.coalesce(F.col("_channel").cast("string"), F.lit("0")))
+    key = lambda title, author: T.identity_key(channel, T.normalize(title), author, year, span)
+    credit = lambda c: T.normalize(F.coalesce(c, F.lit("")))
+    fixed = T.malformed_author("_given")
+    rows = shown.join(F.broadcast(source.select(F.col("channel_id").alias("_channel"))), F.lit(True))
+    rows = rows.select(
+        *[c for c in shown.columns if c not in ("author", "title_original", "_title", "_author", "_range", "_cut", "_given")], F.col("_author").alias("author"), first.alias("title_original"), T.normalize("_given").alias("given"),
+        key(T.identity_title(F.col("_given"), "year"), credit(F.col("author"))).alias("key"), F.when(fixed.isNotNull(), key(fixed["title"], T.normalize(fixed["author"]))).alias("repaired"), key(F.col("title"), credit(F.col("_author"))).alias("after"),
+        T.instant("added_at").alias("at"), F.struct("first_seen.snapshot_ord", "first_seen.pos").alias("ord"),
+    )
+    rows = written(rows, "rows")
+    by_link = rows.select("entry_id", "given", "year").join(stated.select("entry_id", "sha256").distinct(), "entry_id")
     same = cluster.key_edges(rows, "entry_id", F.col("key"), "I")
     edges = [
         same,
-        cluster.key_edges(by_link, "entry_id", cluster.title_link_key("sha256", "identity"), "TL"),
+        cluster.key_edges(by_link, "entry_id", cluster.title_link_key("sha256", "given"), "TL"),
         cluster.repaired_edges(rows, "entry_id", F.col("repaired"), same, "I"),
-        cluster.affix_edges(by_link, "sha256", "identity", "year"),
+        cluster.affix_edges(by_link, "sha256", "given", "year"),
         cluster.converged_edges(rows, "entry_id", F.col("after"), F.col("title_changed")),
     ]
     grouped = written(cluster.cluster(rows, "entry_id", edges), "clusters")
@@ -95,11 +152,15 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     # labels of members, then entities
     about = T.normalize(F.concat_ws(" ", "title", "author", "raw_block"))
     labels = classify.classify(grouped.withColumn("about", about), "entry_id", F.col("about"), controls.taxonomy, controls.keywords, controls.blocks)
-    carried = messages.select("message_id", (F.lower("media.document.mime_type") == "application/x-bittorrent").alias("attached"))
+    carried = messages.select("message_id", F.col("telegram_message_id"), F.col("url").alias("message_url"), (F.lower("mime_type") == "application/x-bittorrent").alias("attached"))
     member = grouped.join(labels, "entry_id").join(carried, "message_id", "left")
-    formats, source = classify.format_labels(T.tokens(T.normalize("title")), controls.formats, F.coalesce("attached", F.lit(False)))
-    member = member.withColumns({"formats": formats, "format_source": source, "source_entries": F.array("entry_id"), "source_message_ids": F.when(F.size("source_message_ids") > 0, F.col("source_message_ids")).otherwise(F.array("message_id"))})
-    folded = cluster.fold(member, "component", ["at", "entry_id"], ["entry_id", "title", "title_original", "author", "year", "year_range", "key", "format_source"], ["categories", "formats", "passwords", "note_list", "source_entries", "source_message_ids"], "at", "ord")
+    formats, format_source = classify.format_labels(T.tokens(T.normalize("title")), controls.formats, F.coalesce("attached", F.lit(False)))
+    told = lambda c: F.array_compact(F.array(T.optional(c)))
+    ids = T.distinct_text(F.coalesce("source_message_ids", F.array().cast("array<string>")))
+    member = member.withColumns({"formats": formats, "format_sources": F.array(format_source), "origins": told("origin"), "availabilities": told("availability"), "source_message_ids": F.when(F.size(ids) > 0, ids).otherwise(F.array("message_id"))})
+    member = member.withColumn("sources", F.array(F.struct("entry_id", "message_id", "telegram_message_id", "message_url", "source_message_ids", "added_at", "origin", "availability")))
+    arrays = ["categories", "formats", "format_sources", "passwords", "note_list", "origins", "availabilities", "sources"]
+    whole = cluster.fold(member, "component", ["at", "entry_id"], ["entry_id", "title", "title_original", "author", "year", "year_range", "key"], arrays, "at", "ord")
     owned = sidecars.attach_content(kept.filter("useful"), cache).join(grouped.select("entry_id", "component", "ord"), "entry_id")
     merged = merge.merge_links(owned, ["component"], F.col("sha256"), ["ord", "pos"])
     link = F.struct("first_seen", "link_key", "url", "host", "provider", "kind", "role", "primary", "label", "content")
@@ -107,15 +168,17 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     listed = listed.select("component", F.transform("o", lambda x: F.col("m")[x["link_key"]]).alias("links"))
     ordered = F.transform(F.array_sort(F.transform("categories", lambda c: F.struct(F.coalesce(F.col("_rank")[c], F.lit(1 << 20)).alias("o"), c.alias("c")))), lambda x: x["c"])
     rank = controls.taxonomy.agg(F.map_from_entries(F.collect_list(F.struct("id", "ord"))).alias("_rank"))  # one entry a definition
-    whole = folded.join(listed, "component", "left").join(F.broadcast(rank), F.lit(True)).withColumn("categories", ordered).drop("_rank").withColumn("id", T.stable_id("key"))
+    whole = whole.join(listed, "component", "left").join(F.broadcast(rank), F.lit(True)).withColumn("categories", ordered).drop("_rank").withColumn("id", T.stable_id("key"))
     keep, dropped = cluster.with_links(whole)
-    final = written(classify.propagate_majority(keep, "author", "categories", controls.taxonomy), "catalog")
+    final = classify.propagate_majority(keep, "author", "categories", controls.taxonomy)
+    final = final.withColumnsRenamed({"first_at": "first_added_at", "last_at": "last_added_at", "note_list": "notes", "availabilities": "availability"}).withColumns({"primary_category": F.col("categories")[0], "primary_format": F.col("formats")[0]})
+    final = written(final, "catalog")
     counters = final.agg(F.count("*").alias("entry_count"), F.sum(F.size("links")).alias("link_count"), F.count_if("inherited").alias("inherited_topics"), F.count_if(F.size("passwords") > 0).alias("with_password"))
     stats = counters.join(F.broadcast(dropped), F.lit(True))
-    for name in ("structural", "tombstoned", "suppressed"):
-        stats = stats.join(F.broadcast(flat.agg(F.count_if(F.col("disposition") == name).alias(name))), F.lit(True))
-    violations = quality.all_of(broken, quality.collisions(final, "catalog", "id", "key"))
-    return Catalog(final, classify.facet_counts(final, "categories", controls.taxonomy), stats, violations)
+    removed = flat.agg(*[F.count_if(F.col("disposition") == name).alias(name) for name in ("structural", "tombstoned", "suppressed")])
+    stats = stats.join(F.broadcast(removed), F.lit(True)).join(F.broadcast(merge.source_counts(entries, messages)), F.lit(True))
+    quality.require(quality.collisions(final, "catalog", "id", "key"), "catalog")
+    return Catalog(final, classify.facet_counts(final, "categories", controls.taxonomy), stats, broken, source)
 
 
 def audit_links(observations: DataFrame, rules: Sequence[dict], suffixes: DataFrame, previous: DataFrame, tombstones: DataFrame, required: int) -> tuple[DataFrame, DataFrame]:
@@ -135,21 +198,36 @@ def enrich_links(bodies: DataFrame, rules: Sequence[dict], suffixes: DataFrame,
     return enrich.upsert_cache(cache, found), enrich.run_counts(split, found)
 
 
-def activate(catalog: DataFrame, taxonomy: DataFrame, root: str, version: str, at: str) -> DataFrame:
+def search_rows(catalog: DataFrame, taxonomy: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """Visible entries with what searches filter and sort by: ``providers``, ``has_password``,
+    ``search_text``; labels come from the definitions (id, label, hidden), which are small."""
+    shown = search.visible(catalog)
+
+    def labelled(rows: DataFrame, names: str, definitions: DataFrame | None, out: str) -> DataFrame:
+        if definitions is None:
+            return rows.withColumn(out, F.col(names))
+        known = definitions.agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("_known"))  # one entry a definition
+        return rows.join(F.broadcast(known), F.lit(True)).withColumn(out, F.transform(names, lambda n: F.coalesce(F.col("_known")[n], n))).drop("_known")
+
+    shown = labelled(labelled(shown, "categories", taxonomy, "_categories"), "formats", formats, "_formats")
+    return shown.withColumns(
+        {"providers": search.provider_set(F.col("links")), "has_password": F.size("passwords") > 0, "added_at": F.col("last_added_at"), "search_text": search.document_text(F.col("_categories"), F.col("_formats"))}
+    ).drop("_categories", "_formats")
+
+
+def activate(catalog: DataFrame, taxonomy: DataFrame, root: str, version: str, at: str, formats: DataFrame | None = None) -> DataFrame:
     """Publish a catalog with its search index, if it breaks no rule and the index holds every
     visible entry; returns the violations."""
-    bad = written(quality.catalog_rules(catalog.withColumn("added_at", F.col("first_at").cast("string")), taxonomy), "violations")
+    bad = written(quality.catalog_rules(catalog, taxonomy, formats), "violations")
     if bad.limit(1).count():
         return bad
-    shown = search.visible(catalog)
-    fields = {"title": F.col("title"), "author": F.coalesce("author", F.lit("")), "text": F.concat_ws(" ", "title", "title_original", "author", F.array_join("categories", " "), F.array_join(F.transform("links", lambda x: x["url"]), " "))}
-    postings, lengths = search.build_index(shown, "id", fields)
-    lengths = written(lengths, "lengths")
-    if lengths.select("id").distinct().count() != shown.count():
+    shown = search_rows(catalog, taxonomy, formats)
+    fields = {"title": F.col("title"), "author": F.coalesce("author", F.lit("")), "text": F.col("search_text")}
+    index = search.build_index(shown, "id", fields)
+    held = index.fields.agg(F.min("n").alias("n")).first()["n"]
+    if held != shown.count():
         raise RuntimeError("the index does not hold every visible entry")
-    postings.repartitionByRange("term").write.mode("overwrite").parquet(f"{root}/index/version={version}/postings")
-    lengths.write.mode("overwrite").parquet(f"{root}/index/version={version}/lengths")
+    for name in ("postings", "dictionary", "fields"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{root}/index/version={version}/{name}")
     stores.publish(catalog, root, version, at)
     return bad
-
-

@@ -6,36 +6,15 @@ columns stand in: a part's brand for a link, a user's events for audit observati
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions import links as L
 from heddle.functions import text as T
-from heddle.functions import titles
 from heddle.operators import audit, classify, cluster, enrich, merge, quality, search, sidecars
+from heddle.registry import QUERIES, SQL, query, table
 from heddle.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({c}, 'ё', 'е')), '(?:https?:|magnet:)\S+', ' ', 'g'), '[^\p{{L}}\p{{N}}+#]+', ' ', 'g'), ' +', ' ', 'g'))"""
 
 
@@ -44,19 +23,6 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize("text").alias("normalized"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN y <> '' AND y = '2024' THEN regexp_replace(t, '\\s+\\(\\d{4}$', '') ELSE t END AS title FROM (
-  SELECT doc_id, t, regexp_extract(t, '\\s+\\((\\d{4})$', 1) AS y FROM (
-    SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(t0, '^["''«“„]\\s*\\[') THEN regexp_replace(t0, '^["''«“„]\\s*', '') ELSE t0 END, '^(?:[-—–•] \\s*)+', '') AS t FROM (
-      SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN '- • ' WHEN 1 THEN '"[' ELSE '' END, trim(split_part(text, chr(10), 1)), CASE WHEN doc_id % 2 = 0 THEN ' (2024' ELSE '' END) AS t0 FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '')))
-""")
-def clean_titles(spark, sf):
-    d = table(spark, sf, "documents").withColumn("first", F.trim(F.split("text", "\n")[0])).filter("first <> ''")
-    head = F.when(F.col("doc_id") % 3 == 0, "- • ").when(F.col("doc_id") % 3 == 1, '"[').otherwise("")
-    raw = F.concat(head, "first", F.when(F.col("doc_id") % 2 == 0, " (2024").otherwise(""))
-    return d.select("doc_id", T.identity_title(T.clean_title(raw), F.lit(2024)).alias("title"))
-
-
 _LINK = r"""
 SELECT page_id, CASE k WHEN 0 THEN url WHEN 1 THEN 'ftp' || url WHEN 2 THEN regexp_replace(url, '://', '://user@') WHEN 3 THEN regexp_replace(url, '(://[^/]+)', '\1:0') WHEN 4 THEN regexp_replace(url, '://[^/]+', '://localhost')
   WHEN 5 THEN upper(regexp_extract(url, '^([a-z]+://[^/]+)', 1)) || ':443' || regexp_extract(url, '^[a-z]+://[^/]+(.*)$', 1) ELSE url END AS raw FROM (SELECT *, page_id % 7 AS k FROM pages)
@@ -177,13 +143,13 @@ SELECT node AS p_partkey, min(reach) AS component FROM r GROUP BY 1
 """
 
 
-@query(_CC.format(edges="SELECT p_partkey n, 'A' || p_name || '|' || p_brand k FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'B' || p_name || '|' || p_type FROM part WHERE p_size % 3 = 0"))
+@query(_CC.format(edges="SELECT p_partkey n, 'A' || p_name || '|' || p_brand || '|' || p_size k FROM part UNION ALL SELECT p_partkey, 'B' || p_name || '|' || p_type || '|' || p_size FROM part"))
 def identity_clusters(spark, sf):
     p = table(spark, sf, "part")
     # ids as text of one width, so that the smallest text is the smallest id
     rows = p.withColumn("node", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
-    a = cluster.key_edges(rows.filter("p_size % 2 = 0"), "node", T.identity_key("p_name", "p_brand"), "I")
-    b = cluster.key_edges(rows.filter("p_size % 3 = 0"), "node", T.identity_key("p_name", "p_type"), "T")
+    a = cluster.key_edges(rows, "node", T.identity_key("p_name", "p_brand", "p_size"), "I")
+    b = cluster.key_edges(rows, "node", T.identity_key("p_name", "p_type", "p_size"), "T")
     return cluster.cluster(rows, "node", [a, b]).select("p_partkey", F.col("component").cast("long").alias("component"))
 
 
@@ -344,42 +310,30 @@ def new_tombstones(spark, sf):
 
 
 @query(f"""
-SELECT event_id, (refused OR more) AS needs_get, CAST(CASE WHEN rule_ord = 1 AND (more OR refused) THEN 65536 WHEN refused THEN 1 ELSE 0 END AS BIGINT) AS byte_limit FROM (
-  SELECT *, err AS refused, rule_ord = 1 AND status <> 404 AS more FROM ({_AUDIT}))
+SELECT event_id, NOT err AND (again OR more) AS needs_get, CAST(CASE WHEN err THEN 0 WHEN more THEN 65536 WHEN again THEN 1 ELSE 0 END AS BIGINT) AS byte_limit FROM (
+  SELECT *, rule_ord = 1 AND (again OR s BETWEEN 200 AND 299) AS more FROM (
+    SELECT event_id, rule_ord, err, s, s IN (405, 501, 404, 410) OR (rule_ord = 0 AND s = 403) AS again FROM (SELECT *, CASE WHEN user_id % 10 = 0 THEN 405 WHEN user_id % 10 = 1 THEN 410 ELSE status END AS s FROM ({_AUDIT}))))
 """)
 def probe_plan(spark, sf):
-    rules = spark.createDataFrame([(1, True, 65536), (0, False, 0)], "rule_ord int, needs_body boolean, body_limit long")
-    heads = _observed(spark, sf).select(F.col("event_id").alias("sha256"), "http_status", "transport_error", "rule_ord")
+    rules = spark.createDataFrame([(1, [], True, 65536), (0, [403], False, 0)], "rule_ord int, dead_statuses array<int>, needs_body boolean, body_limit long")
+    k = F.col("user_id") % 10
+    heads = _observed(spark, sf).select(F.col("event_id").alias("sha256"), F.when(k == 0, 405).when(k == 1, 410).otherwise(F.col("http_status")).alias("http_status"), "transport_error", "rule_ord")
     return audit.probe_plan(heads, rules).select(F.col("sha256").alias("event_id"), "needs_get", "byte_limit")
 
 
 @query("""
-SELECT o_custkey % 500 AS chain, count(*) AS hops, CASE WHEN count(*) > 5 THEN 'too_many_hops' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'unsafe_target' WHEN count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) > 0 THEN 'foreign_host' ELSE 'follow' END AS verdict
-FROM orders WHERE o_totalprice < 60000 GROUP BY 1
+SELECT chain, count(*) AS hops, CASE WHEN count(*) > 5 THEN 'too_many_hops' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'unsafe_target' WHEN count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) > 0 THEN 'foreign_host' ELSE 'follow' END AS verdict
+FROM (SELECT o_orderstatus, o_orderpriority, o_custkey || '/' || (o_orderkey % 5) AS chain FROM orders) GROUP BY 1
 """)
 def redirect_verdict(spark, sf):
-    o = table(spark, sf, "orders").filter("o_totalprice < 60000").withColumn("chain", F.col("o_custkey") % 500)
-    urgent, high = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "2-HIGH"
-    hops = o.select("chain", F.row_number().over(W.partitionBy("chain").orderBy("o_orderkey")).cast("long").alias("hop"), F.lit("a.test").alias("origin_host"), F.when(urgent, "a.test").when(high, "cdn.b.test").otherwise("c.test").alias("host"), F.when(F.col("o_orderstatus") == "F", "local_target").alias("rejection"))
+    # a few chains for each customer, so that their number grows with the table
+    o = table(spark, sf, "orders").withColumn("chain", F.concat_ws("/", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 5).cast("string")))
+    p = F.col("o_orderpriority")
+    host = F.when(p == "1-URGENT", "a.test").when(p == "2-HIGH", "cdn.b.test").when(p == "3-MEDIUM", "b.test").otherwise("c.test")
+    hops = o.select("chain", F.row_number().over(W.partitionBy("chain").orderBy("o_orderkey")).cast("long").alias("hop"), F.lit("a.test").alias("origin_host"), host.alias("host"), F.when(F.col("o_orderstatus") == "F", "local_target").alias("rejection"))
     return audit.redirect_verdict(hops, spark.createDataFrame([("a.test", "b.test")], "origin_host string, host_suffix string"))
 
 
-def _number(ip: str) -> int:
-    return sum(int(x) << (24 - 8 * i) for i, x in enumerate(ip.split(".")))
-
-
-_BLOCKS = [(_number(a), _number(b)) for a, b in audit.UNSAFE_BLOCKS]
-
-
-@query(f"""
-SELECT host, bool_or(lo IS NOT NULL) AS unsafe FROM (SELECT c_nationkey AS host, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer)
-LEFT JOIN (VALUES {", ".join(f"({a}, {b})" for a, b in _BLOCKS)}) b(lo, hi) ON ip BETWEEN lo AND hi GROUP BY 1
-""")
-def unsafe_address(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("host"), (F.col("c_custkey") * F.lit(2654435761) % F.lit(4294967296)).alias("ip"))
-    return audit.unsafe_addresses(a, spark.createDataFrame(_BLOCKS, "lo long, hi long"))
-
-
 _NOW = "2024-01-30 00:00:00"
 
 
@@ -442,8 +396,7 @@ SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT f
   SELECT 'title' field, p_partkey id, unnest({_TERMS.format(c="p_name")}) term FROM part UNION ALL SELECT 'text', p_partkey, unnest({_TERMS.format(c="p_type")}) FROM part) GROUP BY 1, 2, 3) GROUP BY 1, 2
 """)
 def index_stats(spark, sf):
-    postings, _ = _index(spark, sf)
-    return postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, sf).postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def _index(spark, sf):
@@ -470,7 +423,7 @@ def _queries(spark, sf, cut=False):
 
 @query(_SEARCH.replace("{queries}", _SQL_QUERIES).replace("{weight}", "CASE WHEN q = term THEN 1.0 ELSE 0.375 * len(term) / (len(term) + 0.3 * (len(term) - len(q))) END").replace("{match}", "starts_with(term, q)"))
 def search_and_prefix(spark, sf):
-    return search.search(_queries(spark, sf), *_index(spark, sf))
+    return search.search(_queries(spark, sf), _index(spark, sf))
 
 
 @query(
@@ -479,7 +432,7 @@ def search_and_prefix(spark, sf):
     .replace("{match}", "levenshtein(q, term) = 1 AND len(q) >= 5")
 )
 def search_fuzzy(spark, sf):
-    return search.search(_queries(spark, sf, True), *_index(spark, sf))
+    return search.search(_queries(spark, sf, True), _index(spark, sf))
 
 
 @query("""
@@ -491,12 +444,6 @@ def search_page(spark, sf):
     return out.select("p_brand", F.col("id").alias("p_partkey"), "position", "total")
 
 
-@query()
-def title_translit(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Programmirovanie dlya novichkov "), F.split("text", "\n")[0]).alias("title"))
-    return titles.normalize_titles(d, "title")
-
-
 def _stream(spark, sf):
     e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return _observed(spark, sf, e).select(F.col("user_id").cast("string").alias("key"), "state", F.col("ts").cast("timestamp").alias("checked_at"), F.col("event_id").alias("tie"))
@@ -513,3 +460,8 @@ def stream_confirmations(spark, sf):
 def stream_counts(spark, sf):
     out = jobs.replay(jobs.state_counts(_stream(spark, sf), "40 days"), "update")
     return out.groupBy("day", "state").agg(F.max_by("count", "batch").alias("count"))
+
+
+from heddle import rule_queries  # noqa: E402, F401  (registers more)
+
+__all__ = ["QUERIES", "SQL"]

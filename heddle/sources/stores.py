@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SIDECARS = {
     "tombstones": "sha256 string, reason string, confirmed_at timestamp",
@@ -20,6 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
 def read_sidecar(spark: SparkSession, path: str | None, kind: str) -> DataFrame:
     """A control table; one that is not there is empty, one that is there must be readable."""
     if not path or not exists(spark, path):
@@ -79,5 +87,16 @@ def file_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("version"))
 
 
-def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+CATALOG_VERSION = "1"
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """The catalog as gzip JSON, a line an entry, each with the schema version."""
+    entries.withColumn("catalog_schema", F.lit(CATALOG_VERSION)).write.mode("overwrite").json(path, compression="gzip")
+
+
+def read_catalog(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_catalog`` wrote; another schema version or an unreadable line stops the job."""
+    read = spark.read.schema(StructType([*schema.fields, StructField("catalog_schema", StringType())])).option("mode", "FAILFAST").json(path)
+    known = F.when(F.col("catalog_schema") == CATALOG_VERSION, F.col("catalog_schema")).otherwise(F.raise_error(F.concat(F.lit("unsupported catalog schema "), F.coalesce("catalog_schema", F.lit("none")))))
+    return read.filter(known.isNotNull()).drop("catalog_schema")

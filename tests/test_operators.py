@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import json
 
@@ -28,7 +29,7 @@ def test_long_chain_and_empty(spark):
 @pytest.mark.parametrize(
     ("rows", "n"),
     [
-        ([("1", "u", "known author trading fundamentals", 2024), ("2", "u", "trading fundamentals", None)], 1),
+        ([("1", "u", "some writer knitting patterns", 2024), ("2", "u", "knitting patterns", None)], 1),
         ([("1", "u", "art", None), ("2", "u", "cartography", None)], 2),
         ([("1", "u", "x course", 2023), ("2", "u", "course", 2024)], 2),
         ([("1", "u", "a b", 2023), ("2", "u", "a", None), ("3", "u", "a c", 2024)], 1),
@@ -87,8 +88,9 @@ def test_enrichment(spark):
 def test_search(spark):
     docs = spark.createDataFrame([("1", "Ёлка праздник", "a"), ("4", "prefixation tools", "b"), ("5", "alpha", None)], "id string, title string, author string")
     index = search.build_index(docs, "id", {"title": F.col("title"), "author": F.col("author")})
+    assert search.search(spark.createDataFrame([], "query_id int, query string"), index).count() == 0
     asked = spark.createDataFrame([(1, "елка"), (2, "pref"), (3, "prefexation"), (4, "alpa"), (5, "елка missing"), (6, "")], "query_id int, query string")
-    assert sorted((r["query_id"], r["id"]) for r in search.search(asked, *index).collect()) == [(1, "1"), (2, "4"), (3, "4")]
+    assert sorted((r["query_id"], r["id"]) for r in search.search(asked, index).collect()) == [(1, "1"), (2, "4"), (3, "4")]
 
 
 def test_quality(spark):
@@ -119,32 +121,118 @@ def test_attachments(spark, tmp_path):
     assert {tuple(r) for r in attachments.match(hashed, said).collect()} == {("1", sha(one)), ("2", sha(two))}
 
 
-def entry(i, title, link, added="2024-01-01T00:00:00Z", year=None, author=None):
+def entry(i, title, link, added="2024-01-01T00:00:00Z", year=None, author=None, message="m"):
     x = {"url": link, "host": "example.test", "provider": "p", "kind": "file_host", "role": "primary", "primary": True, "label": None, "normalized_from": link, "sources": ["text"]}
-    return {"entry_id": i, "message_id": "m", "source_message_ids": [], "added_at": added, "origin": "text_block", "title": title, "year": year, "availability": "download_link", "passwords": [], "notes": f"note {i}", "raw_block": title, "credit": {"author": author}, "links": [x]}
+    return {"entry_id": i, "message_id": message, "source_message_ids": [], "added_at": added, "origin": "text_block", "title": title, "year": year, "availability": "download_link", "passwords": [], "notes": f"note {i}", "raw_block": title, "credit": {"author": author}, "links": [x]}
 
 
-def test_catalog_build(spark, tmp_path):
-    a, b = "https://example.test/a", "https://example.test/b"
-    first = [entry("1", "Practical Go", a), entry("2", "• Practical Go", b, "2024-02-01T00:00:00Z"), entry("3", "Other thing", "https://dead.test/x"), entry("4", "", a), entry("5", "Example Author] Trading Course", "https://example.test/t"), entry("6", "Trading Course", "https://example.test/u", author="Example Author")]
-    for n, entries in enumerate((first, first[:1])):
-        doc = {"schema_version": "3", "source": {"channel_id": 1}, "messages": [{"message_id": "m", "media": {"type": "x", "document": {"file_name": None, "mime_type": "application/x-bittorrent"}}}], "catalog_entries": entries}
-        (tmp_path / f"{n}.json").write_text(json.dumps(doc))
+def snapshot(entries, channel=1, **counts):
+    stats = {"retrieval": {"exported_message_count": 1}, "parsing": {"catalog_entry_count": len(entries), "parsed_link_count": sum(len(e["links"]) for e in entries), "password_value_count": sum(len(e["passwords"]) for e in entries)} | counts}
+    message = {"message_id": "m", "telegram_message_id": 5, "url": "https://t.test/5", "media": {"type": "x", "document": {"file_name": "x.torrent", "mime_type": "application/x-bittorrent"}}}
+    return {"schema_version": "3", "exported_at": "2024-03-01T00:00:00Z", "source": {"channel_id": channel, "title": "C"}, "stats": stats, "messages": [message], "catalog_entries": entries}
+
+
+def saved(spark, path, *documents):
+    path.mkdir()
+    for n, doc in enumerate(documents):
+        (path / f"{n}.json").write_text(json.dumps(doc))
+    return exports.read_exports(spark, str(path))
+
+
+@pytest.fixture
+def controls(spark):
     tax = spark.createDataFrame([("development", "D", False, 0), ("other", "O", False, 1), ("service", "S", True, 2)], "id string, label string, hidden boolean, ord int")
-    words = spark.createDataFrame([("development", "go")], "id string, keyword string")
-    dead = spark.createDataFrame([(H("https://dead.test/x"), "manual")], "sha256 string, reason string")
-    made = build.build_catalog(exports.read_exports(spark, str(tmp_path)), build.Controls(tax, words, tombstones=dead))
+    words = spark.createDataFrame([("development", "weaving")], "id string, keyword string")
+    dead = spark.createDataFrame([(H("https://dead.test/x"), "manual", dt.datetime(2024, 1, 1))], "sha256 string, reason string, confirmed_at timestamp")
+    return build.Controls(tax, words, tombstones=dead)
+
+
+def test_catalog_build(spark, tmp_path, controls):
+    a, b = "https://example.test/a", "https://example.test/b"
+    first = [
+        entry("1", "Practical weaving", a), entry("2", "• Practical weaving", b, "2024-02-01T00:00:00Z"), entry("3", "Other thing", "https://dead.test/x"), entry("4", "", a),
+        entry("5", "Ann Lee] Knots", "https://example.test/t", "2024-01-02T00:00:00Z"), entry("6", "Knots", "https://example.test/u", author="Ann Lee"), entry("7", "[Other| Knots", "https://example.test/v"), entry("8", "Far thing", a, message="none"),
+    ]
+    made = build.build_catalog(saved(spark, tmp_path / "in", snapshot(first), snapshot([first[0] | {"notes": "later", "links": [first[0]["links"][0] | {"url": a + "#again", "label": "L"}]}])), controls, strict=False)
     rows = {r["entry_id"]: r for r in made.entries.collect()}
-    assert set(rows) == {"1", "6"} or set(rows) == {"1", "5"}
-    assert rows["1"]["source_entries"] == ["1", "2"] and [x["url"] for x in rows["1"]["links"]] == [a, b] and rows["1"]["note_list"] == ["note 1", "note 2"]
-    assert rows["1"]["categories"] == ["development"] and rows["1"]["formats"] == ["torrent_attachment"]
-    assert [r["rule"] for r in made.violations.collect()] == ["blank_title"]
-    assert {r["id"]: r["count"] for r in made.facets.collect()} == {"development": 1, "other": 1, "service": 0}
+    # an author in the title joins only an entry of that author and title
+    assert set(rows) == {"1", "6", "7"} and rows["6"]["members"] == 2 and {s["entry_id"] for s in rows["6"]["sources"]} == {"5", "6"}
+    assert [s["entry_id"] for s in rows["1"]["sources"]] == ["1", "2"] and [(x["url"], x["label"]) for x in rows["1"]["links"]] == [(a, "L"), (b, None)] and rows["1"]["notes"] == ["later", "note 2"]
+    assert rows["1"]["categories"] == ["development"] and rows["1"]["formats"] == ["torrent_attachment"] and rows["1"]["origins"] == ["text_block"] and rows["1"]["primary_category"] == "development"
+    assert sorted(r["rule"] for r in made.violations.collect()) == ["blank_title", "orphan"]
+    assert {r["id"]: r["count"] for r in made.facets.collect()} == {"development": 1, "other": 2, "service": 0}
     stats = made.stats.first()
-    assert (stats["tombstoned"], stats["dropped"], stats["kept"]) == (1, 1, 2)
+    assert (stats["tombstoned"], stats["dropped"], stats["kept"]) == (1, 1, 3) and made.source.first()["channel_id"] == 1
     root = str(tmp_path / "store")
-    assert build.activate(made.entries, tax, root, "v1", "2024-03-01 00:00:00").count() == 0
-    assert stores.active_version(spark, root) == "v1" and stores.read_active(spark, root).count() == 2
+    assert build.activate(made.entries, controls.taxonomy, root, "v1", "2024-03-01 00:00:00").collect() == []
+    assert stores.active_version(spark, root) == "v1" and stores.read_active(spark, root).count() == 3
+    broken = made.entries.withColumns({"title": F.lit(" "), "origins": F.array().cast("array<string>"), "primary_format": F.lit("none")})
+    assert {r["rule"] for r in build.activate(broken, controls.taxonomy, root, "v2", "2024-03-02 00:00:00").collect()} == {"title", "origins", "primary_format"}
+    assert stores.active_version(spark, root) == "v1"
+    stores.write_catalog(made.entries.select("id", "title", "links"), str(tmp_path / "json"))
+    back = stores.read_catalog(spark, str(tmp_path / "json"), made.entries.select("id", "title", "links").schema)
+    assert back.count() == 3
+    found = search.search(spark.createDataFrame([(1, "later"), (2, "torrent_attachment"), (3, "t.test"), (4, "zzz")], "query_id int, query string"), build_search(made.entries, controls))
+    assert sorted({r["query_id"] for r in found.collect()}) == [1, 2, 3]
+
+
+def build_search(entries, controls):
+    return search.build_index(build.search_rows(entries, controls.taxonomy), "id", {"text": F.col("search_text")})
+
+
+def test_attached_links_do_not_cluster(spark, tmp_path, controls):
+    one = {b"info": {b"name": b"a", b"length": 1}}
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.torrent").write_bytes(bencode(one))
+    read = saved(spark, tmp_path / "in", snapshot([entry("1", "Red roof", "https://example.test/a"), entry("2", "Red roof tiles", "https://example.test/b")]))
+    made = build.build_catalog(read, controls, attachments.read_files(spark, str(tmp_path / "files")))
+    assert [len(r["links"]) for r in made.entries.collect()] == [2, 2]
+
+
+@pytest.mark.parametrize(
+    ("rule", "change"),
+    [
+        ("parsed_link_count", lambda e: [snapshot(e, parsed_link_count=9)]), ("password_value_count", lambda e: [snapshot(e, password_value_count=1)]), ("catalog_entry_count", lambda e: [snapshot(e, catalog_entry_count=0)]), ("no_entries", lambda e: [snapshot([])]),
+        ("conflicting_source", lambda e: [snapshot(e), snapshot(e, channel=2)]), ("blank_entry", lambda e: [snapshot([e[0] | {"entry_id": " "}])]), ("added_at", lambda e: [snapshot([e[0] | {"added_at": "soon"}])]), ("orphan", lambda e: [snapshot([e[0] | {"message_id": "z"}])]),
+    ],
+)
+def test_broken_sources_stop_the_build(spark, tmp_path, controls, rule, change):
+    read = saved(spark, tmp_path / "in", *change([entry("1", "Title", "https://example.test/a")]))
+    with pytest.raises(quality.Broken, match=rule):
+        build.build_catalog(read, controls)
+
+
+def test_broken_controls_stop_the_build(spark, tmp_path, controls):
+    read = saved(spark, tmp_path / "in", snapshot([entry("1", "Title", "https://example.test/a")]))
+    controls.tombstones = controls.tombstones.withColumn("reason", F.lit("odd"))
+    with pytest.raises(quality.Broken, match="reason"):
+        build.build_catalog(read, controls)
+
+
+def test_policies(spark):
+    limits = "timeout_seconds int, max_body_bytes long, concurrency int, confirmations_required int"
+    rules = "rule_ord int, host_suffixes array<string>, dead_statuses array<int>, dead_body array<string>, mismatch_body array<string>, required_body array<string>, allowed_redirects array<string>"
+    good = spark.createDataFrame([(1, ["a.test"], [418], ["gone"], ["x+"], [], [])], rules)
+    assert quality.audit_policy_rules(spark.createDataFrame([(5, 1, 64, 10)], limits), good).collect() == []
+    bad = spark.createDataFrame([(1, [], [200], ["gone"], ["gone", "("], None, ["A.test", "-x"])], rules)
+    got = {r["rule"] for r in quality.audit_policy_rules(spark.createDataFrame([(0, 0, 65, 11)], limits), bad).collect()}
+    assert got == {"timeout_seconds", "max_body_bytes", "concurrency", "confirmations_required", "no_host_suffix", "dead_status", "duplicate_pattern", "pattern_compiles", "required_body_missing", "lower_case", "host_suffix"}
+    limits, rules = "max_body_bytes long, max_items int, stale_after_seconds long", "rule_ord int, host_suffixes array<string>, markers array<string>, fields map<string,string>"
+    good = spark.createDataFrame([(1, ["a.test"], ["m:"], {"name": "a.b", "items": "c", "item_name": "n"})], rules)
+    assert quality.enrichment_policy_rules(spark.createDataFrame([(1, 1, 1)], limits), good).collect() == []
+    bad = spark.createDataFrame([(1, ["localhost"], [" m", "n", "n"], {"item_name": "a..b", "odd": "x"})], rules)
+    got = {r["rule"] for r in quality.enrichment_policy_rules(spark.createDataFrame([(0, 0, 0)], limits), bad).collect()}
+    assert got == {"max_body_bytes", "max_items", "stale_after", "no_root_path", "item_fields_need_items", "unknown_field", "marker", "duplicate_marker", "path", "local_host"}
+
+
+def test_long_phrases_and_numbers(spark):
+    phrase = " ".join(f"w{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, f"a {phrase} b"), (2, phrase[:-1])], "k int, t string")
+    words = spark.createDataFrame([("p", phrase)], "id string, keyword string")
+    assert [tuple(r) for r in classify.matches(docs, "k", F.col("t"), words).collect()] == [(1, "p")]
+    big = "1" + "0" * 30
+    rows = spark.createDataFrame([("v 9",), (f"V {big}",), ("v 0010",), ("б",), ("А",), ("v",)], "t string")
+    assert [r["t"] for r in rows.orderBy(search.natural_key("t")).collect()] == ["А", "б", "v", "v 9", "v 0010", f"V {big}"]
 
 
 def test_sidecars_may_be_missing(spark, tmp_path):
@@ -156,8 +244,13 @@ def test_sidecars_may_be_missing(spark, tmp_path):
 
 
 def test_addresses_and_redirects(spark):
-    ips = spark.createDataFrame([("2001:db8::1", False), ("fe80::1", True), ("::1", True), ("8.8.8.8", False)], "ip string, want boolean")
-    assert ips.filter(audit.unsafe_ip6(F.col("ip")) != F.col("want")).count() == 0
+    want = {
+        "2001:db8::1": True, "2001:db9::1": False, "fe80::1": True, "::1": True, "2606:4700::1111": False, "2001:2::7": True, "2002:808:808::1": True, "2620:4f:8000::9": True, "3fff:fff::1": True, "64:ff9b::808:808": True, "::ffff:10.1.1.1": True, "::ffff:8.8.8.8": False,
+        "fe80::1%eth0": True, "8.8.8.8": False, "192.31.196.5": True, "192.52.193.1": True, "192.175.48.200": True, "255.255.255.255": True, "192.88.98.1": False, "nonsense": True,
+    }
+    ips = spark.createDataFrame([(x,) for x in want], "host string").withColumn("ip", audit.address_number("host"))
+    found = audit.unsafe_addresses(ips, spark.createDataFrame(audit.unsafe_blocks(), "lo long, hi long"))
+    assert {r["host"]: r["unsafe"] for r in found.collect()} == want
     hops = [(c, n, "a.test", h, None) for c, hs in {1: ["a.test", "x.b.test"], 2: ["b.test.evil"], 3: ["a.test"] * 6}.items() for n, h in enumerate(hs, 1)]
     df = spark.createDataFrame([*hops, (4, 1, "a.test", "a.test", "local_target")], "chain int, hop int, origin_host string, host string, rejection string")
     allowed = spark.createDataFrame([("a.test", "b.test")], "origin_host string, host_suffix string")
@@ -165,6 +258,9 @@ def test_addresses_and_redirects(spark):
 
 
 def test_header_rules(spark):
+    probes = [(200, None, 0, True, 99), (200, None, 1, False, 0), (404, None, 1, True, 1), (410, None, 0, True, 99), (405, None, None, True, 1), (501, "dns", 0, False, 0), (418, None, 1, True, 1), (418, None, 0, False, 0), (400, None, 0, False, 0), (416, None, None, False, 0), (None, None, 0, False, 0)]
+    plan = audit.probe_plan(spark.createDataFrame([(str(i), s, e, r) for i, (s, e, r, _, _) in enumerate(probes)], "sha256 string, http_status int, transport_error string, rule_ord int"), spark.createDataFrame([(0, [], True, 99), (1, [418], False, None)], "rule_ord int, dead_statuses array<int>, needs_body boolean, body_limit long"))
+    assert {int(r["sha256"]): (r["needs_get"], r["byte_limit"]) for r in plan.collect()} == {i: (g, n) for i, (_, _, _, g, n) in enumerate(probes)}
     heads = spark.createDataFrame([(0, 1, "A", "u"), (1, 0, " ", "v"), (2, 1, None, None)], "o int, channel_id long, title string, web_url string")
     assert merge.same_source(heads).count() == 0
     assert merge.same_source(heads.withColumn("channel_id", F.lit(0))).count() == 1
@@ -172,3 +268,36 @@ def test_header_rules(spark):
     declared = spark.createDataFrame([(2, 5)], "catalog_entry_count int, parsed_link_count int")
     actual = spark.createDataFrame([(2, 4, 9)], "catalog_entry_count long, parsed_link_count long, password_value_count long")
     assert [tuple(r) for r in quality.reconcile(declared, actual, "export").collect()] == [("export", "parsed_link_count", "count_mismatch", "5<>4")]
+
+
+def test_small_rules_and_lookups(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    quiet = spark.createDataFrame([("e", H("a"), "manual", at), (" ", "x", "expired", None), ("e", H("a"), "manual", at)], stores.SIDECARS["suppressions"])
+    assert {r["rule"] for r in quality.suppression_rules(quiet).collect()} == {"entry", "hash", "reason", "confirmed_at", "duplicate_key"}
+    cache = spark.createDataFrame([(H("a"), "extracted", at, ("n", None, 1, 2, 3, [("i", None, None)], ["audio", "video"])), (H("b"), "extracted", at, None), (H("c"), "not_found", at, None), ("d", "odd", at, ("n", None, -1, -2, -3, [(" ", None, None)] * 3, ["video", "audio"]))], stores.SIDECARS["cache"])
+    got = sorted((r["key"][:1], r["rule"]) for r in quality.content_rules(cache, max_items=2).collect())
+    assert [r for k, r in got if k == "d"] == sorted(["hash", "state", "content_by_state", "size", "file_count", "folder_count", "items", "item_name", "material_types"]) and ("3", "content_by_state") in got and len(got) == 10
+    report = spark.createDataFrame([(H("a"), "live", "ok", 200, at, 0), (H("b"), "odd", "ok", 99, None, -1)], stores.SIDECARS["report"])
+    assert {r["rule"] for r in quality.report_rules(report).collect()} == {"state", "http_status", "checked_at", "confirmations"}
+    assert {r["rule"] for r in quality.identifiers(spark.createDataFrame([("a",), ("a",), (" ",), (None,)], "id string"), "t", "id").collect()} == {"blank_key", "duplicate_key"}
+    assert [r["value"] for r in quality.closed_keys(spark.createDataFrame([("1", '{"a":1,"zz":2}')], "id string, doc string"), "t", "id", "doc", ["a"]).collect()] == ["zz"]
+    tax = spark.createDataFrame([("a", "A", True)], "id string, label string, hidden boolean")
+    assert sorted((r["category"], r["label"], r["hidden"]) for r in search.label_lookup(spark.createDataFrame([("a",), ("b",)], "category string"), tax).collect()) == [("a", "A", True), ("b", "b", False)]
+    links = spark.createDataFrame([([("http://me@www.Y.test:8/p", None, " X "), ("http://z.test/", None, None), ("http://z.test/", "Z.test", ""), ("mailto:x", None, None)],)], "links array<struct<url:string,host:string,provider:string>>")
+    assert links.select(search.provider_set(F.col("links")).alias("p")).first()["p"] == ["x", "z.test"]
+    rows = spark.createDataFrame([(1, ["a", "b"], 2020, True), (2, ["c"], None, False)], "id int, cats array<string>, year int, pw boolean")
+    match = lambda cats, years, pw: [r["id"] for r in rows.filter(search.matches_filters({"cats": F.lit(cats).cast("array<string>") if cats is None else F.array(*[F.lit(c) for c in cats])}, F.array(*[F.lit(y) for y in years]).cast("array<int>"), F.col("year"), F.lit(pw).cast("boolean"), F.col("pw"))).collect()]
+    assert (match(["b", "c"], [], None), match(None, [2020], None), match([], [], False), match(["a"], [1999], None)) == ([1, 2], [1], [2], [])
+    sorts = spark.createDataFrame([("q", 0.5, at), (" ", 0.5, at)], "q string, s double, at timestamp").select(search.default_sort(F.col("q"), F.col("s"), F.col("at")).alias("k")).collect()
+    assert sorts[0]["k"] == 0.5 and sorts[1]["k"] > 1e15
+    root = str(tmp_path / "store")
+    for n in (1, 2):
+        stores.publish(tax, root, f"v{n}", f"2024-01-0{n} 00:00:00")
+    published = spark.createDataFrame([("v1",), ("v2",)], "version string")
+    assert [r["version"] for r in stores.unprocessed(published, published.filter("version = 'v1'")).collect()] == ["v2"]
+    assert stores.drop_inactive(spark, root) == 1 and stores.read_active(spark, root).count() == 1
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    meta = stores.file_meta(spark, str(tmp_path / "f.bin")).first()
+    assert (meta["bytes"], meta["version"]) == (3, hashlib.sha256(b"abc").hexdigest())
+    seen = audit.candidates(spark.createDataFrame([(("https", "h", "https://h/", None),), (("https", "h", "https://h/", None),), (("magnet", "", "magnet:x", None),), ((None, None, None, "empty"),)], "link struct<scheme:string,host:string,canonical:string,rejection:string>"))
+    assert [tuple(r) for r in seen.collect()] == [(H("https://h/"), "h", "https://h/")]

@@ -1,5 +1,7 @@
 import datetime as dt
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import merge, search
@@ -16,22 +18,47 @@ def batches(spark, path, parts, schema):
 
 def test_snapshots_arrive_one_by_one(spark, tmp_path):
     schema = "k string, v string, arr array<string>, o int, p int"
-    parts = [[("a", "x", ["1"], 0, 0), ("b", None, [], 0, 1)], [("a", " ", ["2"], 1, 0)], [("a", " ", ["2"], 1, 0), ("b", "y", None, 2, 0)]]
-    stream = batches(spark, tmp_path / "in", parts, schema)
-    out = str(tmp_path / "out")
-    jobs.replay(stream, "append", jobs.upsert_into(out, "k", ["o", "p"], ["arr"]))
-    got = sorted((r["k"], r["v"], r["arr"]) for r in jobs.latest_generation(spark, out, 2).collect())
-    whole = merge.upsert(spark.createDataFrame([r for p in parts for r in p], schema), "k", ["o", "p"], arrays=["arr"])
-    assert got == sorted((r["k"], r["v"], r["arr"]) for r in whole.collect()) == [("a", "x", ["1", "2"]), ("b", "y", [])]
+    parts = [[("a", "x", ["1"], 0, 0), ("b", None, [], 0, 1)], [("a", " ", ["2"], 1, 0)], [("a", " ", ["2"], 1, 0), ("b", "y", None, 2, 0)], [("c", "z", ["3"], 3, 0), ("b", "w", ["9"], 1, 5)], [("a", "q", ["1", "4"], 4, 0)]]
+    mark = str(tmp_path / "mark")
+    held = jobs.upsert_into(str(tmp_path / "out"), "k", ["o", "p"], ["arr"], every=2)
+    whole = lambda n: sorted((r["k"], r["v"], r["arr"]) for r in merge.upsert(spark.createDataFrame([r for p in parts[:n] for r in p], schema), "k", ["o", "p"], arrays=["arr"]).collect())
+    rows = lambda: sorted((r["k"], r["v"], r["arr"]) for r in held.read(spark).collect())
+    jobs.replay(batches(spark, tmp_path / "in", parts[:2], schema), "append", held.write, checkpoint=mark)
+    assert rows() == whole(2)
+    # a second run goes on where the first one stopped
+    for n, p in enumerate(parts[2:], 2):
+        spark.createDataFrame(p, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.replay(stream, "append", held.write, checkpoint=mark)
+    assert rows() == whole(5) and len(list((tmp_path / "out" / "base").glob("n=*"))) == 2
+    # another checkpoint over the same table, and a lost batch, are errors
+    with pytest.raises(Exception, match="another checkpoint"):
+        jobs.replay(stream, "append", held.write)
+    shutil.rmtree(tmp_path / "out" / "batch" / "n=3")
+    shutil.rmtree(tmp_path / "out" / "base" / "n=4")
+    with pytest.raises(RuntimeError, match="missing"):
+        held.read(spark)
 
 
 def test_cache_stream(spark, tmp_path):
     day = lambda n: T0 + dt.timedelta(days=n)
     schema = "sha256 string, state string, checked_at timestamp, content string"
     parts = [[("a", "extracted", day(0), "A"), ("b", "extracted", day(5), "B"), ("old", "extracted", day(-40), "O")], [("a", "not_found", day(2), None), ("b", "failed", day(9), None)]]
-    out = str(tmp_path / "out")
-    jobs.replay(batches(spark, tmp_path / "in", parts, schema), "append", jobs.cache_into(out, F.expr("INTERVAL 30 DAYS")))
-    assert sorted((r["sha256"], r["state"]) for r in jobs.latest_generation(spark, out, 1).collect()) == [("a", "not_found"), ("b", "extracted")]
+    held = jobs.cache_into(str(tmp_path / "out"), F.expr("INTERVAL 30 DAYS"))
+    jobs.replay(batches(spark, tmp_path / "in", parts, schema), "append", held.write)
+    assert sorted((r["sha256"], r["state"]) for r in held.read(spark).collect()) == [("a", "not_found"), ("b", "extracted")]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    schema = "key string, state string, checked_at timestamp, tie long"
+    row = lambda d, n: ("k", "live", T0 + dt.timedelta(days=d), n)
+    parts = [[row(0, 0), row(10, 1)], [row(0, 2), row(11, 3)], [row(1, 4), row(12, 5)]]
+    lost: list[int] = []
+    jobs.replay(jobs.state_counts(batches(spark, tmp_path / "in", parts, schema), "1 day"), "update", dropped=lost)
+    # rows are held against the watermark of the batch before
+    assert lost == [1]
+    out = jobs.replay(jobs.confirmations(batches(spark, tmp_path / "in2", parts, schema), 2), "update")
+    assert [r["late"] for r in out.orderBy("batch").collect()] == [0, 1, 1]
 
 
 def test_tombstone_is_emitted_once(spark, tmp_path):
