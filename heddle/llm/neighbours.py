@@ -213,9 +213,10 @@ def _nearest_to(sent, k: int):
     return run
 
 
-def within_reach(graph: Graph, q: np.ndarray, reach: float, least: int = LEAST_LISTS) -> tuple[np.ndarray, np.ndarray]:
-    """(row of ``q``, list) for each list that a query reads: those within ``1 + reach`` of its
-    nearest, however many, and ``least`` of them, to hold an answer at all."""
+def within_reach(graph: Graph, q: np.ndarray, reach: float, least: int = LEAST_LISTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, list, whether it is one of the row's ``least`` nearest) for each list that a
+    query reads: those within ``1 + reach`` of its nearest, however many, and ``least`` of them,
+    to hold an answer at all."""
     ids, dist = graph.search(q, PROBES)
     near = (ids >= 0) & (dist <= dist[:, :1] * (1 + reach) + 1e-12)
     more = np.flatnonzero(near[:, -1]) if ids.shape[1] < len(graph.c) else np.zeros(0, np.int64)
@@ -226,7 +227,8 @@ def within_reach(graph: Graph, q: np.ndarray, reach: float, least: int = LEAST_L
     d = (q[more] * q[more]).sum(1)[:, None] + graph.norm - 2 * q[more] @ graph.c.T
     d = np.sqrt(np.maximum(d, 0))
     far, to = np.nonzero(d <= d.min(1, keepdims=True) * (1 + reach) + 1e-12) if len(more) else (more, more)
-    return np.concatenate([row, more[far]]), np.concatenate([ids[row, at], to])
+    nearest = np.partition(d, least - 1, 1)[:, least - 1] if len(more) and d.shape[1] > least else np.full(len(more), np.inf)
+    return np.concatenate([row, more[far]]), np.concatenate([ids[row, at], to]), np.concatenate([at < least, d[far, to] <= nearest[far]])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -245,7 +247,7 @@ def _bytes(x: np.ndarray) -> pa.Array:
 
 
 def _listed(sent, to, rows: int):
-    """(list, and the columns given) for each list that ``to`` names."""
+    """(list, first, and the columns given) for each list that ``to`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, reach = sent.value
@@ -253,18 +255,20 @@ def _listed(sent, to, rows: int):
         for batch in batches:
             for part in _parts(batch, rows):
                 x = _matrix(part.column("embedding"))
-                row, lists = to(graph, x, reach)
+                row, lists, first = to(graph, x, reach)
                 part = part.set_column(part.schema.get_field_index("embedding"), "embedding", _bytes(x))
                 # pieces, as a vector may be in very many lists
                 for a in range(0, len(row), 8192):
-                    out = part.take(pa.array(row[a : a + 8192]))
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[a : a + 8192].astype(np.int32)), *out.columns], ["list", *out.schema.names])
+                    b = slice(a, a + 8192)
+                    out = part.take(pa.array(row[b]))
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[b].astype(np.int32)), pa.array(first[b]), *out.columns], ["list", "first", *out.schema.names])
 
     return run
 
 
-def _enters(graph: Graph, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    return posted(graph, x)
+def _enters(graph: Graph, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, to = posted(graph, x)
+    return row, to, np.ones(len(row), bool)
 
 
 _FOUND = "q_key string, key string, least long, score double"
@@ -278,6 +282,7 @@ def _compare(k: int):
             q = np.frombuffer(b"".join(queries["q_embedding"]), np.float64).reshape(len(queries), -1)
             least = page["least"].to_numpy(np.int64)
             keys, asked = page["key"].to_numpy(), queries["q_key"].to_numpy()
+            bound_of = queries["bound"].to_numpy(np.float64)
             rough = (x * x).sum(1) - 2 * q @ x.T
             for i in range(len(q)):
                 some = np.arange(len(x))
@@ -285,6 +290,8 @@ def _compare(k: int):
                     bound = np.partition(rough[i], k - 1)[k - 1]
                     some = np.flatnonzero(rough[i] <= bound + 1e-9 * (1 + abs(bound)))
                 exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
+                fine = exact <= bound_of[i]
+                some, exact = some[fine], exact[fine]
                 top = np.lexsort((least[some], exact))[:k]
                 out.append((np.full(len(top), i), some[top], exact[top]))
         if not out:
@@ -300,19 +307,30 @@ def _smallest(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataF
 
 
 def _answers(probes: DataFrame, posts: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each query (q_key) among the lists of ``probes``."""
+    """The ``k`` best of each query (q_key) among the lists of ``probes``, as far as they are within
+    its ``bound``."""
     # one row for each list, of which there are MOST_LISTS at most
     pages = posts.groupBy("list").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
     blocks = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     plan = F.broadcast(written(pages.join(blocks, "list"), "lists"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(plan, "list").select("list", each("pages").alias("page"), F.pmod(F.xxhash64("q_key"), F.col("blocks")).cast("int").alias("block"), "q_key", "q_embedding")
+    left = probes.join(plan, "list").select("list", each("pages").alias("page"), F.pmod(F.xxhash64("q_key"), F.col("blocks")).cast("int").alias("block"), "q_key", "q_embedding", "bound")
     right = posts.join(plan, "list").select("list", F.pmod(F.xxhash64("key"), F.col("pages")).cast("int").alias("page"), each("blocks").alias("block"), "key", "embedding", "least")
     by = ["list", "page", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare(k), _FOUND)
     return written(_smallest(found.distinct(), ["q_key"], ["score", "least"], k), "answers")
 
 
+def _best(probes: DataFrame, posts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query.  Its nearest lists come first; of the others only what is
+    nearer than the last of those answers is reported at all."""
+    endless = F.lit(float("inf"))
+    first = _answers(probes.filter("first").withColumn("bound", endless), posts, k)
+    bound = first.groupBy("q_key").agg(F.count("*").alias("n"), F.max("score").alias("bound")).filter(F.col("n") >= k).select("q_key", "bound")
+    rest = probes.filter("not first").join(bound, "q_key", "left").withColumn("bound", F.coalesce("bound", endless))
+    return written(_smallest(first.unionByName(_answers(rest, posts, k)).distinct(), ["q_key"], ["score", "least"], k), "answers")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, least_lists: int = LEAST_LISTS) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id long, embedding array) to each row that
     ``is_query`` selects, but itself: query_id, rank (from 1), vec_id, score (Euclidean).
@@ -350,17 +368,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, least_lists: int
     near = np.frombuffer(b"".join(true["embedding"]), np.float64).reshape(len(true), -1)
     reach = fitted_reach(graph, trials, true["trial"].to_numpy(np.int64), near)
     sent = spark.sparkContext.broadcast((graph.parts(), reach))
-    posts = written(base.mapInArrow(_listed(sent, _enters, 1024), "list int, key string, embedding binary, least long"), "postings")
+    posts = written(base.mapInArrow(_listed(sent, _enters, 1024), "list int, first boolean, key string, embedding binary, least long"), "postings")
     asked = keyed.filter("asks").groupBy("key").agg(F.first("embedding").alias("embedding"))
-    named_query = lambda p: p.select("list", F.col("key").alias("q_key"), F.col("embedding").alias("q_embedding"))
-    probes = named_query(written(asked.mapInArrow(_listed(sent, lambda g, x, r: within_reach(g, x, r, least_lists), 256), "list int, key string, embedding binary"), "probes"))
-    best = _answers(probes, posts, k + 1)
+    named_query = lambda p: p.select("list", "first", F.col("key").alias("q_key"), F.col("embedding").alias("q_embedding"))
+    probes = named_query(written(asked.mapInArrow(_listed(sent, lambda g, x, r: within_reach(g, x, r, least_lists), 256), "list int, first boolean, key string, embedding binary"), "probes"))
+    best = _best(probes, posts, k + 1)
     enough = min(k + 1, n)
     met = best.groupBy("q_key").count().filter(F.col("count") >= enough)
     lacking = written(asked.join(met.select(F.col("q_key").alias("key")), "key", "left_anti"), "lacking")
     if not lacking.isEmpty():
-        everywhere = named_query(lacking.mapInArrow(_listed(sent, _everywhere, 16), "list int, key string, embedding binary"))
-        rest = _answers(written(everywhere, "probes"), posts, k + 1)
+        everywhere = named_query(lacking.mapInArrow(_listed(sent, _everywhere, 16), "list int, first boolean, key string, embedding binary"))
+        rest = _best(written(everywhere, "probes"), posts, k + 1)
         best = best.join(lacking.select(F.col("key").alias("q_key")), "q_key", "left_anti").unionByName(rest)
     named = best.join(ids, "key").select("q_key", "vec_id", "score")
     named = _smallest(named, ["q_key"], ["score", "vec_id"], k + 1)
@@ -370,6 +388,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, least_lists: int
     return answers.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
-def _everywhere(graph: Graph, q: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def _everywhere(graph: Graph, q: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(graph.c)
-    return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
+    return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q)), np.zeros(len(q) * n, bool)

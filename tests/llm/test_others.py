@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, language, licenses, mixing, neighbours, queries, secrets, sharding, warc
+from heddle.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, queries, secrets, sharding, warc
 
 from .conftest import SF
 
@@ -73,7 +73,8 @@ def test_ratio_alone_decides_which_lists_are_read():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(500, 64))
     q = np.concatenate([rng.normal(size=(20, 64)) * 0.1, c[:5] + 1e-3])
-    row, to = neighbours.within_reach(neighbours.Graph(c), q, 0.35)
+    row, to, first = neighbours.within_reach(neighbours.Graph(c), q, 0.35)
+    assert (np.bincount(row[first], minlength=len(q)) == neighbours.LEAST_LISTS).all()
     d = np.sqrt(((q[:, None] - c) ** 2).sum(2))
     want = d <= d.min(1, keepdims=True) * 1.35
     assert (want.sum(1) > neighbours.PROBES).sum() >= 20
@@ -98,7 +99,7 @@ def test_lists_are_balanced_and_reach_is_fitted():
     near = np.argsort(far, 1)[:, :10]
     some = np.repeat(np.arange(0, len(q), 4), 10)
     reach = neighbours.fitted_reach(graph, q, some, x[near[::4].ravel()].astype(np.float64))
-    row, to = neighbours.within_reach(graph, q, reach)
+    row, to, _ = neighbours.within_reach(graph, q, reach)
     reads = np.zeros((len(q), len(c)), bool)
     reads[row, to] = True
     prow, plist = neighbours.posted(graph, x.astype(np.float64))
@@ -135,6 +136,27 @@ def test_copies_and_unusable_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+# --- clashing columns and long texts ---
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "word " * 300_000  # of more bytes than a slice
+    notice = licenses.NOTICES["BSD-3-Clause"][0]
+    docs = spark.createDataFrame([(1, f"{long}{notice} token=abcdefgh"), (2, None), (3, "")], DOC)
+    odd = docs
+    for c in ("version", "hits", "n_words", "items", "hash", "length", "blob", "found", "path", "license", "key", "shingle", "node", "n", "component", "place"):
+        odd = odd.withColumn(c, F.lit(f"own {c}"))
+    assert {tuple(r) for r in licenses.scan(odd, licenses.templates(spark)).collect()} == {tuple(r) for r in licenses.scan(docs, licenses.templates(spark)).collect()} != set()
+    items = spark.createDataFrame([("i", notice, "own", 1)], "item_id string, text string, hash string, length int")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.report(odd, items).collect()}
+    n = len(notice.replace(",", "").split())
+    assert got == {1: (300_000 + n + 2, n, True), 2: (0, 0, False), 3: (0, 0, False)}
+    assert {(r["doc_id"], r["spans"]) for r in secrets.document_secrets(odd).collect()} == {(1, f"assign:{len(long) + len(notice) + 1}:{len(long) + len(notice) + 15}"), (2, ""), (3, "")}
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(odd).collect()} == {(1, 1 + 4 + n + 1 - 4, 1), (2, 0, 2), (3, 0, 3)}
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "own", 5), (2, "u", "x" * 2000, "own", 5)], "page_id long, url string, html string, record_type string, n int")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 # --- WARC ---
 
 
