@@ -357,12 +357,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, least_lists: int
     wanted = max(SAMPLE, A_LIST * lists)
     # a share of the vectors by hash, somewhat more than is needed
     h = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    some = base.select("embedding", h.alias("h"), "key").filter(F.col("h") < F.lit(int(min(1.0, 1.2 * wanted / n + 0.001) * (1 << 30)))).orderBy("h", "key").limit(wanted).select("embedding", "key").toArrow()
-    sample, names = _matrix(some.column("embedding")), some.column("key").to_pylist()
-    trials, told = sample[:TRIALS], names[:TRIALS]
-    # trial vectors do not shape the lists, if there are others enough
-    shaping = sample[TRIALS:] if len(sample) > 8 * TRIALS else sample
-    graph = Graph(k_means(shaping.astype(np.float32), min(lists, max(1, len(shaping) // 4))).astype(np.float64))
+    some = base.select("embedding", h.alias("h"), "key").filter(F.col("h") < F.lit(int(min(1.0, 1.2 * wanted / n + 0.001) * (1 << 30)))).orderBy("h", "key").limit(wanted).select("embedding").toArrow()
+    sample = _matrix(some.column("embedding"))
+    graph = Graph(k_means(sample.astype(np.float32), min(lists, max(1, len(sample) // 4))).astype(np.float64))
+    # trials by another hash: of the sample as often as any vector is, since lists lie closer to its vectors
+    h = F.xxhash64(F.lit(13), "key")
+    trial = base.select("embedding", "key").orderBy(h, "key").limit(TRIALS).toArrow()
+    trials, told = _matrix(trial.column("embedding")), trial.column("key").to_pylist()
     true = base.mapInArrow(_nearest_to(spark.sparkContext.broadcast((trials, told)), k), "trial int, key string, score double, embedding binary")
     true = _smallest(true, ["trial"], ["score", "key"], k).toPandas()  # TRIALS x k rows
     near = np.frombuffer(b"".join(true["embedding"]), np.float64).reshape(len(true), -1)
