@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,12 @@ def _ipv4(host: Column) -> Column:
     return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & fits, value)
 
 
-# Loopback, private, link-local, unspecified and multicast ranges.
-LOCAL_RANGES = ((0, 0), (167772160, 184549375), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3232235520, 3232301055), (3758096384, 4026531839))
+# Unspecified, private, loopback, link-local and multicast blocks.
+LOCAL_IPV4 = ("0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4")
+LOCAL_RANGES = tuple((int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, LOCAL_IPV4))
 
 
 def _local_v6(s: pd.Series) -> pd.Series:
-    import ipaddress
-
     def local(text):
         try:
             ip = ipaddress.ip_address(text)
