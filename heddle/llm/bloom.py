@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 #: The most bits (8 MB), and how many a key gets up to there.
 BITS, PER_KEY = 1 << 26, 16
-PROBES = 3
+PROBES = 4
 
 
-def build(keys: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
+def build(keys: DataFrame, key: str, bits: int = BITS, per_key: int = PER_KEY) -> np.ndarray:
     """The filter's words over column ``key`` (long), of ``bits`` bits at most."""
-    wanted = PER_KEY * max(keys.count(), 1)
+    wanted = per_key * max(keys.count(), 1)
     size = min(bits, max(1 << 12, 1 << int(wanted - 1).bit_length()))
     low, high = F.col(key).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(key), 32)
     at = [(low + F.lit(j) * high).bitwiseAND(F.lit(size - 1)) for j in range(PROBES)]

@@ -28,6 +28,8 @@ from heddle.llm.bytewords import ALNUM, grams, mix, salted, slices, words
 from heddle.llm.shared import written
 
 SHINGLE, BANDS, CONTAINED = 5, 32, 0.75
+#: Bits of the filter for each template shingle: a text of thousands of words rarely passes by chance.
+SHINGLE_BITS = 64
 
 # Short notices that say which license applies.  Whole license texts lie beside
 # this module, in ``license_texts``, as their publishers word them.
@@ -199,7 +201,7 @@ def scan(docs: DataFrame, known: DataFrame, *, contained: float = CONTAINED, bit
     classes = sorted((r[0], r[1]) for r in banded.select("size_class", "k").distinct().collect())
     keyed = banded.select("license", "template", F.col("shingles").alias("wanted"), F.explode("keys").alias("key"))
     shingled = banded.select("k", F.explode("shingles").alias("s")).distinct().mapInArrow(_shingle_keys, "key long")
-    sent = docs.sparkSession.sparkContext.broadcast((bloom.build(keyed.select("key"), "key", bits), bloom.build(shingled, "key", bits)))
+    sent = docs.sparkSession.sparkContext.broadcast((bloom.build(keyed.select("key"), "key", bits), bloom.build(shingled, "key", bits, SHINGLE_BITS)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     hit = "array<struct<size_class:int,k:int,word:bigint,shingles:array<bigint>,keys:array<bigint>>>"
     read = docs.select("doc_id", F.xxhash64("text").alias("version"), F.coalesce("text", F.lit("")).alias("text"))
