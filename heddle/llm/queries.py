@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, sql, warc
+from heddle.llm import alignment, chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, sql, warc
 from heddle.llm.shared import md5_uint60
 
 
@@ -70,6 +70,10 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES = {
         op8_prefix_tree_chat,
         op9_ecoc_language,
         op10_jaccard_components,
+        op12_lockstep_alignment,
     )
 }
 
