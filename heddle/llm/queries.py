@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import alignment, chat, decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sharding, sql, warc
+from heddle.llm import alignment, chat, decontaminate, filter_audit, jaccard, language, licenses, line_rules, mixing, neighbours, secrets, sharding, sql, warc
 from heddle.llm.shared import md5_uint60
 
 
@@ -70,10 +70,18 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents"))
 
 
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,7 +95,9 @@ QUERIES = {
         op8_prefix_tree_chat,
         op9_ecoc_language,
         op10_jaccard_components,
+        op11_filter_audit,
         op12_lockstep_alignment,
+        op13_line_rules,
     )
 }
 
@@ -101,4 +111,6 @@ SQL: dict[str, str] = {
     "op7_hierarchical_mix": sql.mix_sql(MIX_LEVELS, MIX_WEIGHTS, _DOMAIN, **MIX),
     "op8_prefix_tree_chat": sql.CHAT,
     "op10_jaccard_components": sql.JACCARD,
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op13_line_rules": sql.LINE_RULES,
 }

@@ -125,3 +125,59 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 SECRETS = secrets_sql()
+
+FILTER_AUDIT = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), fails AS (
+  SELECT d.doc_id, part,
+    CASE WHEN len(w) < 50 THEN ['A'] ELSE [] END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN ['B'] ELSE [] END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN ['C'] ELSE [] END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN ['D'] ELSE [] END
+    || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN ['E'] ELSE [] END AS f,
+    coalesce(g.good, 0) AS good, coalesce(g.toxic, 0) AS toxic
+  FROM docs d LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) g ON g.doc_id = d.doc_id
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), cells AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f
+), steps AS (SELECT o, array_to_string(o, '') AS filter_order, k AS step, o[k] AS x, o[:k - 1] AS earlier FROM orders, range(1, 6) r(k)), counts AS (
+  SELECT part, filter_order, step, x,
+    sum(n) FILTER (NOT list_contains(f, x) AND NOT list_has_any(f, earlier)) AS kept,
+    sum(n) FILTER (list_contains(f, x) AND NOT list_has_any(f, earlier)) AS removed,
+    sum(n) FILTER (list_contains(f, x) AND list_has_any(f, earlier)) AS redundant,
+    sum(n) FILTER (f = [x]) AS unique_fails,
+    sum(good) FILTER (list_contains(f, x) AND NOT list_has_any(f, earlier)) AS good_lost,
+    sum(toxic) FILTER (list_contains(f, x) AND NOT list_has_any(f, earlier)) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM counts
+"""
+
+LINE_RULES = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SOLID}') AS w FROM documents
+), windows AS (
+  SELECT r, p, array_to_string(w[p:p + 7], ' ') AS x FROM docs, unnest(range(1, len(w) - 6)) t(p)
+), repeated AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, p, count(*) OVER (PARTITION BY r, x) AS times FROM windows), unnest(range(p, p + 8)) t(q) WHERE times > 1 GROUP BY r
+), lines AS (
+  SELECT r, doc_id, host, line, {_words("line", _SOLID)} AS w FROM docs, unnest(string_split(text, chr(10))) t(line) WHERE regexp_matches(line, '{_SOLID}')
+), same AS (SELECT r, sum(n - 1) AS n FROM (SELECT r, line, count(*) AS n FROM lines GROUP BY r, line) GROUP BY r
+), hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM docs GROUP BY host
+), frequent AS (
+  SELECT host, x FROM (SELECT host, array_to_string(w, ' ') AS x, count(DISTINCT doc_id) AS n FROM lines GROUP BY 1, 2) l JOIN hosts h USING (host) WHERE l.n > 20 AND 100 * l.n > h.n
+), removed AS (SELECT r, sum(len(w)) AS n FROM lines l JOIN frequent f ON f.host = l.host AND f.x = array_to_string(w, ' ') GROUP BY r
+), counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(s.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_removed
+  FROM docs LEFT JOIN same s USING (r) LEFT JOIN repeated p USING (r) LEFT JOIN removed g USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed >= 20 AND 100 * (n_words - n_removed) >= 30 * n_words AS kept
+FROM counts
+"""
