@@ -7,6 +7,7 @@ keyword)``; blocks are ``blocks(id, phrase)``.  Nothing of a taxonomy is code.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,52 +88,87 @@ def classify(docs: DataFrame, key: str, text: Column, taxonomy: DataFrame, keywo
     return out.select(key, F.when(F.array_contains(ids, SERVICE), F.array(F.lit(SERVICE))).when(F.size(ids) == 0, F.array(F.lit(OTHER))).otherwise(ids).alias("categories"))
 
 
-def format_labels(words: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], attachment: Column | None = None) -> tuple[Column, Column]:
-    """(formats, source) by ``rules``: (id, words of which any is enough, phrases likewise), in
-    order.  ``attachment`` adds ``torrent_attachment``.  Source: ``title``, ``availability`` (by
-    the attachment alone) or ``fallback`` (``unspecified``)."""
+@dataclass(frozen=True)
+class FormatRule:
+    """A format and what a title must hold for it: any of ``words``, any of ``phrases``, a word of both
+    lists of one of ``both``, or a word of one of ``unless`` while its phrase is not there."""
+
+    id: str
+    words: Sequence[str] = ()
+    phrases: Sequence[str] = ()
+    both: Sequence[tuple[Sequence[str], Sequence[str]]] = ()
+    unless: Sequence[tuple[Sequence[str], str]] = ()
+
+
+ATTACHMENT, UNSPECIFIED = "torrent_attachment", "unspecified"
+
+
+def format_order(rules: Sequence[FormatRule | tuple]) -> list[str]:
+    """The order in which formats are listed."""
+    return [_rule(r).id for r in rules] + [ATTACHMENT, UNSPECIFIED]
+
+
+def _rule(rule: FormatRule | tuple) -> FormatRule:
+    return rule if isinstance(rule, FormatRule) else FormatRule(*rule)
+
+
+def format_labels(words: Column, rules: Sequence[FormatRule | tuple], attachment: Column | None = None) -> tuple[Column, Column]:
+    """(formats, source) by ``rules`` (or tuples of their fields), in order.  ``attachment`` adds
+    ``torrent_attachment``.  Source: ``title``, ``availability`` (by the attachment alone) or
+    ``fallback`` (``unspecified``)."""
     text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    any_of = lambda some: F.arrays_overlap(words, F.array(*[F.lit(w) for w in some])) if some else F.lit(False)
+    said = lambda phrase: text.contains(f" {phrase} ")
     one = []
-    for name, any_of, phrases in rules:
-        hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in any_of])) if any_of else F.lit(False)
-        for p in phrases:
-            hit = hit | text.contains(f" {p} ")
-        one.append(F.when(hit, F.lit(name)))
+    for rule in map(_rule, rules):
+        hit = any_of(rule.words)
+        for p in rule.phrases:
+            hit = hit | said(p)
+        for left, right in rule.both:
+            hit = hit | (any_of(left) & any_of(right))
+        for some, phrase in rule.unless:
+            hit = hit | (any_of(some) & ~said(phrase))
+        one.append(F.when(hit, F.lit(rule.id)))
     if attachment is not None:
-        one.append(F.when(attachment, F.lit("torrent_attachment")))
+        one.append(F.when(attachment, F.lit(ATTACHMENT)))
     found = F.array_compact(F.array(*one))
-    source = F.when(F.size(found) == 0, "fallback").when(found[0] == "torrent_attachment", "availability").otherwise("title")
-    return F.when(F.size(found) == 0, F.array(F.lit("unspecified"))).otherwise(found), source
+    source = F.when(F.size(found) == 0, "fallback").when(found[0] == ATTACHMENT, "availability").otherwise("title")
+    return F.when(F.size(found) == 0, F.array(F.lit(UNSPECIFIED))).otherwise(found), source
 
 
 def propagate_majority(rows: DataFrame, author: str, categories: str, taxonomy: DataFrame, *, least: int = 2, percent: int = 70) -> DataFrame:
     """``rows`` with ``categories`` of rows that are exactly ``[other]`` replaced by their
     author's main topic: that of at least ``percent`` of the author's classified rows (by their
     first topic that is not ``other``), of which there are ``least`` or more; ties by taxonomy
-    order.  ``inherited`` marks them.  Blank authors have no majority."""
+    order.  Authors are the same if their normalized names are; those without a letter or digit have
+    no majority.  ``inherited`` marks the rows."""
+    rows = rows.withColumn("_author", normalize(F.coalesce(F.col(author), F.lit(""))))
     first = F.try_element_at(F.filter(categories, lambda c: ~c.isin(OTHER, SERVICE)), F.lit(1))
-    counted = rows.filter(F.trim(F.coalesce(F.col(author), F.lit(""))) != "").select(F.col(author).alias("_a"), first.alias("_topic")).filter(F.col("_topic").isNotNull()).groupBy("_a", "_topic").count()
+    counted = rows.filter(F.col("_author") != "").select(F.col("_author").alias("_a"), first.alias("_topic")).filter(F.col("_topic").isNotNull()).groupBy("_a", "_topic").count()
     ranked = counted.join(taxonomy.select(F.col("id").alias("_topic"), "ord"), "_topic")
     top = ranked.groupBy("_a").agg(F.max_by("_topic", F.struct("count", (-F.col("ord")).alias("o"))).alias("_main"), F.max("count").alias("_n"), F.sum("count").alias("_all"))
     top = top.filter((F.col("_all") >= least) & (F.col("_n") * 100 >= F.col("_all") * percent)).select("_a", "_main")
-    out = rows.join(top, rows[author] == F.col("_a"), "left")
+    out = rows.join(top, F.col("_author") == F.col("_a"), "left")
     moves = (F.size(categories) == 1) & (F.col(categories)[0] == OTHER) & F.col("_main").isNotNull()
-    rest = [rows[c] for c in rows.columns if c != categories]
+    rest = [rows[c] for c in rows.columns if c not in (categories, "_author")]
     return out.select(*rest, F.when(moves, F.array("_main")).otherwise(F.col(categories)).alias(categories), F.coalesce(moves, F.lit(False)).alias("inherited"))
 
 
-def facet_counts(rows: DataFrame, categories: str, taxonomy: DataFrame) -> DataFrame:
-    """(id, label, ord, count) for every definition, those without rows too."""
-    n = rows.select(F.explode(categories).alias("id")).groupBy("id").count()
-    return taxonomy.join(n, "id", "left").select("id", "label", "ord", F.coalesce("count", F.lit(0)).alias("count"))
+def facet_counts(rows: DataFrame, values: str, definitions: DataFrame, *, fields: Sequence[str] = ("id", "label", "ord")) -> DataFrame:
+    """``fields`` and count for every definition, those without rows too."""
+    n = rows.select(F.explode(values).alias("id")).groupBy("id").count()
+    return definitions.join(n, "id", "left").select(*fields, F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def catalog_stats(rows: DataFrame, links: str = "links", passwords: str = "passwords", categories: str = "categories", author: str = "author") -> DataFrame:
-    """One row of counters over a catalog, in one pass."""
+def catalog_stats(rows: DataFrame) -> DataFrame:
+    """One row of counters over a catalog (links with their content, passwords, title_original), in one
+    pass."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    size = lambda c: F.size(F.coalesce(c, F.array()))
     return rows.agg(
-        F.count("*").alias("entry_count"),
-        F.coalesce(F.sum(F.size(F.coalesce(links, F.array()))), F.lit(0)).alias("link_count"),
-        F.count_if(F.size(F.coalesce(passwords, F.array())) > 0).alias("with_password"),
-        F.count_if(F.array_contains(categories, OTHER)).alias("unclassified"),
-        F.count_if(F.coalesce(F.trim(author), F.lit("")) == "").alias("without_author"),
+        F.count("*").alias("entries"),
+        total(size(F.col("links"))).alias("links"),
+        total(size(F.filter("links", lambda x: x["content"].isNotNull()))).alias("enriched_links"),
+        total(size(F.col("passwords"))).alias("passwords"),
+        F.count_if(F.col("title_original").isNotNull()).alias("normalized_titles"),
     )

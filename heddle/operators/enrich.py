@@ -2,142 +2,83 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.text import strip
-
-# Material types by file extension.
-MATERIALS = {
-    "video": ("mp4", "mkv", "mov", "webm", "m4v", "avi"),
-    "audio": ("mp3", "m4a", "flac", "wav", "ogg", "aac"),
-    "document": ("pdf", "epub", "mobi", "fb2", "doc", "docx", "txt", "rtf"),
-    "archive": ("zip", "rar", "7z", "tar", "gz", "bz2", "xz", "iso"),
-    "image": ("jpg", "jpeg", "png", "gif", "webp", "svg"),
-    "torrent": ("torrent",),
-}
-
-CONTENT = "struct<name:string,kind:string,size_bytes:bigint,file_count:int,folder_count:int,items:array<struct<name:string,kind:string,size_bytes:bigint>>>"
-LOCATOR = r"(?i)\b(?:https?|ftp|magnet|data|file|javascript):"
-
-
-def material_types(names: Column) -> Column:
-    """Sorted distinct material types of file names."""
-    ends = F.transform(names, lambda n: F.lower(F.regexp_extract(strip(n), r"\.([^./\\]+)$", 1)))
-    one = F.array(*[F.when(F.arrays_overlap(ends, F.array(*[F.lit(x) for x in xs])), F.lit(t)) for t, xs in MATERIALS.items()])
-    return F.array_sort(F.array_compact(one))
-
-
-def clean_value(c: Column) -> Column:
-    """Control characters become spaces; a value that hides a locator is null."""
-    out = strip(F.regexp_replace(c, r"\p{Cc}", " "))
-    return F.when(~out.rlike(LOCATOR), F.nullif(out, F.lit("")))
-
-
-def embedded_object(body: Column, marker: str) -> Column:
-    """The text from the first ``{`` right after ``marker``; JSON readers of Spark stop at the
-    end of the object by themselves.  Null without one."""
-    at = F.locate(marker, body)
-    rest = F.ltrim(F.substr(body, at + F.lit(len(marker))))
-    return F.when((at > 0) & rest.startswith("{"), rest)
-
-
-def _reach(value, path: str):
-    for part in path.split("."):
-        if not isinstance(value, dict) or part not in value:
-            return None
-        value = value[part]
-    return value
-
-
-class _Bad(ValueError):
-    pass
-
-
-def _text(value) -> str | None:
-    if value is None:
-        return None
-    if not isinstance(value, str):
-        raise _Bad("not a text")
-    import re
-    import unicodedata
-
-    out = "".join(" " if unicodedata.category(c) == "Cc" else c for c in value).strip()
-    if re.search(LOCATOR, out):
-        raise _Bad("a locator in a text")
-    return out or None
-
-
-def _number(value) -> int | None:
-    if value is None:
-        return None
-    if isinstance(value, bool) or not isinstance(value, int) or value < 0:
-        raise _Bad("not a count")
-    return value
-
-
-def project(found: dict, fields: dict, max_items: int) -> dict:
-    """The content of a decoded object by dotted paths; raises if a value has another type."""
-    get = lambda name: _reach(found, fields[name]) if fields.get(name) else None
-    items = get("items") or []
-    if not isinstance(items, list):
-        raise _Bad("items are no list")
-    each = lambda item, name: _reach(item, fields[name]) if fields.get(name) else None
-    listed = [{"name": _text(each(i, "item_name")), "kind": _text(each(i, "item_kind")), "size_bytes": _number(each(i, "item_size_bytes"))} for i in items[:max_items]]
-    return {
-        "name": _text(get("name")),
-        "kind": _text(get("kind")),
-        "size_bytes": _number(get("size_bytes")),
-        "file_count": _number(get("file_count")),
-        "folder_count": _number(get("folder_count")),
-        "items": [i for i in listed if i["name"]],
-    }
-
-
-def first_object(body: str, markers: Sequence[str], fields: dict, max_items: int) -> tuple[str, dict | None]:
-    """(state, content) of the first object after a marker that decodes and fits; later
-    places and markers follow a failure.  ``not_found`` if there is none at all."""
-    decoder, failed = json.JSONDecoder(), False
-    for marker in markers:
-        at = body.find(marker)
-        while at >= 0:
-            begin = at + len(marker)
-            while begin < len(body) and body[begin] in " \t\r\n":
-                begin += 1
-            if body[begin : begin + 1] == "{":
-                try:
-                    return "extracted", project(decoder.raw_decode(body, begin)[0], fields, max_items)
-                except (ValueError, RecursionError):
-                    failed = True
-            at = body.find(marker, at + len(marker))
-    return ("failed" if failed else "not_found"), None
-
-
-def extract(bodies: DataFrame, rules: Sequence[dict], max_items: int = 100, max_body: int = 1 << 20) -> DataFrame:
-    """``bodies`` (sha256, rule_ord, body) as (sha256, state, content); ``rules`` have rule_ord,
-    markers and fields.  Bodies longer than ``max_body`` characters fail."""
-    by = {r["rule_ord"]: r for r in rules}
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, rule, body in zip(part["sha256"], part["rule_ord"], part["body"], strict=True):
-                r = by.get(rule)
-                if r is None or body is None:
-                    out.append((key, "not_found", None))
-                elif len(body) > max_body:
-                    out.append((key, "failed", None))
-                else:
-                    out.append((key, *first_object(body, r["markers"], r["fields"], max_items)))
-            yield pd.DataFrame(out, columns=["sha256", "state", "content"])
-
-    found = bodies.select("sha256", "rule_ord", "body").mapInPandas(run, f"sha256 string, state string, content {CONTENT}")
-    names = F.concat(F.array(F.col("content.name")), F.transform("content.items", lambda i: i["name"]))
-    return found.withColumn("content", F.when(F.col("content").isNotNull(), F.col("content").withField("material_types", material_types(names))))
+from heddle.functions.contents import CONTENT, bound, content_at, content_rules, material_types
+from heddle.plans.stored import written
+
+__all__ = ["CONTENT", "extract", "first_content", "fresh_split", "material_types", "run_counts", "upsert_cache"]
+
+#: Of names that an object repeats the last counts, as with JSON readers elsewhere.
+_REPEATED = "spark.sql.variant.allowDuplicateKeys"
+_BLANKS = " \t\r\n"
+
+
+def first_content(body: Column, markers: Column, fields: Column, max_items: int) -> Column:
+    """struct(content, found, failed): the content of the first object that begins right after a
+    marker and decodes; markers one after the other, and each one's places in order.  ``failed`` if
+    objects were there but none decodes.
+
+    A body is cut at the marker; what follows a cut is parsed only if it begins with a brace, and only
+    until one decodes.  Parsing stops at the end of the object."""
+    none = F.struct(F.lit(None).cast(CONTENT).alias("content"), F.lit(False).alias("found"), F.lit(False).alias("failed"))
+
+    def decoded(text: Column, failed: Column) -> Column:
+        got = lambda v: F.when(v.isNull(), F.struct(F.lit(None).cast(CONTENT).alias("content"), F.lit(True).alias("bad"))).otherwise(content_at(v, fields, max_items))
+        put = lambda x: F.struct(x["content"].cast(CONTENT).alias("content"), (~x["bad"]).alias("found"), (failed | x["bad"]).alias("failed"))
+        return bound(bound(F.try_parse_json(text), got), put)
+
+    def of_marker(state: Column, marker: Column) -> Column:
+        literal = F.concat(F.lit(r"\Q"), F.replace(marker, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+        def places(parts: Column) -> Column:
+            n = F.size(parts)
+            begins = lambda i: F.ltrim(F.when(i < n, F.concat(F.get(parts, i - 1), marker)).otherwise(F.get(parts, i - 1)), F.lit(_BLANKS)).startswith("{")
+            return F.filter(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), begins)
+
+        def one(parts: Column) -> Column:
+            rest = lambda i: F.ltrim(F.call_function("array_join", F.slice(parts, i, F.size(parts)), marker), F.lit(_BLANKS))
+            return F.aggregate(places(parts), state, lambda s, i: F.when(s["found"], s).otherwise(decoded(rest(i), s["failed"])))
+
+        return F.when(state["found"], state).otherwise(bound(F.split(body, literal, -1), one))
+
+    return F.aggregate(markers, none, of_marker)
+
+
+def extract(bodies: DataFrame, rules: DataFrame, max_items: int, max_body_bytes: int) -> DataFrame:
+    """``bodies`` (sha256, rule_ord, body) as (sha256, state, content); ``rules`` have rule_ord, markers
+    (array) and fields (map from field to dotted path) and are a policy's, 64 at most.
+
+    ``not_found`` without a rule, a body or an object behind a marker; ``failed`` for bodies beyond the
+    limit, if no object decodes, or if the one that does breaks a rule for contents, whatever
+    comes after it.  Written, as repeated names are let through while it is."""
+    spark = bodies.sparkSession
+    before = spark.conf.get(_REPEATED, None)
+    spark.conf.set(_REPEATED, "true")
+    try:
+        return written(_outcomes(bodies, rules, max_items, max_body_bytes), "outcomes")
+    finally:
+        if before is None:
+            spark.conf.unset(_REPEATED)
+        else:
+            spark.conf.set(_REPEATED, before)
+
+
+def _outcomes(bodies: DataFrame, rules: DataFrame, max_items: int, max_body_bytes: int) -> DataFrame:
+    limited = rules.select(F.col("rule_ord").alias("_rule"), "markers", "fields")
+    rows = bodies.select("sha256", "rule_ord", "body").join(F.broadcast(limited), F.col("rule_ord") == F.col("_rule"), "left")
+    asked = F.col("body").isNotNull() & F.col("_rule").isNotNull()
+    large = F.octet_length("body") > max_body_bytes
+    found = rows.select("sha256", asked.alias("asked"), large.alias("large"), F.when(asked & ~large, first_content(F.col("body"), F.col("markers"), F.col("fields"), max_items)).alias("x"))
+    fits = F.lit(True)
+    for ok in content_rules(F.col("x.content")).values():
+        fits = fits & ok
+    state = (
+        F.when(~F.col("asked"), "not_found").when(F.col("large"), "failed").when(F.col("x.found") & fits, "extracted")
+        .when(F.col("x.found") | F.col("x.failed"), "failed").otherwise("not_found")
+    )
+    return found.select("sha256", state.alias("state"), F.col("x.content").alias("content")).select("sha256", "state", F.when(F.col("state") == "extracted", F.col("content")).alias("content"))
 
 
 def fresh_split(candidates: DataFrame, cache: DataFrame, now: Column, stale_after: Column, refresh: bool = False) -> DataFrame:

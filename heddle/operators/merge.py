@@ -94,24 +94,43 @@ def merge_links(links: DataFrame, owner: Sequence[str], key: Column, order: Sequ
     at = F.struct(*[F.col(c) for c in order])
     first = F.min_by(F.struct("url", "host", "provider", "kind", "role"), at).alias("first")
     label = F.min_by("label", F.when(F.col("label").isNotNull(), at)).alias("label")
-    content = [F.min_by("content", F.when(F.col("content").isNotNull(), F.struct((-information("content")).alias("s"), F.length(F.to_json("content")).alias("n"), F.to_json("content").alias("j"), at.alias("at")))).alias("content")] if "content" in links.columns else []
+    content = [F.min_by("content", F.when(F.col("content").isNotNull(), F.struct((-information("content")).alias("s"), written_out("content").alias("j")))).alias("content")] if "content" in links.columns else []
     out = links.withColumn("link_key", key).groupBy(*owner, "link_key").agg(first, F.max(F.coalesce("primary", F.lit(False))).alias("primary"), label, *content, F.min(at).alias("first_seen"))
     return out.select(*owner, "link_key", "first.*", "primary", "label", *(["content"] if content else []), "first_seen")
 
 
+def _told(x: Column) -> Column:
+    return F.when(F.coalesce(x, F.lit(False)), 1).otherwise(0)
+
+
 def information(content: str) -> Column:
-    """How much a cached content says: its filled fields and listed items."""
+    """How much a cached content says: its filled fields and types, and for each item one more than
+    its filled fields."""
     c = F.col(content)
-    told = lambda x: F.when(x, 1).otherwise(0)
+    text, count = (lambda x: _told(x != "")), (lambda x: _told(x != 0))
+    items = F.transform(F.coalesce(c["items"], F.array()), lambda i: 1 + text(i["name"]) + text(i["kind"]) + count(i["size_bytes"]))
     return (
-        told(F.coalesce(c["name"], F.lit("")) != "")
-        + told(F.coalesce(c["kind"], F.lit("")) != "")
-        + told(F.coalesce(c["size_bytes"], F.lit(0)) > 0)
-        + told(F.coalesce(c["file_count"], F.lit(0)) > 0)
-        + told(F.coalesce(c["folder_count"], F.lit(0)) > 0)
-        + F.greatest(F.lit(0), F.size(F.coalesce(c["items"], F.array())))
-        + F.greatest(F.lit(0), F.size(F.coalesce(c["material_types"], F.array())))
-    )
+        text(c["name"]) + text(c["kind"]) + count(c["size_bytes"]) + count(c["file_count"]) + count(c["folder_count"])
+        + F.aggregate(items, F.lit(0), lambda n, i: n + i) + F.greatest(F.lit(0), F.size(F.coalesce(c["material_types"], F.array())))
+    )
+
+
+def written_out(content: str) -> Column:
+    """A content as JSON without empty fields, in which equal amounts of information are told apart; some
+    signs are escaped, as they count by their escapes."""
+    c = F.col(content)
+    text = lambda x: F.nullif(x, F.lit(""))
+    count = lambda x: F.nullif(x, F.lit(0).cast("bigint"))
+    some = lambda x: F.when(F.size(x) > 0, x)
+    item = lambda i: F.struct(text(i["name"]).alias("name"), text(i["kind"]).alias("kind"), count(i["size_bytes"]).alias("size_bytes"))
+    whole = F.struct(
+        text(c["name"]).alias("name"), text(c["kind"]).alias("kind"), count(c["size_bytes"]).alias("size_bytes"), count(c["file_count"]).alias("file_count"), count(c["folder_count"]).alias("folder_count"),
+        some(F.transform(c["items"], item)).alias("items"), some(c["material_types"]).alias("material_types"),
+    )
+    out = F.to_json(whole)
+    for sign in "&<>\u2028\u2029":
+        out = F.replace(out, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return out
 
 
 def same_source(headers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import contents
 from heddle.functions.links import host_suffixes, is_local
 
 VIOLATION = "table string, key string, rule string, value string"
@@ -118,6 +119,10 @@ def _compiles(patterns: pd.Series) -> pd.Series:
     return patterns.map(one)
 
 
+#: Rules of an enrichment policy.
+MOST_RULES = 64
+
+
 def audit_policy_rules(policy: DataFrame, rules: DataFrame) -> DataFrame:
     """``policy``: timeout_seconds, max_body_bytes, concurrency, confirmations_required (one row);
     ``rules``: rule_ord, host_suffixes, dead_statuses, dead_body, mismatch_body,
@@ -140,7 +145,7 @@ def audit_policy_rules(policy: DataFrame, rules: DataFrame) -> DataFrame:
 ROOT_FIELDS, ITEM_FIELDS = ("name", "kind", "size_bytes", "file_count", "folder_count", "items"), ("item_name", "item_kind", "item_size_bytes")
 
 
-def enrichment_policy_rules(policy: DataFrame, rules: DataFrame, *, most_rules: int = 64, most_markers: int = 32, most_bytes: int = 8 << 20, most_items: int = 1000) -> DataFrame:
+def enrichment_policy_rules(policy: DataFrame, rules: DataFrame, *, most_rules: int = MOST_RULES, most_markers: int = 32, most_bytes: int = 8 << 20, most_items: int = 1000) -> DataFrame:
     """``policy``: max_body_bytes, max_items, stale_after_seconds (one row); ``rules``: rule_ord,
     host_suffixes, markers (arrays), fields (map from field to path)."""
     c, name = F.col, "enrichment_policy"
@@ -198,19 +203,14 @@ def report_rules(df: DataFrame) -> DataFrame:
 
 
 def content_rules(df: DataFrame, max_items: int = 1000) -> DataFrame:
-    """Cached contents: counts not negative, items listed within the cap, named, sorted types."""
+    """Cached contents: a state and what goes with it, and the rules that extracted contents keep to as
+    well (``contents.content_rules``)."""
     c = F.col("content")
-    fits = lambda n: F.coalesce(c[n] >= 0, F.lit(True))
     rules = {
         "hash": (F.col("sha256").rlike(HASH), F.col("sha256")),
         "state": (F.col("state").isin("extracted", "not_found"), F.col("state")),
         "content_by_state": ((F.col("state") == "extracted") == c.isNotNull(), F.col("state")),
-        "size": (fits("size_bytes"), c["size_bytes"]),
-        "file_count": (fits("file_count"), c["file_count"]),
-        "folder_count": (fits("folder_count"), c["folder_count"]),
-        "items": (F.coalesce(F.size(c["items"]) <= max_items, F.lit(True)), F.size(c["items"])),
-        "item_name": (F.coalesce(F.forall(c["items"], lambda i: F.trim(i["name"]) != ""), F.lit(True)), F.to_json(c["items"])),
-        "material_types": (F.coalesce(c["material_types"] == F.array_sort(F.array_distinct(c["material_types"])), F.lit(True)), F.to_json(c["material_types"])),
+        **{name: (c.isNull() | ok, F.to_json(c)) for name, ok in contents.content_rules(c, max_items).items()},
     }
     return all_of(check(df, "cache", "sha256", rules), unique(df, "cache", ["sha256"]))
 
@@ -221,11 +221,7 @@ def definition_rules(df: DataFrame, table: str) -> DataFrame:
     return all_of(check(df, table, "id", rules), unique(df.select(F.lower(F.trim("id")).alias("id")), table, ["id"]))
 
 
-# Types of material that a link's content may have.
-MATERIAL_TYPES = ("archive", "audio", "document", "image", "torrent", "video")
-
-
-def catalog_rules(entries: DataFrame, taxonomy: DataFrame, formats: DataFrame | None = None, *, max_items: int = 1000, material_types: Sequence[str] = MATERIAL_TYPES) -> DataFrame:
+def catalog_rules(entries: DataFrame, taxonomy: DataFrame, formats: DataFrame | None = None, *, max_items: int = 1000, material_types: Sequence[str] = tuple(contents.MATERIALS)) -> DataFrame:
     """Catalog entries before activation: every field that a reader relies on."""
     c = F.col
     time = lambda x: F.try_to_timestamp(x.cast("string")).isNotNull()

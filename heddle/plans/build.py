@@ -18,12 +18,14 @@ from heddle.sources import attachments, exports, stores
 
 @dataclass
 class Controls:
-    """Control tables and rules; those left out are empty."""
+    """Control tables and rules; those left out are empty.  ``format_labels`` (id, label) names the
+    formats; without it they are called by their ids."""
 
     taxonomy: DataFrame
     keywords: DataFrame
     blocks: DataFrame | None = None
-    formats: Sequence[tuple] = ()
+    formats: Sequence[classify.FormatRule | tuple] = ()
+    format_labels: DataFrame | None = None
     tombstones: DataFrame | None = None
     suppressions: DataFrame | None = None
     cache: DataFrame | None = None
@@ -34,6 +36,7 @@ class Controls:
 class Catalog:
     entries: DataFrame
     facets: DataFrame
+    format_facets: DataFrame
     stats: DataFrame
     violations: DataFrame
     source: DataFrame
@@ -79,7 +82,7 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     order = ["snapshot_ord", "pos"]
 
     source = written(merge.fold_header(exports.headers(snapshots), ["snapshot_ord"]), "source")
-    said_messages = exports.messages(snapshots).withColumns({"file_name": F.col("media.document.file_name"), "mime_type": F.col("media.document.mime_type")}).drop("media")
+    said_messages = exports.messages(snapshots).withColumns({"media_type": F.col("media.type"), "file_name": F.col("media.document.file_name"), "mime_type": F.col("media.document.mime_type")}).drop("media")
     messages = written(merge.upsert(said_messages, "message_id", order), "messages")
     raw = exports.entries(snapshots).withColumn("author", T.optional("credit.author"))
     raw = raw.withColumns({"passwords": F.coalesce("passwords", F.array().cast("array<string>")), "links": F.coalesce("links", F.array().cast(f"array<{exports.LINK}>"))})
@@ -92,6 +95,11 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     said = lambda c: T.strip(F.coalesce(c, F.lit(""))) != ""
     checks = {"blank_entry": (said(F.col("entry_id")), F.col("entry_id")), "blank_title": (said(F.col("title")), F.col("title")), "added_at": (F.try_to_timestamp("added_at").isNotNull(), F.col("added_at"))}
     broken = quality.all_of(quality.check(entries, "entries", "entry_id", checks), quality.references(entries, messages, "entries", "entry_id", "message_id", "message_id"), quality.check(messages, "messages", "message_id", {"blank_message": (said(F.col("message_id")), F.col("message_id"))}))
+    hashed = attached = None
+    if files is not None:
+        hashed = written(attachments.hashes(files), "hashes")
+        attached = messages.filter(attachments.is_torrent()).select("message_id", "file_name")
+        broken = broken.unionByName(attachments.unreadable(hashed, attached))
     broken = written(broken, "violations")
     if strict:
         quality.require(broken, "entries")
@@ -106,10 +114,10 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     stated = flat.filter("disposition = 'kept'")
     if files is not None:
         # links of attachments belong to entries, but say nothing about which are the same
-        found = attachments.magnet_links(attachments.match(attachments.hashes(files), messages.select("message_id", "file_name")))
+        found = attachments.magnet_links(attachments.match(hashed, attached))
         extra = entries.select("entry_id", "message_id").join(found, "message_id")
         null = F.lit(None).cast("string")
-        extra = extra.select("entry_id", F.lit(1 << 20).alias("pos"), F.lit(True).alias("useful"), "url", null.alias("host"), F.lit("magnet").alias("provider"), F.lit("magnet").alias("kind"), F.lit("attachment").alias("role"), F.lit(False).alias("primary"), null.alias("label"), F.col("url").alias("canonical"), null.alias("rejection"))
+        extra = extra.select("entry_id", F.lit(1 << 20).alias("pos"), F.lit(True).alias("useful"), "url", null.alias("host"), "provider", "kind", "role", F.lit(False).alias("primary"), null.alias("label"), F.col("url").alias("canonical"), null.alias("rejection"))
         flat = flat.unionByName(written(marked(extra), "attached-links"))
     kept = flat.filter("disposition = 'kept'")
 
@@ -152,7 +160,7 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     # labels of members, then entities
     about = T.normalize(F.concat_ws(" ", "title", "author", "raw_block"))
     labels = classify.classify(grouped.withColumn("about", about), "entry_id", F.col("about"), controls.taxonomy, controls.keywords, controls.blocks)
-    carried = messages.select("message_id", F.col("telegram_message_id"), F.col("url").alias("message_url"), (F.lower("mime_type") == "application/x-bittorrent").alias("attached"))
+    carried = messages.select("message_id", F.col("telegram_message_id"), F.col("url").alias("message_url"), attachments.is_torrent().alias("attached"))
     member = grouped.join(labels, "entry_id").join(carried, "message_id", "left")
     formats, format_source = classify.format_labels(T.tokens(T.normalize("title")), controls.formats, F.coalesce("attached", F.lit(False)))
     told = lambda c: F.array_compact(F.array(T.optional(c)))
@@ -166,35 +174,58 @@ def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | N
     link = F.struct("first_seen", "link_key", "url", "host", "provider", "kind", "role", "primary", "label", "content")
     listed = merged.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("first_seen", "link_key"))).alias("o"), F.map_from_entries(F.collect_list(F.struct("link_key", link.alias("v")))).alias("m"))
     listed = listed.select("component", F.transform("o", lambda x: F.col("m")[x["link_key"]]).alias("links"))
-    ordered = F.transform(F.array_sort(F.transform("categories", lambda c: F.struct(F.coalesce(F.col("_rank")[c], F.lit(1 << 20)).alias("o"), c.alias("c")))), lambda x: x["c"])
+    in_order = lambda names, rank: F.transform(F.array_sort(F.transform(names, lambda c: F.struct(F.coalesce(rank[c], F.lit(1 << 20)).alias("o"), c.alias("c")))), lambda x: x["c"])
+    format_ids = classify.format_order(controls.formats)
+    format_rank = F.create_map(*[x for i, name in enumerate(format_ids) for x in (F.lit(name), F.lit(i))])
     rank = controls.taxonomy.agg(F.map_from_entries(F.collect_list(F.struct("id", "ord"))).alias("_rank"))  # one entry a definition
-    whole = whole.join(listed, "component", "left").join(F.broadcast(rank), F.lit(True)).withColumn("categories", ordered).drop("_rank").withColumn("id", T.stable_id("key"))
+    whole = whole.join(listed, "component", "left").join(F.broadcast(rank), F.lit(True)).withColumns({"categories": in_order("categories", F.col("_rank")), "formats": in_order("formats", format_rank)}).drop("_rank").withColumn("id", T.stable_id("key"))
     keep, dropped = cluster.with_links(whole)
     final = classify.propagate_majority(keep, "author", "categories", controls.taxonomy)
     final = final.withColumnsRenamed({"first_at": "first_added_at", "last_at": "last_added_at", "note_list": "notes", "availabilities": "availability"}).withColumns({"primary_category": F.col("categories")[0], "primary_format": F.col("formats")[0]})
     final = written(final, "catalog")
-    counters = final.agg(F.count("*").alias("entry_count"), F.sum(F.size("links")).alias("link_count"), F.count_if("inherited").alias("inherited_topics"), F.count_if(F.size("passwords") > 0).alias("with_password"))
+    counters = classify.catalog_stats(final).join(F.broadcast(final.agg(F.count_if("inherited").alias("inherited_topics"))), F.lit(True))
     stats = counters.join(F.broadcast(dropped), F.lit(True))
     removed = flat.agg(*[F.count_if(F.col("disposition") == name).alias(name) for name in ("structural", "tombstoned", "suppressed")])
     stats = stats.join(F.broadcast(removed), F.lit(True)).join(F.broadcast(merge.source_counts(entries, messages)), F.lit(True))
     quality.require(quality.collisions(final, "catalog", "id", "key"), "catalog")
-    return Catalog(final, classify.facet_counts(final, "categories", controls.taxonomy), stats, broken, source)
+    names = spark.createDataFrame([(name, i) for i, name in enumerate(format_ids)], "id string, ord int")
+    named = controls.format_labels.select("id", "label") if controls.format_labels is not None else names.select("id", F.col("id").alias("label"))
+    definitions = names.join(F.broadcast(named), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    facets = classify.facet_counts(final, "categories", controls.taxonomy, fields=("id", "label", "hidden", "ord"))
+    return Catalog(final, facets, classify.facet_counts(final, "formats", definitions), stats, broken, source)
+
+
+def _suffixes(rules: DataFrame) -> DataFrame:
+    """(rule_ord, host_suffix) of rules with their host_suffixes."""
+    return rules.select("rule_ord", F.explode("host_suffixes").alias("host_suffix"))
 
 
-def audit_links(observations: DataFrame, rules: Sequence[dict], suffixes: DataFrame, previous: DataFrame, tombstones: DataFrame, required: int) -> tuple[DataFrame, DataFrame]:
+def audit_links(observations: DataFrame, policy: DataFrame, rules: DataFrame, previous: DataFrame, tombstones: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(report, new tombstones) of a run: ``observations`` has sha256, host, http_status, body,
-    transport_error, checked_at."""
-    judged = audit.classify(audit.match_rule(observations, suffixes), rules)
+    transport_error, checked_at; ``policy`` and ``rules`` are as ``quality.audit_policy_rules`` takes
+    them.  A policy, report or tombstone that breaks a rule stops the run (``quality.Broken``) before
+    anything is written."""
+    quality.require(quality.audit_policy_rules(policy, rules), "audit policy")
+    quality.require(quality.all_of(quality.report_rules(previous), quality.tombstone_rules(tombstones)), "control tables")
+    limits = policy.first()  # one row
+    listed = [r.asDict() for r in rules.orderBy("rule_ord").collect()]  # a policy's rules: their patterns become literals
+    judged = audit.classify(audit.match_rule(observations, _suffixes(rules)), listed)
     report = written(audit.advance(judged.select("sha256", "state", "reason", "http_status", "checked_at"), previous), "report")
-    return report, audit.new_tombstones(report, tombstones, required)
+    return report, audit.new_tombstones(report, tombstones, limits["confirmations_required"])
 
 
-def enrich_links(bodies: DataFrame, rules: Sequence[dict], suffixes: DataFrame, cache: DataFrame, now: Column, stale_after: Column) -> tuple[DataFrame, DataFrame]:
+def enrich_links(bodies: DataFrame, policy: DataFrame, rules: DataFrame, cache: DataFrame, now: Column, *, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cache, counts) of a run over ``bodies`` (sha256, host, body): those whose host has a rule
-    and whose cache row is stale."""
-    split = enrich.fresh_split(audit.match_rule(bodies, suffixes, how="inner"), cache, now, stale_after)
+    and whose cache row is stale.  ``policy`` and ``rules`` are as ``quality.enrichment_policy_rules``
+    takes them, and its limits hold; a policy or cache that breaks a rule stops the run
+    (``quality.Broken``) before anything is written."""
+    quality.require(quality.enrichment_policy_rules(policy, rules), "enrichment policy")
+    quality.require(quality.content_rules(cache), "cache")
+    limits = policy.first()  # one row
+    stale_after = F.make_dt_interval(secs=F.lit(float(limits["stale_after_seconds"])).cast("decimal(18,6)"))
+    split = enrich.fresh_split(audit.match_rule(bodies, _suffixes(rules), how="inner"), cache, now, stale_after, refresh)
     split = written(split, "candidates")
-    found = written(enrich.extract(split.filter("not fresh"), rules).withColumn("checked_at", now), "outcomes")
+    found = enrich.extract(split.filter("not fresh"), rules, limits["max_items"], limits["max_body_bytes"]).withColumn("checked_at", now)
     return enrich.upsert_cache(cache, found), enrich.run_counts(split, found)
 
 

@@ -241,11 +241,14 @@ def facet_counts(spark, sf):
     return classify.facet_counts(rows, "categories", _taxonomy(spark))
 
 
-@query("SELECT count(*) AS entry_count, CAST(sum(p_size % 4) AS BIGINT) AS link_count, count(*) FILTER (p_size % 3 > 0) AS with_password, count(*) FILTER (p_size % 4 = 2) AS unclassified, count(*) FILTER (p_size % 5 = 0) AS without_author FROM part")
+@query("""
+SELECT count(*) AS entries, sum(p_size % 4)::BIGINT AS links, sum(CASE WHEN p_size % 4 = 0 THEN 0 ELSE (p_size % 4 + p_partkey % 2) // 2 END)::BIGINT AS enriched_links, sum(p_size % 3)::BIGINT AS passwords, count(*) FILTER (p_size % 5 = 0) AS normalized_titles FROM part
+""")
 def catalog_stats(spark, sf):
     k = F.col("p_size")
-    many = lambda n: F.array_repeat(F.lit("x"), (k % n).cast("int"))
-    rows = table(spark, sf, "part").select(many(4).alias("links"), many(3).alias("passwords"), F.array(F.when(k % 4 == 2, "other").otherwise("metal")).alias("categories"), F.when(k % 5 == 0, " ").otherwise("x").alias("author"))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i < k % n)
+    links = F.transform(numbers(4), lambda i: F.struct(F.when((i + F.col("p_partkey")) % 2 == 1, F.struct(i.alias("size"))).alias("content")))
+    rows = table(spark, sf, "part").select(links.alias("links"), numbers(3).alias("passwords"), F.when(k % 5 == 0, F.col("p_name")).alias("title_original"))
     return classify.catalog_stats(rows)
 
 
@@ -374,8 +377,9 @@ def embedded_json(spark, sf):
     items = F.when(F.col("event_id") % 2 == 0, F.array(item("a.mp4"), item("b.pdf"))).otherwise(F.array(item("a.MKV")))
     obj = F.to_json(F.struct(F.struct(F.col("event_type").alias("title"), F.floor(F.col("value") * 100).alias("size")).alias("meta"), items.alias("files")))
     body = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('<p>"payload": none</p>'), "event_type")).otherwise(F.concat(F.lit('<script>"payload": {bad "payload": '), obj, F.lit(", more</script>")))
-    rules = [{"rule_ord": 0, "markers": ['"payload":'], "fields": {"name": "meta.title", "size_bytes": "meta.size", "items": "files", "item_name": "n"}}]
-    out = enrich.extract(e.select(F.col("event_id").cast("string").alias("sha256"), F.lit(0).alias("rule_ord"), body.alias("body")), rules)
+    fields = {"name": "meta.title", "size_bytes": "meta.size", "items": "files", "item_name": "n"}
+    rules = spark.createDataFrame([(0, ['"payload":'], fields)], "rule_ord int, markers array<string>, fields map<string,string>")
+    out = enrich.extract(e.select(F.col("event_id").cast("string").alias("sha256"), F.lit(0).alias("rule_ord"), body.alias("body")), rules, 100, 1 << 20)
     return out.select(F.col("sha256").cast("long").alias("event_id"), "state", "content.name", "content.size_bytes", "content.material_types")
 
 
@@ -462,6 +466,6 @@ def stream_counts(spark, sf):
     return out.groupBy("day", "state").agg(F.max_by("count", "batch").alias("count"))
 
 
-from heddle import rule_queries  # noqa: E402, F401  (registers more)
+from heddle import content_queries, rule_queries  # noqa: E402, F401  (register more)
 
 __all__ = ["QUERIES", "SQL"]

@@ -7,15 +7,19 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions.text import strip
+
 MAX_BYTES = 16 << 20
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.torrent") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= MAX_BYTES)
+def read_files(spark: SparkSession, path: str, pattern: str = "*.[tT][oO][rR][rR][eE][nN][tT]") -> DataFrame:
+    """Files in a folder; those beyond ``MAX_BYTES`` come without their content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    large = files.filter(F.col("length") > MAX_BYTES).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    return files.filter(F.col("length") <= MAX_BYTES).unionByName(large)
 
 
 def _skip(data: bytes, at: int, depth: int = 0) -> int:
@@ -68,6 +72,8 @@ def hashes(files: DataFrame) -> DataFrame:
             out = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 try:
+                    if content is None:
+                        raise ValueError("too large")
                     out.append((path, info_hash(bytes(content)), None))
                 except (ValueError, IndexError) as e:
                     out.append((path, None, str(e)))
@@ -76,26 +82,55 @@ def hashes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, info_sha1 string, error string")
 
 
+def _name(c: Column) -> Column:
+    """The last part of a path, trimmed, in lower case, if it is a torrent's; else null."""
+    base = F.lower(strip(F.regexp_extract(F.regexp_replace(c, "/+$", ""), "([^/]*)$", 1)))
+    return F.when(base.endswith(".torrent"), base)
+
+
+def _without_count(name: Column) -> Column:
+    """The name without the `` (n)`` that browsers add; null if it has none."""
+    bare = F.regexp_extract(name, r"(?s)^(.*) \([0-9]+\)\.torrent$", 1)
+    return F.when(name.rlike(r" \([0-9]+\)\.torrent$"), F.concat(bare, F.lit(".torrent")))
+
+
+def is_torrent(media_type: Column | str = "media_type", mime_type: Column | str = "mime_type") -> Column:
+    """A message whose attachment is a torrent."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.coalesce((col(media_type) == "messageMediaDocument") & (F.lower(col(mime_type)) == "application/x-bittorrent"), F.lit(False))
+
+
+def _pooled(hashed: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files under the message name they belong to, messages by name).  A file belongs to the messages
+    of its own name, or else to those of its name without the browser's count."""
+    named = messages.select("message_id", _name(F.col("file_name")).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    files = hashed.select("path", "info_sha1", "error", _name(F.col("path")).alias("own")).filter(F.col("own").isNotNull())
+    names = named.select("name").distinct()
+    told = files.join(names.withColumnRenamed("name", "_own"), F.col("own") == F.col("_own"), "left").withColumn("_bare", F.when(F.col("_own").isNull(), _without_count(F.col("own"))))
+    told = told.join(names.withColumnRenamed("name", "_second"), F.col("_bare") == F.col("_second"), "left")
+    return told.select(F.coalesce("_own", "_second").alias("name"), "path", "info_sha1", "error").filter(F.col("name").isNotNull()), named
+
+
 def match(hashed: DataFrame, messages: DataFrame) -> DataFrame:
-    """(message_id, info_sha1): messages (message_id, file_name) whose file is known.
+    """(message_id, info_sha1): messages (message_id, file_name), all of them with torrents, whose content
+    is known.
 
-    A file's own name goes first, then its name without the ``(n)`` that browsers add.  A name
-    counts only if all its files have one hash, and no more files than messages bear it."""
-    base = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
-    files = hashed.filter(F.col("info_sha1").isNotNull()).select(base.alias("name"), "path", "info_sha1")
-    named = messages.select("message_id", F.lower(F.trim("file_name")).alias("name")).filter(F.col("name") != "").distinct()
-    want = named.groupBy("name").agg(F.count_distinct("message_id").alias("wanted"))
+    A name counts if all its files, own and counted ones, have one hash, and if one message bears it
+    or there are as many files as messages.  A name with a file that does not parse has none."""
+    files, named = _pooled(hashed, messages)
+    one = files.groupBy("name").agg(F.count_distinct("path").alias("files"), F.count_distinct("info_sha1").alias("hashes"), F.min("info_sha1").alias("info_sha1"), F.count_if(F.col("info_sha1").isNull()).alias("unread"))
+    want = named.groupBy("name").agg(F.count("*").alias("wanted"))
+    known = one.join(want, "name").filter((F.col("hashes") == 1) & (F.col("unread") == 0) & ((F.col("wanted") == 1) | (F.col("files") >= F.col("wanted"))))
+    return named.join(known.select("name", "info_sha1"), "name").select("message_id", "info_sha1")
 
-    def unanimous(rows: DataFrame) -> DataFrame:
-        one = rows.groupBy("name").agg(F.count_distinct("info_sha1").alias("hashes"), F.count_distinct("path").alias("files"), F.min("info_sha1").alias("info_sha1"))
-        return one.join(want, "name").filter((F.col("hashes") == 1) & (F.col("files") <= F.greatest("wanted", F.lit(1)))).select("name", "info_sha1")
 
-    own = unanimous(files)
-    stripped = files.join(named.select("name").distinct(), "name", "left_anti").withColumn("name", F.regexp_replace("name", r" ?\(\d+\)(?=\.[^.]+$)", ""))
-    second = unanimous(stripped).select("name", F.col("info_sha1").alias("second"))
-    out = named.join(own, "name", "left").join(second, "name", "left")
-    return out.select("message_id", F.coalesce("info_sha1", "second").alias("info_sha1")).filter(F.col("info_sha1").isNotNull())
+def unreadable(hashed: DataFrame, messages: DataFrame) -> DataFrame:
+    """Violations: files of messages that do not parse."""
+    files, _ = _pooled(hashed, messages)
+    bad = files.filter(F.col("info_sha1").isNull())
+    return bad.select(F.lit("attachments").alias("table"), F.col("path").alias("key"), F.lit("unreadable_file").alias("rule"), F.col("error").alias("value"))
 
 
 def magnet_links(matched: DataFrame) -> DataFrame:
-    return matched.select("message_id", F.concat(F.lit("magnet:?xt=urn:btih:"), "info_sha1").alias("url"))
+    """The link of each message's attachment, with the fields of a catalog link."""
+    return matched.select("message_id", F.concat(F.lit("magnet:?xt=urn:btih:"), "info_sha1").alias("url"), F.lit("magnet").alias("provider"), F.lit("torrent").alias("kind"), F.lit("mirror").alias("role"))

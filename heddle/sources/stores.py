@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from heddle.functions.contents import CONTENT
+
 SIDECARS = {
     "tombstones": "sha256 string, reason string, confirmed_at timestamp",
     "suppressions": "source_entry_id string, sha256 string, reason string, confirmed_at timestamp",
     "report": "sha256 string, state string, reason string, http_status int, checked_at timestamp, confirmations int",
-    "cache": "sha256 string, state string, checked_at timestamp, content struct<name:string,kind:string,size_bytes:bigint,file_count:int,folder_count:int,"
-    "items:array<struct<name:string,kind:string,size_bytes:bigint>>,material_types:array<string>>",
+    "cache": f"sha256 string, state string, checked_at timestamp, content {CONTENT}",
 }
 POINTER = "version string, activated_at timestamp"
 

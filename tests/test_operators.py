@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from heddle.functions import contents
 from heddle.operators import audit, classify, cluster, enrich, merge, quality, search
 from heddle.plans import build
 from heddle.plans.components import connected_components
@@ -77,10 +78,10 @@ def test_host_rules(spark):
 
 def test_enrichment(spark):
     fields = {"name": "meta.name", "items": "files", "item_name": "n", "size_bytes": "size"}
-    rules = [{"rule_ord": 0, "markers": ['"p":'], "fields": fields}]
+    rules = spark.createDataFrame([(0, ['"p":'], fields)], "rule_ord int, markers array<string>, fields map<string,string>")
     good = 'x "p": {broken "p": {"meta":{"name":"A\\u0001b"},"files":[{"n":"a.mp4"},{"n":"b.pdf"},{"n":"c.zip"}],"size":3} tail'
     rows = [("1", 0, good), ("2", 0, "nothing"), ("3", 0, '"p": {"size":-1}'), ("4", 0, '"p": {"meta":{"name":"see https://x"}}'), ("5", None, good), ("6", 0, None)]
-    got = {r["sha256"]: r for r in enrich.extract(spark.createDataFrame(rows, "sha256 string, rule_ord int, body string"), rules, max_items=2).collect()}
+    got = {r["sha256"]: r for r in enrich.extract(spark.createDataFrame(rows, "sha256 string, rule_ord int, body string"), rules, 2, 1 << 20).collect()}
     assert {k: r["state"] for k, r in got.items()} == {"1": "extracted", "2": "not_found", "3": "failed", "4": "failed", "5": "not_found", "6": "not_found"}
     assert got["1"]["content"]["name"] == "A b" and got["1"]["content"]["material_types"] == ["document", "video"] and len(got["1"]["content"]["items"]) == 2
 
@@ -109,16 +110,35 @@ def bencode(x):
     return b"d" + b"".join(bencode(k) + bencode(v) for k, v in sorted(x.items())) + b"e"
 
 
+def sha(x):
+    return hashlib.sha1(bencode(x[b"info"])).hexdigest()
+
+
 def test_attachments(spark, tmp_path):
-    one, two = ({b"info": {b"name": n, b"length": 1}} for n in (b"a", b"b"))
-    for name, data in {"a.torrent": bencode(one), "b (1).torrent": bencode(two), "c.torrent": b"junk", "d/e.torrent": bencode(one), "f/e.torrent": bencode(two)}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(data)
+    red, blue = ({b"info": {b"name": n, b"length": 1}} for n in (b"a", b"b"))
+    files = {
+        # a name of one message, also with the count of a browser, and in other letters
+        "own.torrent": red, "counted (12).torrent": blue, "Loud.TORRENT": red,
+        # a file and its copy: alike, and not alike
+        "same.torrent": red, "same (1).torrent": red, "differ.torrent": red, "differ (1).torrent": blue,
+        # names that two messages bear, with one file and with two
+        "scarce.torrent": red, "plenty.torrent": blue, "plenty (3).torrent": blue,
+        # what only looks like a count; a counted name that a message bears itself
+        "near(1).torrent": red, "letters (x).torrent": red, "full (2).torrent": blue, "full.torrent": red, "other.pdf": red,
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(bencode(data))
+    (tmp_path / "junk.torrent").write_bytes(b"junk")
+    (tmp_path / "large.torrent").write_bytes(b"d4:info" + b"x" * (16 << 20))
     hashed = attachments.hashes(attachments.read_files(spark, str(tmp_path)))
-    assert hashed.filter("error is not null").count() == 1
-    said = spark.createDataFrame([("1", "a.torrent"), ("2", "b.torrent"), ("3", "c.torrent"), ("4", "e.torrent")], "message_id string, file_name string")
-    sha = lambda x: hashlib.sha1(bencode(x[b"info"])).hexdigest()
-    assert {tuple(r) for r in attachments.match(hashed, said).collect()} == {("1", sha(one)), ("2", sha(two))}
+    names = ["own", "counted", " LOUD", "same", "differ", "scarce", "scarce", "plenty", "plenty", "near", "letters", "full (2)", "full", "junk", "missing", "large"]
+    rows = [(str(i), f"some/folder/{n}.torrent") for i, n in enumerate(names)] + [("pdf", "other.pdf"), ("none", None), ("own", "own (1).torrent")]
+    said = spark.createDataFrame([*rows, rows[0]], "message_id string, file_name string")
+    want = {"0": red, "1": blue, "2": red, "3": red, "7": blue, "8": blue, "11": blue, "12": red}
+    assert {tuple(r) for r in attachments.match(hashed, said).collect()} == {(k, sha(v)) for k, v in want.items()}
+    assert sorted((r["key"].rsplit("/", 1)[1], r["value"]) for r in attachments.unreadable(hashed, said).collect()) == [("junk.torrent", "no dictionary"), ("large.torrent", "too large")]
+    link = attachments.magnet_links(attachments.match(hashed, said)).filter("message_id = '0'").first()
+    assert tuple(link)[1:] == (f"magnet:?xt=urn:btih:{sha(red)}", "magnet", "torrent", "mirror")
 
 
 def entry(i, title, link, added="2024-01-01T00:00:00Z", year=None, author=None, message="m"):
@@ -128,7 +148,7 @@ def entry(i, title, link, added="2024-01-01T00:00:00Z", year=None, author=None,
 
 def snapshot(entries, channel=1, **counts):
     stats = {"retrieval": {"exported_message_count": 1}, "parsing": {"catalog_entry_count": len(entries), "parsed_link_count": sum(len(e["links"]) for e in entries), "password_value_count": sum(len(e["passwords"]) for e in entries)} | counts}
-    message = {"message_id": "m", "telegram_message_id": 5, "url": "https://t.test/5", "media": {"type": "x", "document": {"file_name": "x.torrent", "mime_type": "application/x-bittorrent"}}}
+    message = {"message_id": "m", "telegram_message_id": 5, "url": "https://t.test/5", "media": {"type": "messageMediaDocument", "document": {"file_name": "x.torrent", "mime_type": "application/x-bittorrent"}}}
     return {"schema_version": "3", "exported_at": "2024-03-01T00:00:00Z", "source": {"channel_id": channel, "title": "C"}, "stats": stats, "messages": [message], "catalog_entries": entries}
 
 
@@ -186,7 +206,124 @@ def test_attached_links_do_not_cluster(spark, tmp_path, controls):
     (tmp_path / "files" / "x.torrent").write_bytes(bencode(one))
     read = saved(spark, tmp_path / "in", snapshot([entry("1", "Red roof", "https://example.test/a"), entry("2", "Red roof tiles", "https://example.test/b")]))
     made = build.build_catalog(read, controls, attachments.read_files(spark, str(tmp_path / "files")))
-    assert [len(r["links"]) for r in made.entries.collect()] == [2, 2]
+    assert [[(x["kind"], x["role"]) for x in r["links"]] for r in made.entries.collect()] == [[("file_host", "primary"), ("torrent", "mirror")]] * 2
+    assert {r["id"]: r["count"] for r in made.format_facets.collect()} == {"torrent_attachment": 2, "unspecified": 0}
+    (tmp_path / "files" / "x.torrent").write_bytes(b"junk")
+    with pytest.raises(quality.Broken, match="unreadable_file"):
+        build.build_catalog(read, controls, attachments.read_files(spark, str(tmp_path / "files")))
+
+
+def test_members_unite_in_the_order_of_definitions(spark, tmp_path, controls):
+    # the first member says "book", the second "course"; the definitions have them the other way round
+    controls.formats = [("course", ["course"]), classify.FormatRule("book", ["book"])]
+    controls.format_labels = spark.createDataFrame([("course", "Course")], "id string, label string")
+    link = "https://example.test/a"
+    rows = [entry("1", "Blue sky book", link), entry("2", "Blue sky book course", link, "2024-02-01T00:00:00Z", author="ann")]
+    rows[0]["passwords"], rows[1]["passwords"] = ["x", "y"], ["y", "z"]
+    first = snapshot(rows)
+    first["messages"][0]["media"]["type"] = "text"
+    content = ("n", None, 1, None, None, [("i", None, None)], [])
+    controls.cache = spark.createDataFrame([(H(link), "extracted", dt.datetime(2024, 1, 1), content)], stores.SIDECARS["cache"])
+    made = build.build_catalog(saved(spark, tmp_path / "in", first), controls)
+    one = made.entries.first()
+    assert (one["members"], one["formats"], one["primary_format"], one["passwords"]) == (2, ["course", "book"], "course", ["x", "y", "z"])
+    assert [tuple(r) for r in made.format_facets.orderBy("ord").collect()] == [("course", "Course", 0, 1), ("book", "book", 1, 1), ("torrent_attachment", "torrent_attachment", 2, 0), ("unspecified", "unspecified", 3, 0)]
+    stats = made.stats.first()
+    assert (stats["entries"], stats["links"], stats["enriched_links"], stats["passwords"], stats["normalized_titles"]) == (1, 1, 1, 3, 0)
+
+
+def test_richer_content_wins(spark):
+    kind = f"k int, o int, url string, host string, provider string, kind string, role string, primary boolean, label string, content {contents.CONTENT}"
+    item = lambda *x: x + (None,) * (3 - len(x))
+    name = lambda n, items=None, types=None, size=None: (n, None, size, None, None, items, types)
+    cases = [
+        # two items that say little against one that says more
+        (name("a", [item("x"), item("y")]), name("b", [item("x", "k", 5), item(None, None, 1)]), 1), (name("a", [item(None)] * 4), name("b", [item("x", "k", 9)]), 0),
+        # equal amounts: the smaller text, not the shorter one
+        (name("b"), name("aaaa"), 1), (name("z&"), name("z'"), 1), (name("z~"), name("z&"), 0 + 1), (name("a", size=10), name("a", size=9), 0), (name("a", [], []), name("a", None, None), 0),
+    ]
+    rows = [(k, o, "u", "h", "p", "k", "r", False, None, c) for k, case in enumerate(cases) for o, c in enumerate(case[:2])]
+    for order in (["o"], ["back"]):
+        df = spark.createDataFrame(rows, kind).withColumn("back", -F.col("o"))
+        got = {r["k"]: tuple(r["content"])[0] for r in merge.merge_links(df, ["k"], F.lit("x"), order).collect()}
+        assert got == {k: case[case[2]][0] for k, case in enumerate(cases)}
+
+
+def test_authors_are_the_same_by_normalized_name(spark):
+    tax = spark.createDataFrame([("dev", 0), ("art", 1), ("other", 2), ("service", 3)], "id string, ord int")
+    rows = [(1, "Ann B", ["dev"]), (2, "ann  b!", ["dev", "art"]), (3, "ANN B", ["other"]), (4, "ann b", ["other", "dev"]), (5, "ann b", ["other"]), (6, "?", ["other"]), (7, "!", ["dev"]), (8, "?!", ["dev"]), (9, None, ["other"]), (10, "Bo", ["dev"]), (11, "bo", ["art"]), (12, "BO", ["other"])]
+    out = classify.propagate_majority(spark.createDataFrame(rows, "k int, author string, categories array<string>"), "author", "categories", tax)
+    assert {r["k"]: r["categories"] for r in out.collect() if r["inherited"]} == {3: ["dev"], 5: ["dev"]}
+
+
+def test_format_guards(spark):
+    rules = [classify.FormatRule("w", unless=[(["practice"], "big practice")], words=["camp"]), classify.FormatRule("b", both=[(["book"], ["all", "set"])], phrases=["check list"])]
+    titles = {"practice": ["w"], "a big practice": [], "big practice camp": ["w"], "book": [], "all the book": ["b"], "check list": ["b"], "check the list": [], "set book practice": ["w", "b"]}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    formats, source = classify.format_labels(F.split("t", " "), rules, F.lit(False))
+    got = {r["t"]: (r["f"], r["s"]) for r in df.select("t", formats.alias("f"), source.alias("s")).collect()}
+    assert got == {t: (f or ["unspecified"], "title" if f else "fallback") for t, f in titles.items()}
+
+
+LIMITS = "max_body_bytes long, max_items int, stale_after_seconds long"
+ENRICH = "rule_ord int, host_suffixes array<string>, markers array<string>, fields map<string,string>"
+
+
+def test_embedded_objects(spark):
+    fields = {"name": "meta.name", "kind": "k-1", "size_bytes": "size", "file_count": "files", "folder_count": "meta.folders", "items": "list", "item_name": "n", "item_kind": "t.u", "item_size_bytes": "s"}
+    rules = spark.createDataFrame([(0, ["P:", "Q\\E{"], fields), (1, ["{"], {"name": "a"})], "rule_ord int, markers array<string>, fields map<string,string>")
+    long = "x" * 4096
+    cases = {
+        # texts
+        'P: {"meta":{"name":"a}{\\"b"}} }': ("extracted", 'a}{"b'), 'P:{"k-1":"Course data: 2024"}': ("extracted", None), f'P:{{"meta":{{"name":"{long}"}}}}': ("extracted", long), f'P:{{"meta":{{"name":"{long}y"}}}}': ("failed", None),
+        'P:{"meta":{"name":"https\\u0001://x"}}': ("failed", None), 'P:{"meta":{"name":"\\u0002mail\\u0003to:x"}}': ("failed", None), 'P:{"meta":{"name":"mailto:x"}}': ("failed", None), 'P:{"meta":{"name":"sftp://h"}}': ("failed", None), 'P:{"meta":{"name":"a <b>"}}': ("failed", None),
+        'P:{"meta":{"name":" a\\u0009b "}}': ("extracted", "a b"), 'P:{"meta":{"name":7}}': ("failed", None), 'P:{"meta":{"name":null}}': ("failed", None), 'P:{"meta":{"name":"x","name":"y"}}': ("extracted", "y"),
+        # numbers
+        'P:{"size":1e24}': ("failed", None), 'P:{"files":3000000000}': ("extracted", None), 'P:{"size":9223372036854775808}': ("failed", None), 'P:{"size":9223372036854775807}': ("extracted", None), 'P:{"size":5.0}': ("failed", None), 'P:{"size":"5"}': ("failed", None), 'P:{"size":-1}': ("failed", None),
+        # objects and items
+        'P:{"list":[{"n":"a"},3]}': ("failed", None), 'P:{"list":[{}, {"s":1}]}': ("extracted", None), 'P:{"list":{"n":"a"}}': ("failed", None), 'P:{"list":[{"n":"a"},{"n":"b"},{"n":"c"},3]}': ("extracted", None), 'P:{"list":[{"t":3}]}': ("failed", None), 'P:{"meta":3}': ("failed", None),
+        'P:{}': ("failed", None), 'P:{"list":[]}': ("failed", None), 'P:{"size":0}': ("failed", None),
+        # places
+        'P:{"size":"x"} P: {"size":1}': ("extracted", None), 'P: [1] Q\\E{{"size":1}': ("extracted", None), 'P:{"size": P:': ("failed", None), 'P: nothing P:': ("not_found", None), 'P:{"meta":{"name":"P:{"}} P:{"size":1}': ("extracted", "P:{"), 'p:{"size":1}': ("not_found", None),
+    }
+    rows = [(str(i), 0, body) for i, body in enumerate(cases)] + [("brace", 1, '{{"a":"in"}'), ("long", 0, 'P:{"size":1}' + " " * 9000), ("bytes", 0, 'P:{"size":1}' + "é" * 4400), ("empty", 0, ""), ("none", 9, "P:{}")]
+    got = {r["sha256"]: r for r in enrich.extract(spark.createDataFrame(rows, "sha256 string, rule_ord int, body string").repartition(3), rules, 3, 8800).collect()}
+    assert {body: (got[str(i)]["state"], got[str(i)]["content"] and got[str(i)]["content"]["name"]) for i, body in enumerate(cases)} == cases
+    assert [got[k]["state"] for k in ("brace", "long", "bytes", "empty", "none")] == ["extracted", "failed", "failed", "not_found", "not_found"]
+    at = lambda body: got[str(list(cases).index(body))]["content"]
+    assert at('P:{"files":3000000000}')["file_count"] == 3_000_000_000 and [i["name"] for i in at('P:{"list":[{"n":"a"},{"n":"b"},{"n":"c"},3]}')["items"]] == ["a", "b", "c"]
+    assert [tuple(i) for i in at('P:{"list":[{}, {"s":1}]}')["items"]] == [(None, None, None), (None, None, 1)]
+
+
+def test_runs_check_their_policies_first(spark):
+    rules = spark.createDataFrame([(0, ["a.test"], ["P:"], {"items": "l", "item_name": "n"})], ENRICH)
+    many = "P:" + json.dumps({"l": [{"n": f"f{i}.pdf"} for i in range(300)]})
+    bodies = spark.createDataFrame([(H("x"), "www.a.test", many), (H("y"), "b.test", many), (H("z"), "a.test", many), (H("w"), "a.test", "none")], "sha256 string, host string, body string")
+    at = dt.datetime(2024, 1, 1)
+    cache = spark.createDataFrame([(H("z"), "not_found", at, None), (H("old"), "not_found", at, None)], stores.SIDECARS["cache"])
+    now = lambda s: F.lit(s).cast("timestamp")
+    limits = spark.createDataFrame([(1 << 20, 250, 3600)], LIMITS)
+    after, counts = build.enrich_links(bodies, limits, rules, cache, now("2024-01-01 00:59:59"))
+    assert counts.first().asDict() == {"candidates": 3, "fresh": 1, "fetched": 2, "extracted": 1, "not_found": 1, "failed": 0}
+    assert {r["sha256"]: r["content"] and len(r["content"]["items"]) for r in after.collect()} == {H("x"): 250, H("w"): None, H("z"): None, H("old"): None}
+    assert build.enrich_links(bodies, limits, rules, cache, now("2024-01-01 01:00:00"))[1].first()["fresh"] == 0
+    assert build.enrich_links(bodies, limits, rules, cache, now("2024-01-01 00:00:01"), refresh=True)[1].first()["fresh"] == 0
+    with pytest.raises(quality.Broken, match="max_items"):
+        build.enrich_links(bodies, limits.withColumn("max_items", F.lit(1001)), rules, cache, now("2024-01-01"))
+    with pytest.raises(quality.Broken, match="content_by_state"):
+        build.enrich_links(bodies, limits, rules, cache.withColumn("state", F.lit("extracted")), now("2024-01-01"))
+    policy = spark.createDataFrame([(5, 1, 64, 2)], "timeout_seconds int, max_body_bytes long, concurrency int, confirmations_required int")
+    hosts = "rule_ord int, host_suffixes array<string>, dead_statuses array<int>, dead_body array<string>, mismatch_body array<string>, required_body array<string>, allowed_redirects array<string>"
+    audited = spark.createDataFrame([(1, ["a.test"], [418], ["gone"], [], [], [])], hosts)
+    seen = spark.createDataFrame([(H("x"), "a.test", 418, "", None, at), (H("y"), "b.test", 418, "", None, at)], "sha256 string, host string, http_status int, body string, transport_error string, checked_at timestamp")
+    before = spark.createDataFrame([(H("x"), "expired", "dead_status", 418, at, 1)], stores.SIDECARS["report"])
+    none = spark.createDataFrame([], stores.SIDECARS["tombstones"])
+    report, dead = build.audit_links(seen, policy, audited, before, none)
+    assert {r["sha256"]: (r["state"], r["confirmations"]) for r in report.collect()} == {H("x"): ("expired", 2), H("y"): ("unknown", 0)} and [r["sha256"] for r in dead.collect()] == [H("x")]
+    with pytest.raises(quality.Broken, match="confirmations_required"):
+        build.audit_links(seen, policy.withColumn("confirmations_required", F.lit(0)), audited, before, none)
+    with pytest.raises(quality.Broken, match="state"):
+        build.audit_links(seen, policy, audited, before.withColumn("state", F.lit("odd")), none)
 
 
 @pytest.mark.parametrize(
@@ -276,7 +413,7 @@ def test_small_rules_and_lookups(spark, tmp_path):
     assert {r["rule"] for r in quality.suppression_rules(quiet).collect()} == {"entry", "hash", "reason", "confirmed_at", "duplicate_key"}
     cache = spark.createDataFrame([(H("a"), "extracted", at, ("n", None, 1, 2, 3, [("i", None, None)], ["audio", "video"])), (H("b"), "extracted", at, None), (H("c"), "not_found", at, None), ("d", "odd", at, ("n", None, -1, -2, -3, [(" ", None, None)] * 3, ["video", "audio"]))], stores.SIDECARS["cache"])
     got = sorted((r["key"][:1], r["rule"]) for r in quality.content_rules(cache, max_items=2).collect())
-    assert [r for k, r in got if k == "d"] == sorted(["hash", "state", "content_by_state", "size", "file_count", "folder_count", "items", "item_name", "material_types"]) and ("3", "content_by_state") in got and len(got) == 10
+    assert [r for k, r in got if k == "d"] == sorted(["hash", "state", "content_by_state", "size", "file_count", "folder_count", "items", "item_text", "material_types"]) and ("3", "content_by_state") in got and len(got) == 10
     report = spark.createDataFrame([(H("a"), "live", "ok", 200, at, 0), (H("b"), "odd", "ok", 99, None, -1)], stores.SIDECARS["report"])
     assert {r["rule"] for r in quality.report_rules(report).collect()} == {"state", "http_status", "checked_at", "confirmations"}
     assert {r["rule"] for r in quality.identifiers(spark.createDataFrame([("a",), ("a",), (" ",), (None,)], "id string"), "t", "id").collect()} == {"blank_key", "duplicate_key"}
