@@ -46,16 +46,19 @@ def material_types(names: Column) -> Column:
     return F.array_sort(F.array_compact(one))
 
 
+_EDGE = r"(?U)^\s|\s$"
+
+
 def is_locator(lower: Column) -> Column:
     """A lower-case text that holds ``://`` or begins with a scheme."""
-    return lower.contains("://") | lower.rlike("^(?:" + "|".join(SCHEMES) + "):")
+    return lower.rlike("://|^(?:" + "|".join(SCHEMES) + "):")
 
 
 def is_metadata(text: Column) -> Column:
     """What a stored text must be: trimmed, of bounded size, without control characters, angle
     brackets or locators.  Null is no text and fits."""
-    fits = (F.octet_length(text) <= MOST_TEXT_BYTES) & (strip(text) == text) & ~text.rlike(r"[\p{Cc}<>]") & ~is_locator(F.lower(text))
-    return text.isNull() | fits
+    fits = (F.octet_length(text) <= MOST_TEXT_BYTES) & ~text.rlike(_EDGE + r"|[\p{Cc}<>]") & ~is_locator(F.lower(text))
+    return F.when(text.isNull(), True).otherwise(fits)
 
 
 def _members(value: Column) -> Column:
@@ -77,24 +80,29 @@ def text_at(root: Column, path: Column) -> Column:
     """struct(v, bad): a text whose control characters are blanks.  What is no text, hides a locator
     behind control characters or is too long is bad."""
 
+    # most texts have no control characters and no blanks at their edges: those are only looked at
     def cleaned(r: Column) -> Column:
         raw = r["v"].cast("string")
-        bare = F.lower(strip(F.regexp_replace(raw, r"\p{Cc}", "")))
-        out = strip(F.regexp_replace(raw, r"\p{Cc}", " "))
-        hidden = raw.rlike(r"\p{Cc}") & is_locator(bare)
-        wrong = r["v"].isNotNull() & ((F.schema_of_variant(r["v"]) != "STRING") | F.coalesce(hidden | (F.octet_length(out) > MOST_TEXT_BYTES), F.lit(False)))
-        return F.struct(F.nullif(out, F.lit("")).alias("v"), (r["bad"] | wrong).alias("bad"))
+        return bound(F.struct(raw.alias("raw"), raw.rlike(r"\p{Cc}").alias("odd"), (F.schema_of_variant(r["v"]) != "STRING").alias("other"), r["bad"].alias("bad")), trimmed)
+
+    def trimmed(s: Column) -> Column:
+        flat = F.when(s["odd"], F.regexp_replace(s["raw"], r"\p{Cc}", " ")).otherwise(s["raw"])
+        hidden = F.when(s["odd"], is_locator(F.lower(strip(F.regexp_replace(s["raw"], r"\p{Cc}", ""))))).otherwise(F.lit(False))
+        judge = lambda out: F.struct(F.when(out != "", out).alias("v"), (s["bad"] | s["other"] | hidden | (F.octet_length(out) > MOST_TEXT_BYTES)).alias("bad"))
+        return bound(bound(flat, lambda f: F.when(f.rlike(_EDGE), strip(f)).otherwise(f)), judge)
 
-    return bound(reach(root, path), cleaned)
+    nothing = lambda r: F.struct(F.lit(None).cast("string").alias("v"), r["bad"].alias("bad"))
+    return bound(reach(root, path), lambda r: F.when(r["v"].isNull(), nothing(r)).otherwise(cleaned(r)))
 
 
 def count_at(root: Column, path: Column) -> Column:
-    """struct(v, bad): a whole number from 0 up to the largest long; none and 0 are null."""
+    """struct(v, bad): a whole number from 0 up to the largest long."""
 
     def whole(r: Column) -> Column:
         n = F.try_variant_get(r["v"], "$", "bigint")
-        wrong = r["v"].isNotNull() & ((F.schema_of_variant(r["v"]) != "BIGINT") | (n < 0))
-        return F.struct(F.nullif(n, F.lit(0).cast("bigint")).alias("v"), (r["bad"] | wrong).alias("bad"))
+        wrong = (F.schema_of_variant(r["v"]) != "BIGINT") | (n < 0)
+        nothing = F.struct(F.lit(None).cast("bigint").alias("v"), r["bad"].alias("bad"))
+        return F.when(r["v"].isNull(), nothing).otherwise(F.struct(n.alias("v"), (r["bad"] | wrong).alias("bad")))
 
     return bound(reach(root, path), whole)
 
