@@ -42,18 +42,22 @@ class Catalog:
     source: DataFrame
 
 
-def source_violations(snapshots: DataFrame) -> DataFrame:
+def source_violations(snapshots: DataFrame | exports.Snapshots) -> DataFrame:
     """What speaks against the snapshots before they are merged: counters that differ from the
     rows, no entries, more than one channel."""
-    links = F.coalesce(F.aggregate("catalog_entries", F.lit(0), lambda n, e: n + F.greatest(F.size(F.coalesce(e["links"], F.array())), F.lit(0))), F.lit(0))
-    secrets = F.coalesce(F.aggregate("catalog_entries", F.lit(0), lambda n, e: n + F.greatest(F.size(F.coalesce(e["passwords"], F.array())), F.lit(0))), F.lit(0))
-    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0))
-    actual = {"retrieval.exported_message_count": size("messages"), "parsing.catalog_entry_count": size("catalog_entries"), "parsing.parsed_link_count": links, "parsing.password_value_count": secrets}
+    tables = exports.as_snapshots(snapshots)
+    size = lambda c: F.size(F.coalesce(c, F.array()))
+    of = F.col("snapshot_ord").alias("_ord")
+    said = tables.messages.groupBy(of).agg(F.count("*").alias("n_messages")).withColumnRenamed("_ord", "_said")
+    held = tables.entries.groupBy(of).agg(F.count("*").alias("n_entries"), F.sum(size(F.col("links"))).alias("n_links"), F.sum(size(F.col("passwords"))).alias("n_passwords"))
+    whole = tables.headers.join(said, F.col("snapshot_ord") == F.col("_said"), "left").join(held, F.col("snapshot_ord") == F.col("_ord"), "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    actual = {"retrieval.exported_message_count": "n_messages", "parsing.catalog_entry_count": "n_entries", "parsing.parsed_link_count": "n_links", "parsing.password_value_count": "n_passwords"}
     declared = lambda n: F.coalesce(F.col(f"stats.{n}"), F.lit(0))
-    rules = {n.split(".")[1]: (declared(n) == a, F.concat_ws("<>", declared(n).cast("string"), a.cast("string"))) for n, a in actual.items()}
-    rules["no_entries"] = (size("catalog_entries") > 0, F.col("snapshot_ord"))
+    rules = {n.split(".")[1]: (declared(n) == none(a), F.concat_ws("<>", declared(n).cast("string"), none(a).cast("string"))) for n, a in actual.items()}
+    rules["no_entries"] = (none("n_entries") > 0, F.col("snapshot_ord"))
     channels = merge.same_source(exports.headers(snapshots)).select(F.lit("snapshots").alias("table"), F.lit("source").alias("key"), F.lit("conflicting_source").alias("rule"), F.concat_ws("/", F.col("ids").cast("string"), F.col("urls").cast("string")).alias("value"))
-    return quality.check(snapshots, "snapshots", "snapshot_ord", rules).unionByName(channels)
+    return quality.check(whole, "snapshots", "snapshot_ord", rules).unionByName(channels)
 
 
 def control_violations(controls: Controls) -> DataFrame:
@@ -65,15 +69,15 @@ def control_violations(controls: Controls) -> DataFrame:
     return quality.all_of(*found)
 
 
-def build_catalog(snapshots: DataFrame, controls: Controls, files: DataFrame | None = None, *, strict: bool = True) -> Catalog:
-    """Snapshots (``exports.read_exports``) to a catalog: upsert, link hygiene, clusters, titles,
+def build_catalog(snapshots: DataFrame | exports.Snapshots, controls: Controls, files: DataFrame | None = None, *, strict: bool = True) -> Catalog:
+    """Snapshots (``exports.read_snapshots`` or ``read_exports``) to a catalog: upsert, link hygiene, clusters, titles,
     categories, facets.
 
     Snapshots whose counters are wrong, of several channels, or without entries stop the
     build (``quality.Broken``) before anything is written, and so do broken control tables.
     Entries without an id, title, readable time or message stop it as well; if it is not
     ``strict``, they are left out and listed in ``violations``."""
-    spark = snapshots.sparkSession
+    spark = controls.taxonomy.sparkSession
     quality.require(source_violations(snapshots), "snapshots")
     quality.require(control_violations(controls), "control tables")
     tombstones = controls.tombstones if controls.tombstones is not None else stores.read_sidecar(spark, None, "tombstones")
