@@ -92,6 +92,11 @@ def replay(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]
     return None if each else spark.read.parquet(into).drop("n")
 
 
+def run_once(writer, checkpoint: str) -> None:
+    """Run a stream's writer over what there is and stop."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 class Table:
     """A table that a stream upserts into: each batch's rows lie in a folder of their own, and
     every ``COMPACT_EVERY`` batches all rows so far are folded into a base.  A batch that is
