@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import contents
 from heddle.functions import text as T
-from heddle.operators import classify, enrich, merge
+from heddle.operators import classify, enrich, facets, merge, search
 from heddle.registry import query, table
 from heddle.sources import attachments
 
@@ -172,3 +172,45 @@ def format_facets(spark, sf):
     names = ["Workshop", "Book", "Audio", "Attachment", "Other", "Marathon"]
     rows = [(i, n, k) for k, (i, n) in enumerate(zip([*classify.format_order(_GUARDED), "marathon"], names, strict=True))]
     return classify.facet_counts(_formats(spark, sf), "formats", spark.createDataFrame(rows, "id string, label string, ord int"))
+
+
+# --- drill-down facets
+
+_PART = """
+SELECT p_partkey, list_filter([' ' || upper(split_part(p_name, ' ', 1)), CASE WHEN p_size % 9 = 0 THEN 'Service' END, CASE WHEN p_size % 4 = 0 THEN 'odd' END, CASE WHEN p_size % 6 = 0 THEN 'Secret' END], lambda x: x IS NOT NULL) AS categories, [p_type] AS formats, [p_brand] AS providers,
+  CASE WHEN p_size % 5 > 0 THEN 2000 + p_size % 7 END AS year, p_retailprice > 1000 AS has_password FROM part
+"""
+_ASKED = """
+SELECT s_suppkey AS request_id, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ['red', ' BLUE ', 'odd'] ELSE [' ', 'small'] END AS categories, CASE s_suppkey % 4 WHEN 0 THEN ['economy', 'nothing'] ELSE [] END AS formats,
+  CASE s_suppkey % 5 WHEN 0 THEN ['brand#1', 'BRAND#3', 'brand#' || (s_suppkey % 25)] END AS providers, CASE s_suppkey % 2 WHEN 0 THEN [2001, 2003] ELSE [] END AS years, CASE WHEN s_suppkey % 7 < 2 THEN true WHEN s_suppkey % 7 < 4 THEN false END AS has_password FROM supplier
+"""
+_NAMED = [("categories", "RED", "Red things", False), ("categories", "Blue", "Blue", False), ("categories", " odd", "Odd ones ", False), ("categories", "secret", "Hidden", True), ("formats", "Economy", "Economy class", False)]
+_DRILL = f"""
+WITH p AS (SELECT p_partkey, list_transform(categories, lambda x: trim(lower(x))) AS c, list_transform(formats, lambda x: lower(x)) AS f, list_transform(providers, lambda x: lower(x)) AS b, year AS y, has_password AS h FROM ({_PART})),
+v AS (SELECT * FROM p WHERE NOT list_contains(c, 'service')), names(facet, shown, label, hidden) AS (VALUES {", ".join(f"('{f}', '{i.strip()}', '{n.strip()}', {h})" for f, i, n, h in _NAMED)}),
+r AS (SELECT request_id, list_filter(list_transform(coalesce(categories, []), lambda x: trim(lower(x))), lambda x: x <> '') AS rc, list_transform(formats, lambda x: lower(x)) AS rf, list_transform(coalesce(providers, []), lambda x: lower(x)) AS rb, years AS ry, has_password AS rh FROM ({_ASKED})),
+m AS (SELECT *, len(rc) = 0 OR list_has_any(c, rc) AS oc, len(rf) = 0 OR list_has_any(f, rf) AS of, len(rb) = 0 OR list_has_any(b, rb) AS ob, len(ry) = 0 OR coalesce(list_contains(ry, y), false) AS oy, rh IS NULL OR rh = h AS oh FROM v, r),
+e AS (SELECT request_id, 'categories' AS facet, unnest(list_distinct(c)) AS value FROM m WHERE of AND ob AND oy AND oh UNION ALL SELECT request_id, 'formats', unnest(f) FROM m WHERE oc AND ob AND oy AND oh UNION ALL SELECT request_id, 'providers', unnest(b) FROM m WHERE oc AND of AND oy AND oh
+  UNION ALL SELECT request_id, 'year', CAST(y AS VARCHAR) FROM m WHERE oc AND of AND ob AND oh AND y IS NOT NULL UNION ALL SELECT request_id, 'has_password', CAST(h AS VARCHAR) FROM m WHERE oc AND of AND ob AND oy),
+n AS (SELECT request_id, facet, value, count(*) AS count FROM e GROUP BY ALL UNION ALL SELECT request_id, 'has_password', w, 0 FROM r, (VALUES ('true'), ('false')) t(w) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.request_id = r.request_id AND facet = 'has_password' AND value = w)),
+l AS (SELECT request_id, n.facet, coalesce(shown, value) AS value, CASE WHEN n.facet = 'providers' THEN 'host of ' || value ELSE coalesce(label, value) END AS label, count FROM n LEFT JOIN names ON names.facet = n.facet AND lower(shown) = value WHERE NOT coalesce(hidden, false))
+SELECT *, CAST(row_number() OVER (PARTITION BY request_id, facet ORDER BY CASE WHEN facet = 'year' THEN -CAST(value AS INT) ELSE 0 END, lower(regexp_replace(label, '[0-9]+', '')), CAST(nullif(regexp_extract(label, '[0-9]+'), '') AS INT)) AS INT) AS position FROM l
+"""
+
+
+@query(_DRILL)
+def facet_drill_down(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    odd = lambda n, word: F.when(size % n == 0, word)
+    named = F.array_compact(F.array(F.concat(F.lit(" "), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))), odd(9, "Service"), odd(4, "odd"), odd(6, "Secret")))
+    rows = table(spark, sf, "part").select(k.alias("id"), named.alias("categories"), F.array("p_type").alias("formats"), F.array(F.struct(F.concat(F.lit("host of "), F.lower("p_brand")).alias("host"), F.col("p_brand").alias("provider"), F.lit("").alias("url"))).alias("links"), F.when(size % 5 > 0, 2000 + size % 7).alias("year"), (F.col("p_retailprice") > 1000).alias("has_password"))
+    s, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    a = lambda *v: F.array(*[F.lit(x) if isinstance(x, str | int) else x for x in v])
+    requests = table(spark, sf, "supplier").select(
+        s.alias("request_id"), F.when(s % 3 == 1, a("red", " BLUE ", "odd")).when(s % 3 == 2, a(" ", "small")).alias("categories"), F.when(s % 4 == 0, a("economy", "nothing")).otherwise(none).alias("formats"),
+        F.when(s % 5 == 0, a("brand#1", "BRAND#3", F.concat(F.lit("brand#"), s % 25))).alias("providers"), F.when(s % 2 == 0, a(2001, 2003)).otherwise(F.array().cast("array<int>")).alias("years"), F.when(s % 7 < 2, True).when(s % 7 < 4, False).alias("has_password"),
+    )
+    shown = search.visible(rows)
+    definitions = {f: spark.createDataFrame([x[1:] for x in _NAMED if x[0] == f], "id string, label string, hidden boolean") for f in ("categories", "formats")}
+    index = facets.build_index(shown.withColumn("providers", search.provider_set(F.col("links"))), definitions, search.provider_labels(shown))
+    return facets.drill_down(requests, index)
