@@ -15,17 +15,18 @@ If two sets are that similar, then under *any* order each one's prefix (its firs
    prefixes.  A round against the smallest component of each shingle comes first, so that
    large groups have become one component before pairs are listed.
 
-A pair must also share a prefix shingle under a second, independent order: the prefix under
-it travels as a map of ``BITS`` bits with each document, and pairs whose maps have no bit in
-common are dropped in the join itself.  What passes is compared exactly, shingles told
-apart by 128 bits.
+Candidates are intersected with those of further orders.  The prefix under a second, independent
+order travels as a map of ``BITS`` bits with each document, and pairs whose maps have no bit in
+common are dropped in the join itself; of what is left, the prefixes under each order of
+``FURTHER`` must have as many shingles in common as those of the index (``meet_under``), before
+texts travel.  What passes is compared exactly, shingles told apart by 128 bits.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ _SLOTS, _FRESH = 1 << 20, 1 << 17
 #: Of the map of a prefix under the second order.
 BITS = 256
 _MAPS = tuple(f"m{i}" for i in range(BITS // 64))
+#: Further orders, under each of which the prefixes of a candidate must share enough.
+FURTHER = (ORDERS + 2, ORDERS + 3)
+_FURTHER = tuple(f"p{j}" for j in FURTHER)
 
 
 def prefix_length(n: int) -> int:
@@ -98,6 +102,12 @@ class _Counter:
         return self.keys[top], self.counts[top].astype(np.int64)
 
 
+def prefix(s: np.ndarray, order: int) -> np.ndarray:
+    """The prefix of a set of shingles under a hash order."""
+    p = prefix_length(len(s)) if len(s) else 0
+    return s[np.argpartition(salted(s, order), p - 1)[:p]] if p < len(s) else s
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -177,12 +187,17 @@ def _prefixes(sent, keyed: bool = False):
 
 
 def _listed(sent):
-    """The rows whose doc_id may be in the filter."""
+    """The rows whose doc_id may be in the filter, with the size of their sets and their prefixes under
+    the further orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = mix(np.asarray(batch.column("doc_id"), np.int64).view(np.uint64))
-            yield batch.filter(pa.array(bloom.holds(sent.value, ids)))
+            held = batch.filter(pa.array(bloom.holds(sent.value, ids)))
+            for part in slices(held, "text"):
+                sets = list(shingle_sets(words(part.column("text"), SOLID), SHINGLE))
+                prefixes = [pa.array([_longs(prefix(s, j)) for s in sets], pa.list_(pa.int64())) for j in FURTHER]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([len(s) for s in sets], pa.int64()), *prefixes], ["doc_id", "text", "n", *_FURTHER])
 
     return run
 
@@ -225,21 +240,33 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
 
+def meet_under(pairs: DataFrame, sets: DataFrame, orders: Sequence[str] = _FURTHER) -> DataFrame:
+    """Those of ``pairs`` whose prefixes share enough under each of ``orders``; ``sets``: doc_id, n, and
+    the prefix under each order.  Several rows of a doc_id are versions, of which any may meet."""
+    a, b = (sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n{x}"), *[F.col(o).alias(f"{o}{x}") for o in orders]) for x in "ab")
+    met = pairs.join(b, F.col("b") == F.col("doc_b")).join(a, F.col("a") == F.col("doc_a")).filter(_sizes_fit("na", "nb"))
+    for o in orders:
+        met = met.filter(F.size(F.array_intersect(f"{o}a", f"{o}b")) >= _needed("na", "nb"))
+    return met.select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a table of a, b: ids in ``docs``) that are similar enough, written.
 
-    Only texts of documents in pairs travel; a filter of fixed size leaves out the rest
-    at the scan."""
+    Only documents in pairs are taken; a filter of fixed size leaves out the rest at the scan.  Pairs
+    must meet under all further orders before texts travel."""
     spark = docs.sparkSession
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     hashed = members.mapInArrow(_hash_ids, "key long")
     sent = spark.sparkContext.broadcast(bloom.build(hashed, "key"))
     # written, so that no task runs Python for both sides and for the comparison at once
-    texts = written(docs.mapInArrow(_listed(sent), docs.schema), "pair-texts")
+    held = docs.select("doc_id", "text").mapInArrow(_listed(sent), "doc_id long, text string, n long, " + ", ".join(f"{o} array<long>" for o in _FURTHER))
+    texts = written(held, "pair-texts")
+    met = written(meet_under(pairs, texts), "met")
     a, b = (texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    with_b = pairs.join(b, F.col("b") == F.col("doc_b")).select("a", "b", "text_b")
+    with_b = met.join(b, F.col("b") == F.col("doc_b")).select("a", "b", "text_b")
     with_both = with_b.join(a, F.col("a") == F.col("doc_a")).select("a", "b", "text_a", "text_b")
-    links = written(with_both.mapInArrow(_linked, "a long, b long"), "links")
+    links = written(with_both.mapInArrow(_linked, "a long, b long").distinct(), "links")
     drop_table(texts)
     return links
 

@@ -117,3 +117,30 @@ def test_commonest_stay_within_the_bound(spark, monkeypatch):
     held = spark.createDataFrame([(i, 2 + i // 4) for i in range(40)], "shingle long, held long")
     keys = jaccard._commonest(held)
     assert 0 < len(keys) <= 10 and keys.tolist() == sorted(keys.tolist(), key=lambda k: (-(k // 4), k))
+
+
+def test_further_orders_drop_candidates_and_no_link(spark):
+    rng = random.Random(9)
+    texts = []
+    for g in range(40):  # groups of texts that are alike by about a half to nine tenths
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(12):
+            own = list(base)
+            for i in rng.sample(range(150), rng.randrange(2, 16)):
+                own[i] = f"x{rng.randrange(10**6)}"
+            texts.append((len(texts), " ".join(own)))
+    sets = [shingles(t) for _, t in texts]
+    pairs = [(12 * g + i, 12 * g + j) for g in range(40) for j in range(12) for i in range(j)]
+    linked = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    hashed = list(jaccard.shingle_sets(jaccard.words(jaccard.pa.array([t for _, t in texts]), jaccard.SOLID), 5))
+    names = jaccard._FURTHER
+    rows = [(d, len(s), *[jaccard._longs(jaccard.prefix(s, j)) for j in jaccard.FURTHER]) for d, s in enumerate(hashed)]
+    held = spark.createDataFrame(rows, "doc_id long, n long, " + ", ".join(f"{n} array<long>" for n in names))
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    left = {o: {tuple(r) for r in jaccard.meet_under(asked, held, o).collect()} for o in ((), names[:1], names[1:], names)}
+    assert all(linked <= x for x in left.values()) and left[names] == left[names[:1]] & left[names[1:]]
+    # each order drops unlike pairs, and each drops some that the other lets through
+    unlike = {o: len(x - linked) for o, x in left.items()}
+    print("unlike candidates left:", unlike, "links:", len(linked))
+    assert unlike[()] > max(unlike[names[:1]], unlike[names[1:]]) and min(unlike[names[:1]], unlike[names[1:]]) > unlike[names] > 0
+    assert mine(spark, texts) == brute(texts)
