@@ -26,6 +26,7 @@ from heddle.llm.shared import small_batches
 BUCKETS = 4096
 BITS = 31
 CLOSE = 0.05
+MOST_LANGUAGES = 1000
 #: A text whose choice is ambiguous is rejected below this score.
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
@@ -139,9 +140,12 @@ def fit(sums: np.ndarray, texts: np.ndarray, names: list[str]) -> Model:
 def train(labelled: DataFrame) -> Model | None:
     """Fit on all of ``labelled`` (text, lang), whole texts, each of equal weight in its language.
     Null languages, null texts and texts without letters teach nothing; without rows there is
-    no model.  The driver gets one number for each language and bucket."""
+    no model.  The driver gets one number for each language and bucket, so more than
+    ``MOST_LANGUAGES`` labels are an error."""
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels: are they languages?")
     parts = rows.mapInArrow(_sums, "lang string, bucket int, held double, texts long")
     got = parts.groupBy("lang", "bucket").agg(F.sum("held").alias("held"), F.sum("texts").alias("texts")).toPandas()
     names = sorted(got["lang"].unique())

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.llm.shared import md5_uint60, written
+from heddle.llm.sharding import free_name
 
 BLOCKS = 4096
 _BLOCK_SPAN = (1 << 60) // BLOCKS
@@ -123,14 +124,29 @@ def mix(
 ) -> DataFrame:
     """Choose documents to the target weights: each row of ``rows`` (columns ``key``, the
     levels and ``tokens``; ``key`` stays stable between runs) as often as it is drawn, with
-    ``epoch`` (from 0), in the columns of ``rows``.
+    ``epoch`` (from 0), in the columns of ``rows``; one of theirs that is called so becomes
+    ``input_epoch``.
 
     Rows without tokens are never drawn.  Null levels are names of their own; a null key is
     hashed as the text ``null``.  Rows with equal hash order (repeated keys) are in or out
     together only as far as the running sum allows; their order then is by tokens, then by a
     hash of the whole row, so that equal runs give equal results."""
-    if clash := {"epoch", "_h", "_block", "_whole", "_rest", "_last", "_left", "_run", *[f"_leaf_{c}" for c in levels]} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} have names that mixing uses; pack the row in a struct")
+    used = {"epoch", "_h", "_block", "_whole", "_rest", "_last", "_left", "_run", "_sum", "_upto", "_end", *[f"_leaf_{c}{e}" for c in levels for e in ("", "_e")]}
+    if not used & set(rows.columns):
+        return _mixed(rows, key, levels, weights, budget_share, max_epochs, seed)
+    # columns of names that are used here step aside until the end
+    own = {key, "tokens", *levels}
+    if clash := own & used:
+        raise ValueError(f"key and levels may not be called {sorted(clash)}")
+    apart = {c: f"_apart{i}" for i, c in enumerate(sorted(used & set(rows.columns)))}
+    out = _mixed(rows.withColumnsRenamed(apart), key, levels, weights, budget_share, max_epochs, seed)
+    back = {a: c for c, a in apart.items() if c != "epoch"}
+    if "epoch" in apart:
+        back[apart["epoch"]] = free_name(rows, "input_epoch")
+    return out.withColumnsRenamed(back)
+
+
+def _mixed(rows: DataFrame, key: str, levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], budget_share: float, max_epochs: int, seed: int) -> DataFrame:
     rows = rows.filter(F.col("tokens") > 0)
     leaves = leaf_budgets(rows, levels, weights, budget_share=budget_share, max_epochs=max_epochs)
     leaves = leaves.withColumn("_whole", F.floor(F.col("budget") / F.col("supply")).cast("int"))
