@@ -101,9 +101,9 @@ def scan_unseen(paths: DataFrame, path: str, text: str, ledger: DataFrame | None
         unseen = unseen.join(seen, "blob", "left_anti")
     unseen = unseen.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
     whole = paths.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # blob as well: a path may have several versions.  The hash table is of 40 bytes a blob.
+    # blob as well: a path may have several versions
     source = whole.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    read = source.join(unseen.hint("shuffle_hash"), source["path"].eqNullSafe(unseen["_path"]) & (source["blob"] == unseen["_blob"]), "left_semi")
+    read = source.join(unseen, source["path"].eqNullSafe(unseen["_path"]) & (source["blob"] == unseen["_blob"]), "left_semi")
     scanned = read.select("blob", "text").mapInArrow(_scan, "blob binary, found array<struct<kind:string,start:bigint,end:bigint>>")
     # repeated rows of one path are scanned once each but enter the ledger once
     once = scanned.dropDuplicates(["blob"])
