@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import addresses
+from heddle.functions.contents import bound
 from heddle.functions.text import col, strip
 
 # Reasons of rejection.
@@ -17,46 +17,16 @@ _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 _SAFE_PATH = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@/%]*$"
 
 
-def _ipv4(host: Column) -> Column:
-    """The number of a dotted address; null for other hosts."""
-    parts = F.split(host, r"\.")
-    value = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + F.coalesce(F.try_to_number(F.lpad(x, 3, "0"), F.lit("999")).cast("long"), F.lit(0)))
-    fits = F.forall(parts, lambda x: F.length(x) <= 3) & F.forall(parts, lambda x: F.lpad(x, 3, "0") <= "255")
-    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & fits, value)
-
-
 # Unspecified, private, loopback, link-local and multicast blocks.
-LOCAL_IPV4 = ("0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4")
-LOCAL_RANGES = tuple((int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, LOCAL_IPV4))
-
-
-def _local_v6(s: pd.Series) -> pd.Series:
-    def local(text):
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        if getattr(ip, "ipv4_mapped", None):
-            ip = ip.ipv4_mapped
-            return ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_unspecified or any(ip in ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"))
-        return ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_unspecified or ip in ipaddress.ip_network("fc00::/7")
-
-    return s.map(local)
+LOCAL_BLOCKS = ("0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "::/127", "fc00::/7", "fe80::/10", "ff00::/8")
 
 
 def is_local(host: Column | str) -> Column:
     """localhost and its subdomains, and local, private and multicast addresses."""
     h = F.regexp_replace(F.lower(col(host)), r"\.$", "")
-    number = _ipv4(h)
-    inside = F.lit(False)
-    for lo, hi in LOCAL_RANGES:
-        inside = inside | number.between(lo, hi)
-    return (
-        F.when((h == "localhost") | h.endswith(".localhost"), True)
-        .when(number.isNotNull(), inside)
-        .when(h.contains(":"), F.pandas_udf(_local_v6, "boolean")(h))
-        .otherwise(False)
-    )
+    # names of hosts are not parsed
+    address = F.when(h.contains(":") | h.rlike(r"^[0-9.]+$"), addresses.parse(h))
+    return F.when((h == "localhost") | h.endswith(".localhost"), True).otherwise(F.coalesce(bound(address, lambda a: addresses.is_in(a, LOCAL_BLOCKS)), F.lit(False)))
 
 
 def _escaped(s: pd.Series) -> pd.Series:

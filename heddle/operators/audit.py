@@ -5,10 +5,10 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import addresses
 from heddle.functions.links import host_suffixes
 
 CONFIRMABLE = ("expired", "content_mismatch")
@@ -27,10 +27,6 @@ UNSAFE_IPV4 = (
 PUBLIC_IPV6 = "2000::/3"
 UNSAFE_IPV6 = ("2001::/23", "2001:db8::/32", "2002::/16", "2620:4f:8000::/48", "3fff::/20")
 
-#: IPv6 addresses stand for their first 64 bits, of which 63 are enough to be numbers above those of IPv4.
-_V6 = 1 << 62
-
-
 def candidates(entries: DataFrame, inspected: str = "link") -> DataFrame:
     """Distinct HTTP links of a catalog: ``inspected`` is the struct of ``links.with_link``."""
     link = F.col(inspected)
@@ -130,14 +126,22 @@ def probe_plan(heads: DataFrame, rules: DataFrame, body_limit: int = 1 << 20) ->
     A HEAD that failed in transport ends the probe.  One that the server does not support (405,
     501) and one that says gone (404, 410, or a dead status of the rule) is asked again by
     GET; so is success where the rule has body checks.  Without body checks one byte is
-    enough; ``then`` says that a GET refused with 416 is repeated without a range."""
+    enough; ``then`` says that a GET refused with 416 is repeated without a range.
+
+    Rules may say ``dead_body`` and ``success_body`` (booleans) for ``needs_body``; then ``read_body`` tells
+    whether the GET's body is read: ``always``, ``on_success`` (2xx) or ``never``."""
+    if "dead_body" in rules.columns:
+        rules = rules.withColumn("needs_body", F.coalesce("dead_body", F.lit(False)) | F.coalesce("success_body", F.lit(False)))
     out = heads.join(rules, "rule_ord", "left")
     status = F.col("http_status")
     arrived = (F.coalesce("transport_error", F.lit("")) == "") & status.isNotNull()
     again = status.isin(405, 501) | status.isin(404, 410) | F.coalesce(F.array_contains("dead_statuses", status), F.lit(False))
     body = F.coalesce("needs_body", F.lit(False)) & (again | status.between(200, 299))
+    asked = arrived & (again | body)
+    read = [F.when(F.coalesce(asked & F.col("dead_body"), F.lit(False)), "always").when(F.coalesce(asked & F.col("success_body"), F.lit(False)), "on_success").otherwise("never").alias("read_body")] if "dead_body" in rules.columns else []
     return out.select(
         "sha256",
+        *read,
         F.coalesce(arrived & (again | body), F.lit(False)).alias("needs_get"),
         F.when(arrived & body, F.coalesce("body_limit", F.lit(body_limit))).when(arrived & again, 1).otherwise(0).cast("long").alias("byte_limit"),
         F.when(arrived & (again | body), "repeat_without_range_on_416").alias("then"),
@@ -157,64 +161,24 @@ def redirect_verdict(hops: DataFrame, allowed: DataFrame) -> DataFrame:
     )
 
 
-def _numbers(ips: pd.Series) -> pd.Series:
-    """An address text as a number: IPv4 (also mapped into IPv6) as it is, of IPv6 the first 63
-    bits above ``_V6``; null for what is no address."""
-
-    def one(text):
-        try:
-            ip = ipaddress.ip_address(text.split("%")[0].strip())
-        except (ValueError, AttributeError):
-            return None
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return int(ip) if ip.version == 4 else _V6 | int(ip) >> 66
-
-    return ips.map(one).astype("Int64")
-
-
-def address_number(ip: Column | str) -> Column:
-    """``_numbers`` of a column of address texts."""
-    return F.pandas_udf(_numbers, "long")(F.col(ip) if isinstance(ip, str) else ip)
+def unsafe_blocks() -> list[str]:
+    """The blocks that may not be fetched: listed ones, and all of IPv6 that is not public unicast."""
+    around = [str(n) for n in ipaddress.ip_network("::/0").address_exclude(ipaddress.ip_network(PUBLIC_IPV6))]
+    return [*UNSAFE_IPV4, *UNSAFE_IPV6, *sorted(around)]
 
 
-def unsafe_blocks() -> list[tuple[int, int]]:
-    """The ranges of ``address_number`` that may not be fetched."""
-    out = [(int(n[0]), int(n[-1])) for n in map(ipaddress.ip_network, UNSAFE_IPV4)]
-    span = lambda text: (lambda n: (int(n[0]) >> 66, int(n[-1]) >> 66))(ipaddress.ip_network(text))
-    lo, hi = span(PUBLIC_IPV6)
-    top = (1 << 62) - 1
-    return out + [(_V6 | a, _V6 | b) for a, b in [(0, lo - 1), (hi + 1, top), *map(span, UNSAFE_IPV6)]]
+def unsafe_addresses(rows: DataFrame, blocks: DataFrame, host: str = "host", ip: str = "ip") -> DataFrame:
+    """Per host whether any of its addresses (texts; what is none is unsafe) is in one of ``blocks``
+    (block: a text like ``10.0.0.0/8``, of any length).
 
-
-def unsafe_addresses(addresses: DataFrame, blocks: DataFrame, host: str = "host", ip: str = "ip") -> DataFrame:
-    """Per host whether any of its addresses (as numbers, see ``address_number``; null is
-    unsafe) is in one of ``blocks`` (lo, hi).
-
-    A range join by keys: a block is cut into aligned pieces whose sizes are powers of two,
-    and an address meets the pieces that begin where it would begin at each size that
-    occurs."""
-    cut = blocks.select("lo", "hi", F.explode(_aligned("lo", "hi")).alias("bits")).select("lo", "hi", "bits.*")
-    sizes = [r[0] for r in cut.select("bit").distinct().collect()]  # 63 at most
-    distinct = addresses.select(ip).filter(F.col(ip).isNotNull()).distinct()
-    each = distinct.select(ip, F.explode(F.array(*[F.struct(F.lit(b).alias("bit"), F.expr(f"shiftright({ip}, {b})").alias("part")) for b in sizes]))).select(ip, "col.*") if sizes else None
-    bad = each.join(cut.select("bit", "part").distinct(), ["bit", "part"]).select(F.col(ip).alias("_bad")).distinct() if sizes else distinct.limit(0).select(F.col(ip).alias("_bad"))
+    A search down a trie, all its levels at once: an address meets the blocks of each length that
+    occurs by its first bits.  Each address is parsed and sought once, however many hosts have it."""
+    known = blocks.select(addresses.block("block").alias("b")).filter("b is not null").select("b.*").distinct()
+    lengths = sorted(r[0] for r in known.select("bits").distinct().collect())  # 129 at most
+    each = rows.select(ip).filter(F.col(ip).isNotNull()).distinct().select(ip, addresses.parse(ip).alias("_a"))
+    steps = F.array(*[F.struct(F.lit(n).alias("bits"), addresses.head(F.col("_a"), n).alias("k")) for n in lengths]).cast(f"array<struct<bits:int,k:{addresses.ADDRESS}>>")
+    sought = each.filter("_a is not null").select(ip, F.explode(steps).alias("s")).select(ip, "s.bits", "s.k.*")
+    met = sought.join(known, ["v", "hi", "lo", "bits"], "left_semi").select(F.col(ip).alias("_bad"))
+    bad = met.unionByName(each.filter("_a is null").select(F.col(ip).alias("_bad"))).distinct()
     found = F.col("_bad").isNotNull() | F.col(ip).isNull()
-    return addresses.join(bad, addresses[ip] == F.col("_bad"), "left").groupBy(host).agg(F.max(found).alias("unsafe"))
-
-
-def _aligned(lo: str, hi: str) -> Column:
-    """The aligned pieces of a range as array of struct(bit, part)."""
-
-    @F.pandas_udf("array<struct<bit:int,part:bigint>>")
-    def cut(los: pd.Series, his: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(los, his, strict=True):
-            pieces, at = [], int(a)
-            while at <= b:
-                bit = min((at & -at).bit_length() - 1 if at else 62, (int(b) - at + 1).bit_length() - 1)
-                pieces.append({"bit": bit, "part": at >> bit})
-                at += 1 << bit
-            out.append(pieces)
-        return pd.Series(out)
-
-    return cut(F.col(lo), F.col(hi))
+    return rows.join(bad, rows[ip] == F.col("_bad"), "left").groupBy(host).agg(F.max(found).alias("unsafe"))

@@ -3,6 +3,8 @@ written from the rules."""
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from heddle.functions import text as T
@@ -104,31 +106,32 @@ def converged_clusters(spark, sf):
     return cluster.cluster(p, "node", [edges]).select("p_partkey", F.col("component").cast("long").alias("component"))
 
 
-# What may not be fetched, as first and last address.
-_UNSAFE = [
-    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"),
-    ("192.0.2.0", "192.0.2.255"), ("192.31.196.0", "192.31.196.255"), ("192.52.193.0", "192.52.193.255"), ("192.88.99.0", "192.88.99.255"), ("192.168.0.0", "192.168.255.255"), ("192.175.48.0", "192.175.48.255"), ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "255.255.255.255"),
-]
+_HEADS = ("2001", "2002", "2620", "3fff", "fe80", "fc00", "2a00", "ff02", "0000", "4000", "2606", "2003")
 
 
-def _number(ip: str) -> int:
-    return sum(int(x) << (24 - 8 * i) for i, x in enumerate(ip.split(".")))
+def _ranges() -> str:
+    """First and last address of each block, as 32 hex digits; IPv4 stands below 0000...ffff."""
+    nets = map(ipaddress.ip_network, audit.unsafe_blocks())
+    mapped = lambda n, a: int(a) + (0xFFFF << 32 if n.version == 4 else 0)
+    return ", ".join(f"('{mapped(n, n[0]):032x}', '{mapped(n, n[-1]):032x}', {n.version})" for n in nets)
 
 
 @query(f"""
-WITH a AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS n FROM customer), p AS (SELECT * FROM (VALUES {", ".join(f"({_number(a)}, {_number(b)})" for a, b in _UNSAFE)}) b(lo, hi)),
-v4 AS (SELECT c_custkey, bool_or(lo IS NOT NULL) AS bad FROM a LEFT JOIN p ON n BETWEEN lo AND hi GROUP BY 1)
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN bad WHEN 1 THEN bad WHEN 2 THEN c_nationkey % 2 = 0 ELSE c_nationkey NOT IN (3, 7) END AS unsafe FROM customer JOIN v4 USING (c_custkey)
+WITH n AS (SELECT c_custkey, c_custkey % 4 AS k, (c_custkey * 2654435761) % 4294967296 AS n, [{", ".join(f"'{x}'" for x in _HEADS)}][1 + c_custkey // 4 % {len(_HEADS)}] || substr(md5(CAST(c_custkey AS VARCHAR)), 5) AS h FROM customer),
+a AS (SELECT c_custkey, CASE WHEN k < 2 THEN '00000000000000000000ffff' || printf('%08x', n) WHEN k = 2 THEN h ELSE substr(h, 1, 4) || repeat('0', 24) || substr(h, 29) END AS x, CASE WHEN k < 2 THEN 4 ELSE 6 END AS v FROM n)
+SELECT c_custkey, bool_or(lo IS NOT NULL) OR c_custkey % 50 = 7 AS unsafe FROM a LEFT JOIN (VALUES {_ranges()}) b(lo, hi, bv) ON v = bv AND x BETWEEN lo AND hi GROUP BY 1
 """)
 def unsafe_address(spark, sf):
-    n, k, c = F.col("c_custkey") * F.lit(2654435761) % F.lit(4294967296), F.col("c_custkey") % 4, F.col("c_nationkey")
+    c = F.col("c_custkey")
+    n, k = c * F.lit(2654435761) % F.lit(4294967296), c % 4
     dotted = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
-    # plain, mapped, documentation or public by turns, and all kinds of other blocks but for two
-    other = F.element_at(F.array(*[F.lit(x) for x in ("fe80::1", "2002::1", "3fff::2", "2001::5", "fc00::1", "2620:4f:8000::1", "::1", "100::1")]), (c % 8 + 1).cast("int"))
-    ip = F.when(k == 0, dotted).when(k == 1, F.concat(F.lit("::ffff:"), dotted)).when(k == 2, F.when(c % 2 == 0, "2001:db8::1").otherwise("2a00:1450:4001::64")).otherwise(F.when(c.isin(3, 7), "2606:4700::1111").otherwise(other))
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("host"), audit.address_number(ip).alias("ip"))
-    return audit.unsafe_addresses(a, spark.createDataFrame(audit.unsafe_blocks(), "lo long, hi long")).withColumnRenamed("host", "c_custkey")
+    h = F.concat(F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (F.floor(c / 4) % len(_HEADS) + 1).cast("int")), F.substring(F.md5(c.cast("string")), 5, 28))
+    group = lambda i: F.regexp_replace(F.substring(h, 4 * i + 1, 4), "^0{1,3}", "")
+    # plain, mapped, all groups and shortened by turns; some hosts have an address that is none besides
+    ip = F.when(k == 0, dotted).when(k == 1, F.concat(F.lit("::FFFF:"), dotted)).when(k == 2, F.concat_ws(":", *[group(i) for i in range(8)])).otherwise(F.concat(group(0), F.lit("::"), group(7)))
+    a = table(spark, sf, "customer").select(c.alias("host"), F.explode(F.when(c % 50 == 7, F.array(ip, F.lit("1:2:3"))).otherwise(F.array(ip))).alias("ip"))
+    blocks = spark.createDataFrame([(b,) for b in audit.unsafe_blocks()], "block string")
+    return audit.unsafe_addresses(a, blocks).withColumnRenamed("host", "c_custkey")
 
 
 @query("""

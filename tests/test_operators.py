@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.functions import contents
+from heddle.functions import addresses, contents
 from heddle.operators import audit, classify, cluster, enrich, merge, quality, search
 from heddle.plans import build
 from heddle.plans.components import connected_components
@@ -385,8 +385,8 @@ def test_addresses_and_redirects(spark):
         "2001:db8::1": True, "2001:db9::1": False, "fe80::1": True, "::1": True, "2606:4700::1111": False, "2001:2::7": True, "2002:808:808::1": True, "2620:4f:8000::9": True, "3fff:fff::1": True, "64:ff9b::808:808": True, "::ffff:10.1.1.1": True, "::ffff:8.8.8.8": False,
         "fe80::1%eth0": True, "8.8.8.8": False, "192.31.196.5": True, "192.52.193.1": True, "192.175.48.200": True, "255.255.255.255": True, "192.88.98.1": False, "nonsense": True,
     }
-    ips = spark.createDataFrame([(x,) for x in want], "host string").withColumn("ip", audit.address_number("host"))
-    found = audit.unsafe_addresses(ips, spark.createDataFrame(audit.unsafe_blocks(), "lo long, hi long"))
+    ips = spark.createDataFrame([(x,) for x in want], "host string").withColumn("ip", F.col("host"))
+    found = audit.unsafe_addresses(ips, spark.createDataFrame([(b,) for b in audit.unsafe_blocks()], "block string"))
     assert {r["host"]: r["unsafe"] for r in found.collect()} == want
     hops = [(c, n, "a.test", h, None) for c, hs in {1: ["a.test", "x.b.test"], 2: ["b.test.evil"], 3: ["a.test"] * 6}.items() for n, h in enumerate(hs, 1)]
     df = spark.createDataFrame([*hops, (4, 1, "a.test", "a.test", "local_target")], "chain int, hop int, origin_host string, host string, rejection string")
@@ -438,3 +438,44 @@ def test_small_rules_and_lookups(spark, tmp_path):
     assert (meta["bytes"], meta["version"]) == (3, hashlib.sha256(b"abc").hexdigest())
     seen = audit.candidates(spark.createDataFrame([(("https", "h", "https://h/", None),), (("https", "h", "https://h/", None),), (("magnet", "", "magnet:x", None),), ((None, None, None, "empty"),)], "link struct<scheme:string,host:string,canonical:string,rejection:string>"))
     assert [tuple(r) for r in seen.collect()] == [(H("https://h/"), "h", "https://h/")]
+
+
+def test_addresses_are_parsed_as_elsewhere(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    group = lambda: rng.choice(["0", "1", "ffff", f"{rng.randrange(65536):x}", f"{rng.randrange(65536):04X}"])
+    texts = [":".join(group() for _ in range(rng.randrange(6, 10))) for _ in range(150)] + [":".join(group() for _ in range(rng.randrange(4))) + "::" + ":".join(group() for _ in range(rng.randrange(5))) for _ in range(250)]
+    texts += [":".join(group() for _ in range(rng.choice([5, 6, 7]))) + ":1.2.3.4" for _ in range(30)] + [".".join(str(rng.randrange(300)) for _ in range(rng.choice([3, 4, 4, 4, 5]))) for _ in range(80)]
+    texts += ["::", "::1", "1::", ":::", "1::2::3", ":1", "1:", "12345::", "g::", "::ffff:1.2.3.4", "::ffff:01.2.3.4", "01.2.3.4", "1.2.3.4.", "", "x", "fe80::1%eth0", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "::1.2.3.4", "::1.2.3.256"]
+
+    def want(t):
+        try:
+            ip = ipaddress.ip_address(t.split("%")[0])
+        except ValueError:
+            return None
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return (ip.version, int(ip) << (96 if ip.version == 4 else 0))
+
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    got = {r["t"]: r["a"] and (r["a"]["v"], unsigned(r["a"]["hi"]) << 64 | unsigned(r["a"]["lo"])) for r in df.select("t", addresses.parse("t").alias("a")).collect()}
+    assert got == {t: want(t) for t in got} and sum(v is not None for v in got.values()) > 200
+    # blocks of every length, longer than a long too
+    for bits in (0, 1, 33, 63, 64, 65, 100, 127, 128):
+        cut = df.filter(addresses.parse("t").isNotNull()).select(addresses.parse("t").alias("a")).filter("a.v = 6").select("a", addresses.head(F.col("a"), bits).alias("h")).collect()
+        mask = ((1 << bits) - 1) << (128 - bits)
+        assert all(unsigned(r["h"]["hi"]) << 64 | unsigned(r["h"]["lo"]) == (unsigned(r["a"]["hi"]) << 64 | unsigned(r["a"]["lo"])) & mask for r in cut)
+    hosts = spark.createDataFrame([("a", "2001:db8:0:0:0:0:1:2"), ("b", "2001:db8::1:3"), ("c", "9.9.9.9")], "host string, ip string")
+    blocks = spark.createDataFrame([("2001:db8::1:2/127",), ("9.9.9.8/31",), ("nonsense",), ("1.2.3.4/33",)], "block string")
+    assert {r["host"]: r["unsafe"] for r in audit.unsafe_addresses(hosts, blocks).collect()} == {"a": True, "b": True, "c": True}
+    assert not audit.unsafe_addresses(hosts, blocks.limit(0)).filter("unsafe").count()
+
+
+def test_probe_tells_whether_bodies_are_read(spark):
+    rules = spark.createDataFrame([(0, [418], True, True, 9), (1, [418], False, True, 9), (2, [418], False, False, 9)], "rule_ord int, dead_statuses array<int>, dead_body boolean, success_body boolean, body_limit long")
+    heads = spark.createDataFrame([(f"{r}-{s}", s, None, r) for r in (0, 1, 2, None) for s in (200, 404, 418, 405, 302)] + [("lost", None, "dns", 0)], "sha256 string, http_status int, transport_error string, rule_ord int")
+    got = {r["sha256"]: (r["needs_get"], r["byte_limit"], r["read_body"]) for r in audit.probe_plan(heads, rules).collect()}
+    assert {got[f"0-{s}"] for s in (200, 404, 418, 405)} == {(True, 9, "always")} and {got[f"1-{s}"] for s in (200, 404, 418, 405)} == {(True, 9, "on_success")}
+    assert [got[k] for k in ("2-200", "2-404", "2-418", "None-404", "None-418", "0-302", "lost")] == [(False, 0, "never"), (True, 1, "never"), (True, 1, "never"), (True, 1, "never"), (False, 0, "never"), (False, 0, "never"), (False, 0, "never")]
