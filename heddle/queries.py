@@ -466,6 +466,6 @@ def stream_counts(spark, sf):
     return out.groupBy("day", "state").agg(F.max_by("count", "batch").alias("count"))
 
 
-from heddle import content_queries, rule_queries, version_queries  # noqa: E402, F401  (register more)
+from heddle import content_queries, rule_queries, run_queries, version_queries  # noqa: E402, F401  (register more)
 
 __all__ = ["QUERIES", "SQL"]
