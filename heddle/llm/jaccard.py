@@ -244,7 +244,8 @@ def meet_under(pairs: DataFrame, sets: DataFrame, orders: Sequence[str] = _FURTH
     """Those of ``pairs`` whose prefixes share enough under each of ``orders``; ``sets``: doc_id, n, and
     the prefix under each order.  Several rows of a doc_id are versions, of which any may meet."""
     a, b = (sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n{x}"), *[F.col(o).alias(f"{o}{x}") for o in orders]) for x in "ab")
-    met = pairs.join(b, F.col("b") == F.col("doc_b")).join(a, F.col("a") == F.col("doc_a")).filter(_sizes_fit("na", "nb"))
+    # a is the least of many, so it is met first: what comes after needs pairs together by b only
+    met = pairs.join(a, F.col("a") == F.col("doc_a")).join(b, F.col("b") == F.col("doc_b")).filter(_sizes_fit("na", "nb"))
     for o in orders:
         met = met.filter(F.size(F.array_intersect(f"{o}a", f"{o}b")) >= _needed("na", "nb"))
     return met.select("a", "b").distinct()
