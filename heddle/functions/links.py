@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from heddle.functions.text import col, strip
 REASONS = ("empty", "control_character", "invalid_url", "unsupported_scheme", "missing_host", "credentials", "invalid_port", "local_target", "invalid_magnet")
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
-_SAFE_PATH = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@/%]*$"
+_SAFE_PATH = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@/%]*\z"
 
 
 # Unspecified, private, loopback, link-local and multicast blocks.
@@ -29,17 +28,10 @@ def is_local(host: Column | str) -> Column:
     return F.when((h == "localhost") | h.endswith(".localhost"), True).otherwise(F.coalesce(bound(address, lambda a: addresses.is_in(a, LOCAL_BLOCKS)), F.lit(False)))
 
 
-def _escaped(s: pd.Series) -> pd.Series:
+def _escaped(path: Column) -> Column:
     """Escape what may not stand in a path as it is; null for broken escapes."""
-    import re
-    from urllib.parse import quote
-
-    def one(p):
-        if p is None or re.search(r"%(?![0-9A-Fa-f]{2})", p):
-            return None
-        return quote(p, safe="%/-._~!$&'()*+,;=:@")
-
-    return s.map(one)
+    one = lambda c: F.when(c.rlike(_SAFE_PATH), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
+    return F.when(~path.rlike("%(?![0-9A-Fa-f]{2})"), F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)(.)"), F.lit(1)), one), ""))
 
 
 def magnet_ok(raw: Column) -> Column:
@@ -78,7 +70,7 @@ def judge(p: Column) -> Column:
     digits = F.regexp_replace(F.regexp_extract(tail, r"^:(\d+)$", 1), r"^0+", "")
     port = F.when(digits.rlike(r"^\d{1,5}$"), digits.cast("int"))
     bad_port = (tail != "") & (~tail.rlike(r"^:\d+$") | port.isNull() | (port < 1) | (port > 65535))
-    shown = F.when(path.rlike(_SAFE_PATH), path).otherwise(F.pandas_udf(_escaped, "string")(path))
+    shown = F.when(path.rlike(_SAFE_PATH), path).otherwise(_escaped(path))
     broken = F.regexp_replace(path, r"%[0-9A-Fa-f]{2}", "").contains("%") | hostport.rlike(r"[\s<>\"{}|\\^`]") | host.contains("%")
     name = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
     default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
