@@ -21,6 +21,13 @@ _OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 _DOTTED = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
 
+_WORD = (1 << 64) - 1
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
 def _of_dotted(text: Column) -> Column:
     return F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"), lambda n, x: n * 256 + x.cast("bigint"))
 
@@ -48,15 +55,15 @@ def _v6(text: Column) -> Column:
         return F.when(fits, bound(groups, lambda g: F.struct(_long(g, 1).alias("hi"), _long(g, 5).alias("lo"))))
 
     # a dotted end is two groups
-    tail = F.regexp_extract(text, rf":({_DOTTED})$", 1)
-    number = F.when(tail != "", _of_dotted(tail))
-    hexed = F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
-    return bound(F.split(F.coalesce(hexed, text), "::", -1), whole)
+    def spelt(tail: Column) -> Column:
+        hexed = lambda n: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+        return F.when(tail == "", text).otherwise(bound(_of_dotted(tail), hexed))
+
+    return bound(F.split(bound(F.regexp_extract(text, rf":({_DOTTED})$", 1), spelt), "::", -1), whole)
 
 
 def parse(text: Column | str) -> Column:
     """An address text, of IPv6 also with a zone; null for what is none."""
-    t = F.lower(strip(F.regexp_replace(col(text), "%.*$", "")))
 
     def of_four(n: Column) -> Column:
         return F.struct(F.lit(4).alias("v"), F.shiftleft(n, 32).alias("hi"), F.lit(0).cast("bigint").alias("lo"))
@@ -66,15 +73,20 @@ def parse(text: Column | str) -> Column:
         own = F.struct(F.lit(6).alias("v"), x["hi"].alias("hi"), x["lo"].alias("lo"))
         return F.when(mapped, of_four(x["lo"].bitwiseAND(F.lit(0xFFFFFFFF)))).when(x.isNotNull(), own)
 
-    return F.when(t.rlike(f"^{_DOTTED}$"), of_four(_of_dotted(t))).when(t.contains(":"), bound(_v6(t), of_six))
+    one = lambda t: F.when(t.rlike(f"^{_DOTTED}$"), of_four(_of_dotted(t))).when(t.contains(":"), bound(_v6(t), of_six))
+    return bound(F.lower(strip(F.regexp_replace(col(text), "%.*$", ""))), one)
 
 
 def head(address: Column, bits: int | Column) -> Column:
     """The address with all but its first ``bits`` bits cleared."""
-    n = F.lit(bits) if isinstance(bits, int) else bits
+    masked = lambda hi, lo: F.struct(address["v"].alias("v"), address["hi"].bitwiseAND(hi).alias("hi"), address["lo"].bitwiseAND(lo).alias("lo"))
+    if isinstance(bits, int):
+        mask = ((1 << bits) - 1) << (128 - bits)
+        return masked(F.lit(_signed(mask >> 64)).cast("bigint"), F.lit(_signed(mask & _WORD)).cast("bigint"))
+    n = bits
     # shifts count modulo 64, so none and all bits are cases of their own
     ones = lambda k: F.when(k <= 0, F.lit(0).cast("bigint")).when(k >= 64, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (64 - k).cast("int")))
-    return F.struct(address["v"].alias("v"), address["hi"].bitwiseAND(ones(n)).alias("hi"), address["lo"].bitwiseAND(ones(n - 64)).alias("lo"))
+    return masked(ones(n), ones(n - 64))
 
 
 def block(text: Column | str) -> Column:
@@ -91,7 +103,6 @@ def is_in(address: Column, blocks: Sequence[str]) -> Column:
     hits = []
     for b in map(ipaddress.ip_network, blocks):
         wide = int(b[0]) << (96 if b.version == 4 else 0)
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        mine = F.struct(F.lit(b.version).alias("v"), F.lit(signed(wide >> 64)).cast("bigint").alias("hi"), F.lit(signed(wide & ((1 << 64) - 1))).cast("bigint").alias("lo"))
-        hits.append(head(address, b.prefixlen) == mine)
+        same = head(address, b.prefixlen)
+        hits.append((same["v"] == b.version) & (same["hi"] == _signed(wide >> 64)) & (same["lo"] == _signed(wide & _WORD)))
     return functools.reduce(lambda x, y: x | y, hits)

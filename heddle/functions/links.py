@@ -22,10 +22,13 @@ LOCAL_BLOCKS = ("0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "17
 
 def is_local(host: Column | str) -> Column:
     """localhost and its subdomains, and local, private and multicast addresses."""
-    h = F.regexp_replace(F.lower(col(host)), r"\.$", "")
-    # names of hosts are not parsed
-    address = F.when(h.contains(":") | h.rlike(r"^[0-9.]+$"), addresses.parse(h))
-    return F.when((h == "localhost") | h.endswith(".localhost"), True).otherwise(F.coalesce(bound(address, lambda a: addresses.is_in(a, LOCAL_BLOCKS)), F.lit(False)))
+
+    def judged(h: Column) -> Column:
+        # names of hosts are not parsed
+        address = F.when(h.contains(":") | h.rlike(r"^[0-9.]+$"), addresses.parse(h))
+        return F.when((h == "localhost") | h.endswith(".localhost"), True).otherwise(F.coalesce(bound(address, lambda a: addresses.is_in(a, LOCAL_BLOCKS)), F.lit(False)))
+
+    return bound(F.regexp_replace(F.lower(col(host)), r"\.$", ""), judged)
 
 
 def _escaped(path: Column) -> Column:
