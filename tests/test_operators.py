@@ -94,6 +94,16 @@ def test_search(spark):
     assert sorted((r["query_id"], r["id"]) for r in search.search(asked, index).collect()) == [(1, "1"), (2, "4"), (3, "4")]
 
 
+def test_equal_queries_are_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("1", "red bolt"), ("2", "red gear")], "id string, title string")
+    index = search.build_index(docs, "id", {"title": F.col("title")})
+    scored, seen = search._scored, []
+    monkeypatch.setattr(search, "_scored", lambda rated, *more: seen.append(rated.select("query_id").distinct().count()) or scored(rated, *more))
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "BOLT  red"), (3, "bolt red red"), (4, "gear"), (5, "gexr"), (6, "boltt"), (7, "Boltt"), (None, "gear")], "query_id int, query string")
+    found = sorted((r["query_id"] or 0, r["id"]) for r in search.search(asked, index).collect())
+    assert found == [(0, "2"), (1, "1"), (2, "1"), (3, "1"), (4, "2"), (6, "1"), (7, "1")] and seen == [2, 1]
+
+
 def test_quality(spark):
     bad = spark.createDataFrame([(H("a"), "expired", "2024-01-01T00:00:00Z"), (H("a"), "odd", "nope"), ("x", None, None)], "sha256 string, reason string, confirmed_at string")
     got = sorted((r["rule"]) for r in quality.tombstone_rules(bad).collect())
