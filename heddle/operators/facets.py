@@ -12,9 +12,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from heddle.functions.text import search_text
 from heddle.operators.search import natural_key
@@ -65,29 +68,42 @@ def wanted(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.explode(each).alias("x")).select("request_id", "x.*").filter(F.coalesce("value", F.lit("")) != "").distinct()
 
 
+@F.pandas_udf(LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many bits two bitmaps have in common."""
+    return pd.Series([int(np.bitwise_count(np.frombuffer(x, np.uint64) & np.frombuffer(y, np.uint64)).sum()) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
 def drill_down(requests: DataFrame, index: Index) -> DataFrame:
     """(request_id, facet, value, label, count, position) for every request (its id is unique): values that
     keep an entry, as their definitions write them; hidden ones are out; with and without
-    password are always there.  Lists are ordered by label, years by themselves, newest first."""
-    asked = written(wanted(requests), "asked")
+    password are always there.  Lists are ordered by label, years by themselves, newest first.
+
+    Equal filters are united once and equal sets of filters intersected once, whichever requests and
+    facets ask for them; bitmaps travel by those, and only counts by requests."""
     ids = requests.select("request_id").distinct()
-    # what each filter lets through, and for each facet what all others let through
-    own = asked.join(index.bits, ["facet", "value"]).groupBy("request_id", "facet", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    active = asked.groupBy("request_id").agg(F.collect_set("facet").alias("_active"))  # five at most
-    others = F.array_except(F.array(*[F.lit(f) for f in FACETS]), F.array("facet"))
-    base = own.select("request_id", "bucket", "bits", F.explode(others).alias("facet")).groupBy("request_id", "facet", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("_met"))
-    need = lambda facet: F.size(F.array_remove("_active", facet))
-    base = base.join(active, "request_id").filter(F.col("_met") == need(F.col("facet"))).select("request_id", "facet", "bucket", F.col("bits").alias("_base"))
-    pairs = base.join(index.bits, ["facet", "bucket"]).select("request_id", "facet", "value", "bucket", F.explode(F.array("_base", "bits")).alias("bits"))
-    left = pairs.groupBy("request_id", "facet", "value", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("count")).groupBy("request_id", "facet", "value").agg(F.sum("count").alias("count"))
+    # a request's filters, and for each facet those on all others
+    filters = wanted(requests).groupBy("request_id", "facet").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    active = filters.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("facet", "values"))).alias("_active"))  # five at most
+    every = ids.join(active, "request_id", "left").select("request_id", F.explode(F.array(*[F.lit(f) for f in FACETS])).alias("facet"), F.coalesce("_active", F.array().cast("array<struct<facet:string,values:array<string>>>")).alias("_active"))
+    held = F.filter("_active", lambda x: x["facet"] != F.col("facet"))
+    each = written(every.select("request_id", "facet", held.alias("held")).withColumn("base", F.sha2(F.to_json("held"), 256)), "held")
+    named = written(each.groupBy("base").agg(F.first("held").alias("held")).select("base", F.size("held").alias("need"), F.explode("held").alias("x")).select("base", "need", "x.*").withColumn("filter", F.sha2(F.to_json(F.struct("facet", "values")), 256)), "sets")
+    asked = named.groupBy("filter").agg(F.first("facet").alias("facet"), F.first("values").alias("values")).select("filter", "facet", F.explode("values").alias("value"))
+    # what each filter lets through, and each set of them; sets of a bucket meet in the tasks that hold it
+    own = written(asked.join(index.bits, ["facet", "value"]).groupBy("filter", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "filters")
+    base = named.select("base", "need", "filter").join(own.repartition("bucket"), "filter").groupBy("base", "need", "bucket").agg(F.bitmap_and_agg("bits").alias("_base"), F.count("*").alias("_met")).filter("_met = need")
+    asks = written(each.select("base", "facet", F.size("held").alias("need")).distinct(), "asks")
+    pairs = base.drop("need").join(asks.filter("need > 0").drop("need"), "base").join(index.bits, ["facet", "bucket"])
+    left = pairs.select("base", "facet", "value", _common("_base", "bits").alias("count")).groupBy("base", "facet", "value").agg(F.sum("count").alias("count"))
     # facets that no other filter holds back have the counts over all entries
-    every = ids.join(active, "request_id", "left").select("request_id", F.explode(F.array(*[F.lit(f) for f in FACETS])).alias("facet"), F.coalesce("_active", F.array().cast("array<string>")).alias("_active"))
-    free = every.filter(need(F.col("facet")) == 0).select("request_id", "facet").join(index.counts, "facet")
-    both = ids.select("request_id", F.lit("has_password").alias("facet"), F.explode(F.array(F.lit("true"), F.lit("false"))).alias("value"), F.lit(0).cast("long").alias("count"))
-    counted = left.unionByName(free.select(*left.columns)).unionByName(both).groupBy("request_id", "facet", "value").agg(F.sum("count").alias("count"))
+    free = asks.filter("need = 0").join(index.counts, "facet")
+    both = asks.filter("facet = 'has_password'").select("base", "facet", F.explode(F.array(F.lit("true"), F.lit("false"))).alias("value"), F.lit(0).cast("long").alias("count"))
+    counted = left.unionByName(free.select(*left.columns)).unionByName(both).groupBy("base", "facet", "value").agg(F.sum("count").alias("count"))
     counted = counted.filter((F.col("count") > 0) | (F.col("facet") == "has_password"))
     shown = counted.join(index.labels, ["facet", "value"], "left").filter(~F.coalesce("hidden", F.lit(False)))
     label = F.coalesce("label", "value")
     year = F.when(F.col("facet") == "year", F.col("value").try_cast("int"))
-    order = W.partitionBy("request_id", "facet").orderBy(year.desc(), natural_key(label), "value")
-    return shown.select("request_id", "facet", F.coalesce("shown", "value").alias("value"), label.alias("label"), "count", F.row_number().over(order).alias("position"))
+    order = W.partitionBy("base", "facet").orderBy(year.desc(), natural_key(label), "value")
+    answers = written(shown.select("base", "facet", F.coalesce("shown", "value").alias("value"), label.alias("label"), "count", F.row_number().over(order).alias("position")), "answers")
+    return each.select("request_id", "facet", "base").join(answers, ["base", "facet"]).select("request_id", "facet", "value", "label", "count", "position")

@@ -53,3 +53,15 @@ def test_filters_and_visibility_are_normalized(spark):
     links = [("http://h.test/", None, " Shop"), ("", "own.host", "shop"), ("http://Z.test/", None, None)]
     labels = search.provider_labels(spark.createDataFrame([("2", links), ("1", links[1:])], "id string, links array<struct<url:string,host:string,provider:string>>"))
     assert {r["value"]: r["label"] for r in labels.collect()} == {"shop": "own.host", "z.test": "z.test"}
+
+
+def test_equal_filters_are_united_and_intersected_once(spark, monkeypatch):
+    rows = spark.range(100).select(F.array(F.concat(F.lit("c"), F.col("id") % 3)).alias("categories"), F.array(F.lit("f")).alias("formats"), F.array(F.lit("p")).alias("providers"), F.lit(2000).alias("year"), (F.col("id") % 2 == 0).alias("has_password"))
+    index = facets.build_index(rows.repartition(1), {"formats": spark.createDataFrame([], "id string, label string, hidden boolean")})
+    asked = spark.range(60).select(F.col("id").alias("request_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit("C0"), F.lit("c1"))).otherwise(F.array(F.lit("c1 "), F.lit("c0"))).alias("categories"), F.array().cast("array<string>").alias("formats"), F.lit(None).cast("array<string>").alias("providers"), F.lit(None).cast("array<int>").alias("years"), F.lit(True).alias("has_password"))
+    kept, written = {}, facets.written
+    monkeypatch.setattr(facets, "written", lambda df, tag: kept.setdefault(tag, written(df, tag)))
+    got = facets.drill_down(asked, index)
+    counts = {(r["facet"], r["value"]): r["count"] for r in got.filter("request_id = 7").collect()}
+    assert counts == {("categories", "c0"): 17, ("categories", "c1"): 16, ("categories", "c2"): 17, ("formats", "f"): 33, ("providers", "p"): 33, ("year", "2000"): 33, ("has_password", "true"): 33, ("has_password", "false"): 34}
+    assert got.count() == 60 * 8 and kept["filters"].count() == 2 and kept["answers"].count() == 8
