@@ -74,3 +74,18 @@ def test_broken_documents_stop_the_job(spark, tmp_path):
             read(doc, name)
     (tmp_path / "none").mkdir()
     assert exports.read_snapshots(spark, str(tmp_path / "none")).messages.count() == 0
+
+
+def test_an_exported_source_is_one_file(spark):
+    from heddle.version_queries import _export
+
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        path = _export(spark, "/root/testdata/sf0.01")
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    files = [f for f, _ in json_ranges.documents(path, ".txt")]
+    assert len(files) == len({f.rsplit("/", 1)[0] for f in files}) > 1
