@@ -107,7 +107,8 @@ def _pooled(hashed: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFram
     files = hashed.select("path", "info_sha1", "error", _name(F.col("path")).alias("own")).filter(F.col("own").isNotNull())
     names = named.select("name").distinct()
     told = files.join(names.withColumnRenamed("name", "_own"), F.col("own") == F.col("_own"), "left").withColumn("_bare", F.when(F.col("_own").isNull(), _without_count(F.col("own"))))
-    told = told.join(names.withColumnRenamed("name", "_second"), F.col("_bare") == F.col("_second"), "left")
+    # a file without a second name is told by its own, which finds nothing new: keys that are null would all meet in one task
+    told = told.withColumn("_bare", F.coalesce("_bare", "own")).join(names.withColumnRenamed("name", "_second"), F.col("_bare") == F.col("_second"), "left")
     return told.select(F.coalesce("_own", "_second").alias("name"), "path", "info_sha1", "error").filter(F.col("name").isNotNull()), named
 
 
@@ -118,9 +119,11 @@ def match(hashed: DataFrame, messages: DataFrame) -> DataFrame:
     A name counts if all its files, own and counted ones, have one hash, and if one message bears it
     or there are as many files as messages.  A name with a file that does not parse has none."""
     files, named = _pooled(hashed, messages)
-    one = files.groupBy("name").agg(F.count_distinct("path").alias("files"), F.count_distinct("info_sha1").alias("hashes"), F.min("info_sha1").alias("info_sha1"), F.count_if(F.col("info_sha1").isNull()).alias("unread"))
+    h = F.col("info_sha1")
+    each = files.groupBy("name", "path").agg(F.min(h).alias("least"), F.max(h).alias("most"), F.count_if(h.isNull()).alias("unread"))
+    one = each.groupBy("name").agg(F.count("path").alias("files"), F.min("least").alias("info_sha1"), F.max("most").alias("most"), F.sum("unread").alias("unread"))
     want = named.groupBy("name").agg(F.count("*").alias("wanted"))
-    known = one.join(want, "name").filter((F.col("hashes") == 1) & (F.col("unread") == 0) & ((F.col("wanted") == 1) | (F.col("files") >= F.col("wanted"))))
+    known = one.join(want, "name").filter((F.col("info_sha1") == F.col("most")) & (F.col("unread") == 0) & ((F.col("wanted") == 1) | (F.col("files") >= F.col("wanted"))))
     return named.join(known.select("name", "info_sha1"), "name").select("message_id", "info_sha1")
 
 

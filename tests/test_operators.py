@@ -489,3 +489,11 @@ def test_probe_tells_whether_bodies_are_read(spark):
     got = {r["sha256"]: (r["needs_get"], r["byte_limit"], r["read_body"]) for r in audit.probe_plan(heads, rules).collect()}
     assert {got[f"0-{s}"] for s in (200, 404, 418, 405)} == {(True, 9, "always")} and {got[f"1-{s}"] for s in (200, 404, 418, 405)} == {(True, 9, "on_success")}
     assert [got[k] for k in ("2-200", "2-404", "2-418", "None-404", "None-418", "0-302", "lost")] == [(False, 0, "never"), (True, 1, "never"), (True, 1, "never"), (True, 1, "never"), (False, 0, "never"), (False, 0, "never"), (False, 0, "never")]
+
+
+def test_files_of_messages_take_no_null_keys_and_no_copies(spark):
+    said = spark.createDataFrame([("1", "a.torrent"), ("2", "b.torrent"), ("3", "b.torrent"), ("4", "c.torrent")], "message_id string, file_name string")
+    rows = [("x/a.torrent", "h1", None), ("y/a (1).torrent", "h1", None), ("x/b.torrent", "h2", None), ("x/b.torrent", "h2", None), ("x/c.torrent", None, "bad"), ("y/c (2).torrent", "h3", None), ("z/d.torrent", "h4", None)]
+    found = attachments.match(spark.createDataFrame(rows, "path string, info_sha1 string, error string"), said)
+    assert [tuple(r) for r in found.collect()] == [("1", "h1")]  # b: one file, two messages
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
