@@ -164,3 +164,12 @@ def test_rule_table(spark):
     bad = [("odd", "x"), ("protected_ci", " y"), ("force_phrase", "single"), ("force_token", "two words"), ("force_token", "a_b"), ("force_token", "Microsoft"), ("protected_substring", "soft"), ("protected_ci", "vue"), ("protected_exact", "Vue"), ("protected_ci", "VUE"), ("force_token", "")]
     got = {r["rule"] for r in quality.title_rule_rules(spark.createDataFrame(bad, schema)).collect()}
     assert got == {"kind", "trimmed", "phrase_of_one_word", "title_word", "protected_word", "shadowed_by_protection", "exact_and_ci", "duplicate_value"}
+
+
+def test_words_in_brackets_are_one_piece():
+    from heddle.functions import titles
+
+    pieces = titles._pieces("Kurs dlya [odin dva tri. (chetyre) pyat] s nulya", titles.Rules())
+    assert "".join(p.text for p in pieces) == "Kurs dlya [odin dva tri. (chetyre) pyat] s nulya"
+    assert [p.text for p in pieces if p.word and p.kept] == ["odin", " dva tri. ", "chetyre", " ", "pyat"]
+    assert titles.normalize("Kurs dlya [odin dva\u00ad tri] s nulya") == "Курс для [odin dva tri] с нуля"
