@@ -12,6 +12,7 @@ from heddle.functions import titles
 from heddle.operators import audit, cluster, merge, search
 from heddle.plans import build
 from heddle.registry import query, table
+from heddle.sources import exports
 
 _BLANK = r"[\s\x0b\x{85}\x{a0}\p{Z}]"
 
@@ -193,12 +194,16 @@ def source_faults(spark, sf):
     """Orders as snapshots, their items as entries, with counters that are often wrong."""
     t = F.lit
     link = F.array_repeat(F.struct(t("u").alias("url")), 2)
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(link.alias("links"), F.array(t("p")).alias("passwords"))).alias("catalog_entries"))
-    o = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    n = F.coalesce(F.size(F.coalesce("catalog_entries", F.array())), t(0))
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("snapshot_ord"))
+    # an item is a message and an entry; rows of their own, as ``read_snapshots`` gives them, not arrays of an order
+    entries = lines.select("snapshot_ord", link.alias("links"), F.array(t("p")).alias("passwords"))
+    count = lines.groupBy("snapshot_ord").agg(F.count("*").cast("int").alias("_n"))
+    o = orders.join(count, F.col("o_orderkey") == F.col("snapshot_ord"), "left")
+    n = F.coalesce("_n", t(0))
     stats = F.struct(F.struct((1 + F.floor("o_totalprice") % 3).alias("exported_message_count")).alias("retrieval"), F.struct(n.alias("catalog_entry_count"), n.alias("parsed_link_count"), t(1).alias("password_value_count")).alias("parsing"))
     source = F.struct(F.col("o_custkey").alias("channel_id"), t("").alias("web_url"))
-    return build.source_violations(o.select(F.col("o_orderkey").alias("snapshot_ord"), t("").alias("exported_at"), source.alias("source"), stats.alias("stats"), F.col("catalog_entries").alias("messages"), "catalog_entries"))
+    headers = o.select(F.col("o_orderkey").alias("snapshot_ord"), t("").alias("exported_at"), source.alias("source"), stats.alias("stats"))
+    return build.source_violations(exports.Snapshots(headers, lines, entries))
 
 
 @query("""

@@ -44,3 +44,9 @@ def test_same_as_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_source_faults_collects_no_items(spark):
+    from heddle.queries import QUERIES
+
+    assert "collect_list" not in QUERIES["source_faults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
