@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.links import with_link
+from heddle.plans.stored import written
 
 
 def says_something(c: Column, kind: str) -> Column:
@@ -72,7 +73,10 @@ def merge_source_links(versions: DataFrame, owner: str, order: Sequence[str], li
     trimmed address, if it has none): the first one's fields, primary if any is, the first
     label and origin that say something, all sources."""
     each = versions.select(owner, *order, F.posexplode(links).alias("_lpos", "_x"))
-    each = with_link(each, F.col("_x.url"), "_link").withColumn("_key", F.coalesce("_link.canonical", F.trim("_x.url")))
+    # an address is parsed once, however many versions and owners have it
+    urls = with_link(each.select(F.col("_x.url").alias("_url")).distinct(), "_url", "_link")
+    known = written(urls.select("_url", F.coalesce("_link.canonical", F.trim("_url")).alias("_key")), "addresses")
+    each = each.join(known, F.col("_x.url") == F.col("_url"), "left").drop("_url")
     at = F.struct(*[F.col(c) for c in order], F.col("_lpos"))
     told = F.nullif(F.trim("_x.normalized_from"), F.lit(""))
     heads = each.groupBy(owner, "_key").agg(

@@ -497,3 +497,13 @@ def test_files_of_messages_take_no_null_keys_and_no_copies(spark):
     found = attachments.match(spark.createDataFrame(rows, "path string, info_sha1 string, error string"), said)
     assert [tuple(r) for r in found.collect()] == [("1", "h1")]  # b: one file, two messages
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_address_is_parsed_once(spark, monkeypatch):
+    kind = "o string, n int, links array<struct<url:string,primary:boolean,label:string,normalized_from:string,sources:array<string>>>"
+    link = lambda u: (u, False, None, None, ["s"])
+    rows = [(o, n, [link("https://h.test/a"), link(None), link(" odd ")]) for o in "xyz" for n in range(3)]
+    parsed, seen = merge.with_link, []
+    monkeypatch.setattr(merge, "with_link", lambda df, *more: seen.append(df.count()) or parsed(df, *more))
+    found = {r["o"]: [x["url"] for x in r["links"]] for r in merge.merge_source_links(spark.createDataFrame(rows, kind), "o", ["n"]).collect()}
+    assert found == {o: ["https://h.test/a", None, " odd "] for o in "xyz"} and seen == [3]
