@@ -104,6 +104,27 @@ def test_equal_queries_are_scored_once(spark, monkeypatch):
     assert found == [(0, "2"), (1, "1"), (2, "1"), (3, "1"), (4, "2"), (6, "1"), (7, "1")] and seen == [2, 1]
 
 
+def test_answers_of_equal_queries_are_small_when_stored(spark, tmp_path):
+    words = ["plate", "anvil", "gizmo", "widget", "bracket", "spring", "washer", "handle"]
+    docs = spark.range(1000).select("id", F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("id") % 8 + 1).cast("int")).alias("title"))
+    asked = spark.range(8000).select(F.col("id").alias("query_id"), F.concat(F.lit("x"), F.element_at(F.array(*[F.lit(w[1:]) for w in words]), (F.xxhash64("id") % 4 + 5).cast("int"))).alias("query"))
+    found = search.search(asked, search.build_index(docs, "id", {"title": F.col("title")}))
+    found.write.parquet(f"{tmp_path}/found")
+    rows = spark.read.parquet(f"{tmp_path}/found")
+    assert rows.count() == 8000 * 125 == rows.distinct().count()
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 0.6 * 8000 * 125
+
+
+def test_cells_hand_out_every_answer_to_every_query(spark, monkeypatch):
+    for n, v in (("CELL", 8), ("ANSWERS", 2), ("ASKING", 4), ("LEAST_ROWS", 50)):
+        monkeypatch.setattr(search, n, v)
+    named = [(None if i == 3 else i // 2, "a" if i < 37 else "b c", i) for i in range(40)] + [(99, "unanswered", 40)]
+    found = [("a", f"d{i}", i / 4) for i in range(21)] + [("b c", None, 0.5), ("b c", "d1", 0.25), ("never asked", "d2", 1.0)]
+    out = search._handed_out(spark.createDataFrame(named, "query_id int, said string, n long"), spark.createDataFrame(found, "said string, id string, score double"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((q, i, x)) for q, said, _ in named for told, i, x in found if said == told)
+    assert out.columns == ["query_id", "id", "score"] and out.rdd.getNumPartitions() > 1
+
+
 def test_quality(spark):
     bad = spark.createDataFrame([(H("a"), "expired", "2024-01-01T00:00:00Z"), (H("a"), "odd", "nope"), ("x", None, None)], "sha256 string, reason string, confirmed_at string")
     got = sorted((r["rule"]) for r in quality.tombstone_rules(bad).collect())
