@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,14 @@ def test_answers_of_equal_queries_are_small_when_stored(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 0.6 * 8000 * 125
 
 
+def test_scores_of_queries_meet_where_the_document_is(spark):
+    index = search.build_index(spark.createDataFrame([("1", "red bolt"), ("2", "red gear")], "id string, title string"), "id", {"title": F.col("title")})
+    asked = spark.createDataFrame([("bolt red", 2, "bolt"), ("bolt red", 2, "red"), ("gea", 1, "gea")], "query_id string, n_terms int, q string")
+    scored = search._scored(search._rated(asked, index.dictionary, False), index, search.BOOSTS)
+    assert sorted((r["query_id"], r["id"]) for r in scored.collect()) == [("bolt red", "1"), ("gea", "2")]
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", scored._jdf.queryExecution().executedPlan().toString())
+
+
 def test_cells_hand_out_every_answer_to_every_query(spark, monkeypatch):
     for n, v in (("CELL", 8), ("ANSWERS", 2), ("ASKING", 4), ("LEAST_ROWS", 50)):
         monkeypatch.setattr(search, n, v)
